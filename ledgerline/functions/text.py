@@ -96,7 +96,7 @@ def research_body_flag(name: Column) -> Column:
 
 
 def category(value: Column) -> Column:
-    """Category label of a numeric code: 61900.0 becomes '61900'."""
+    """Category label of a number or boolean: 61900.0 becomes '61900'."""
     number = value.cast("double")
     whole = F.when(number == F.floor(number), F.floor(number).cast("string"))
     return F.when(value.isNotNull() & ~F.isnan(number), F.coalesce(whole, value.cast("string")))

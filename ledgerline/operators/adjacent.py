@@ -110,7 +110,7 @@ def static_features(df: DataFrame, overlap: DataFrame, url: str = "profile_url")
 def turnover_panel(df: DataFrame, order: str) -> DataFrame:
     """Statement panel of every mission at once; a company may be in several."""
     pair = F.concat_ws("\u0001", "mission", "company_id")
-    keyed = df.drop("company_id").withColumn("company_id", pair)
+    keyed = df.withColumn("company_id", pair)
     panel = statement_panel(keyed, order)
     parts = F.split("company_id", "\u0001")
     return panel.withColumn("mission", parts[0]).withColumn("company_id", parts[1])

@@ -52,7 +52,15 @@ def turnover_lags(panel: DataFrame) -> DataFrame:
     )
 
 
-def growth_features(lagged: DataFrame) -> DataFrame:
+def growth_core(panel: DataFrame) -> DataFrame:
+    """Turnover lags and one-year growth only."""
+    lagged = panel.withColumn("turnover_t", F.col("turnover")).withColumns(
+        {f"turnover_lag_{n}": F.lag("turnover", n).over(BY_YEAR) for n in (1, 2, 3)}
+    )
+    return lagged.withColumn("log_growth_1y", log_growth(F.col("turnover_t"), F.col("turnover_lag_1")))
+
+
+def growth_statistics(lagged: DataFrame) -> DataFrame:
     """Growth and its 2 / 3 row statistics, taken from the three lags at hand."""
     t, l1, l2, l3 = (F.col(c) for c in ("turnover_t", "turnover_lag_1", "turnover_lag_2", "turnover_lag_3"))
     g0, g1, g2 = log_growth(t, l1), log_growth(l1, l2), log_growth(l2, l3)
@@ -71,18 +79,31 @@ def growth_features(lagged: DataFrame) -> DataFrame:
             "rolling_growth_std_3": F.col("growth_volatility"),
         }
     )
+    return out.drop("_g1", "_g2")
+
+
+def growth_features(lagged: DataFrame) -> DataFrame:
+    out = growth_statistics(lagged)
+    now = F.col("log_growth_1y")
     for name, hit in (("positive_growth_count", now > 0), ("negative_growth_count", now < 0)):
         out = out.withColumn(name, F.sum(hit.cast("double")).over(TO_DATE))
-    return out.drop("_g1", "_g2")
+    return out
 
 
-def turnover_rolling(lagged: DataFrame) -> DataFrame:
+def turnover_averages(lagged: DataFrame) -> DataFrame:
     t, l1, l2 = F.col("turnover_t"), F.col("turnover_lag_1"), F.col("turnover_lag_2")
     return lagged.withColumns(
         {
             "rolling_turnover_mean_2": mean_of([l1, t]),
             "rolling_turnover_mean_3": mean_of([l2, l1, t]),
             "rolling_turnover_median_3": median_of_three(l2, l1, t),
+        }
+    )
+
+
+def turnover_rolling(lagged: DataFrame) -> DataFrame:
+    return turnover_averages(lagged).withColumns(
+        {
             "historical_turnover_max": F.max("turnover_t").over(TO_DATE),
             "historical_turnover_min": F.min("turnover_t").over(TO_DATE),
         }
@@ -136,16 +157,18 @@ MISSING_FLAGS = [
 
 
 def missing_flags(df: DataFrame) -> DataFrame:
-    flags = {f"is_missing_{c}": F.col(c).isNull() for c in MISSING_FLAGS}
-    flags["has_employee_data"] = F.col("employees").isNotNull()
-    flags["has_financial_statement_data"] = F.col("total_assets").isNotNull()
-    return df.withColumns(flags)
+    flags = [f"{c} is null as is_missing_{c}" for c in MISSING_FLAGS]
+    flags += [
+        "employees is not null as has_employee_data",
+        "total_assets is not null as has_financial_statement_data",
+    ]
+    return df.selectExpr("*", *flags)
 
 
 def missing_summary(df: DataFrame, features: list[str] = ENGINEERED) -> DataFrame:
-    absent = F.lit(len(features)) - filled([F.col(c) for c in features])
-    return df.withColumn("missing_feature_count", absent).withColumn(
-        "missing_feature_proportion", F.col("missing_feature_count") / F.lit(float(len(features)))
+    absent = " + ".join(f"cast({c} is null as int)" for c in features)
+    return df.selectExpr("*", f"{absent} as missing_feature_count").selectExpr(
+        "*", f"missing_feature_count / {len(features)}D as missing_feature_proportion"
     )
 
 
@@ -261,6 +284,10 @@ def per_employee(df: DataFrame) -> DataFrame:
     )
 
 
+def with_age(df: DataFrame) -> DataFrame:
+    return df.withColumn("company_age_years", age(F.col("year"), F.col("founded_year")))
+
+
 def body_flags(df: DataFrame, name: str) -> DataFrame:
     return df.withColumn("is_public_sector_body", public_body_flag(F.col(name))).withColumn(
         "is_international_research_body", research_body_flag(F.col(name))
@@ -288,8 +315,7 @@ def prediction_features(
 ) -> DataFrame:
     """The training features for snapshot rows of companies without turnover."""
     out = snapshot.join(static, "company_id", "left")
-    out = out.withColumn("company_age_years", age(F.col("year"), F.col("founded_year")))
-    out = per_employee(employee_columns(out))
+    out = per_employee(employee_columns(with_age(out)))
     return body_flags(join_ratios(join_signals(out, signals, bridge), ratios, bridge), name)
 
 

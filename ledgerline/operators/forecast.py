@@ -17,7 +17,7 @@ from ledgerline.functions.numeric import (
     log_growth,
     mean_of,
 )
-from ledgerline.operators.features import engineered_panel
+from ledgerline.operators.features import growth_core
 from ledgerline.operators.metrics import metrics
 from ledgerline.operators.ranks import attach, quantile
 from ledgerline.operators.splits import temporal_outer
@@ -183,8 +183,8 @@ def recursive_forecast(
     The next value depends only on the current turnover and the last three growth
     rates, so each company carries a constant-size state through one narrow stage:
     no loop of jobs, no shuffle per step. A failed prediction ends its company."""
-    anchors = growth_anchor(engineered_panel(panel))
-    origin = engineered_panel(seed_companies(panel, baseline, static))
+    anchors = growth_anchor(growth_core(panel))
+    origin = growth_core(seed_companies(panel, baseline, static))
     lag1, lag2, lag3 = F.col("turnover_lag_1"), F.col("turnover_lag_2"), F.col("turnover_lag_3")
     origin = origin.select(
         "company_id", "mission", "accounting_year", "founded_year", "sic_code_1", "value_stream",

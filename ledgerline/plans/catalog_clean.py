@@ -807,4 +807,3 @@ def keyword_master(t: Tables) -> DataFrame:
     return t.master().withColumnRenamed(MASTER_KEYWORDS, "keywords")
 
 
-FOREIGN = [FOREIGN_CH, FOREIGN_NAME]

@@ -5,11 +5,16 @@ supported range) for accounting years, suppliers for adjacent companies, events
 for funding signals. A company with a negative balance files no turnover. The
 first year of a company is a stub period from its first order to the year end."""
 
+from collections.abc import Callable
+from functools import wraps
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from ledgerline.functions.numeric import age, size_bucket
 from ledgerline.operators.panel import annualize
+from ledgerline.sources.writers import written
 from ledgerline.settings import (
     ACCELERATOR_SLOTS,
     BOOLEAN_SIGNALS,
@@ -54,15 +59,35 @@ def shifted(ts: Column) -> Column:
     return F.add_months(ts.cast("date"), 12 * SHIFT)
 
 
+_SCHEMAS: dict[str, StructType] = {}
+
+
+def once(build: Callable) -> Callable:
+    """Build each derived table once per `Tables`, so its plan is analysed once."""
+
+    @wraps(build)
+    def cached(self):
+        if build.__name__ not in self.built:
+            self.built[build.__name__] = build(self)
+        return self.built[build.__name__]
+
+    return cached
+
+
 class Tables:
     """Lazy tables under one directory of parquet files."""
 
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = spark, path
+        self.built: dict[str, DataFrame] = {}
 
     def table(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.path}/{name}.parquet")
+        path = f"{self.path}/{name}.parquet"
+        if path not in _SCHEMAS:
+            _SCHEMAS[path] = self.spark.read.parquet(path).schema
+        return self.spark.read.schema(_SCHEMAS[path]).parquet(path)
 
+    @once
     def company(self) -> DataFrame:
         key, nation, balance = F.col("c_custkey"), F.col("c_nationkey"), F.col("c_acctbal")
         segment = F.col("c_mktsegment")
@@ -86,6 +111,7 @@ class Tables:
             balance.alias("balance"),
         )
 
+    @once
     def filings(self) -> DataFrame:
         """(company, year) totals of orders and their lines, with weeks covered."""
         lines = (
@@ -121,6 +147,7 @@ class Tables:
             "company_id", F.concat(F.lit("c"), F.col("o_custkey").cast("string"))
         )
 
+    @once
     def filed(self) -> DataFrame:
         """Filings with their company's facts; turnover only where one is filed."""
         facts = self.company().select(
@@ -129,6 +156,7 @@ class Tables:
         joined = self.filings().drop("o_custkey").join(facts, "company_id")
         return joined.withColumn("turnover", F.when(F.col("balance") >= 0, F.col("turnover")))
 
+    @once
     def factors(self) -> DataFrame:
         known = self.filings().filter(F.col("weeks").isNotNull())
         return known.select(
@@ -138,6 +166,7 @@ class Tables:
             (F.lit(52.0) / F.col("weeks")).alias("annualization_factor"),
         )
 
+    @once
     def raw_panel(self) -> DataFrame:
         """Observed company-years before annualisation, missions spelled canonically."""
         mission = F.when(F.col("mission") == "Cross-cutting", "Cross-Cutting").otherwise(F.col("mission"))
@@ -159,12 +188,14 @@ class Tables:
             age(F.col("accounting_year"), F.col("founded_year")).alias("company_age"),
         )
 
+    @once
     def panel(self) -> DataFrame:
         """Validated panel: turnover scaled by the weeks of the same row."""
         factor = F.coalesce(F.lit(52.0) / F.col("weeks"), F.lit(1.0))
         scaled = F.when(factor != 1.0, F.col("turnover") * factor).otherwise(F.col("turnover"))
         return self.raw_panel().withColumn("turnover", scaled).drop("weeks")
 
+    @once
     def baseline(self) -> DataFrame:
         """Latest observed turnover per company, else a stand-in estimate."""
         mission = F.when(F.col("mission") == "Cross-cutting", "Cross-Cutting").otherwise(F.col("mission"))
@@ -200,11 +231,13 @@ class Tables:
             F.when(seen, "observed").otherwise("predicted").alias("turnover_source_raw"),
         )
 
+    @once
     def static(self) -> DataFrame:
         return self.company().select("company_id", "founded_year", "sic_code_1", "value_stream")
 
     # --- wide inputs -----------------------------------------------------------------
 
+    @once
     def master(self) -> DataFrame:
         """One row per company with a column per measure and year."""
         filings = self.filings()
@@ -229,6 +262,7 @@ class Tables:
         words = F.concat_ws(",", F.col("value_stream"), F.concat(F.lit("Nation "), F.col("sic_code_1").cast("int").cast("string")))
         return facts.withColumn(MASTER_KEYWORDS, words).join(wide, "company_id", "left")
 
+    @once
     def segmented(self) -> DataFrame:
         """Master with duplicate and eligibility flags already decided."""
         mission = F.col("mission")
@@ -245,6 +279,7 @@ class Tables:
             }
         )
 
+    @once
     def statements(self) -> DataFrame:
         """Statement blocks per company, newest first, keyed by a URL variant."""
         newest = Window.partitionBy("o_custkey").orderBy(F.col("accounting_year").desc())
@@ -285,6 +320,7 @@ class Tables:
         keyed = self.company().select("company_id", "ordinal", url.alias("profile_url"))
         return keyed.join(wide, "company_id").drop("company_id")
 
+    @once
     def signals(self) -> DataFrame:
         """Funding signals per company from its events, keyed by profile URL."""
         value = exact("value")
@@ -328,6 +364,7 @@ class Tables:
 
     # --- adjacent companies -------------------------------------------------------------
 
+    @once
     def supplier_years(self) -> DataFrame:
         year = F.year(shifted(F.col("l_shipdate")))
         return (
@@ -343,8 +380,10 @@ class Tables:
             .withColumn("weeks", F.least(F.col("active_weeks"), F.lit(52)).cast("double"))
         )
 
+    @once
     def supplier_export(self) -> DataFrame:
-        """One export row per supplier with its statement blocks."""
+        """One export row per supplier with its statement blocks, stored like the raw
+        file it stands for, so the slices below scan it instead of rebuilding it."""
         newest = Window.partitionBy("l_suppkey").orderBy(F.col("year").desc())
         rows = self.supplier_years().withColumn("block", F.row_number().over(newest))
         source = {
@@ -377,8 +416,10 @@ class Tables:
             nation.alias("nation"),
             F.col("s_acctbal").alias("balance"),
         )
-        return suppliers.join(wide, F.col("ordinal") == F.col("l_suppkey")).drop("l_suppkey")
+        export = suppliers.join(wide, F.col("ordinal") == F.col("l_suppkey")).drop("l_suppkey")
+        return written(export, "supplier_export")
 
+    @once
     def supplier_signals(self) -> DataFrame:
         """Funding columns per supplier, from the events of the same user id."""
         signals = self.signals().drop("profile_url")
@@ -388,7 +429,7 @@ class Tables:
         )
         rows = keys.join(signals, "ordinal").drop("ordinal")
         dates = [GRANT_COLUMNS["grants_latest_date"], FUNDRAISING_COLUMNS["fundraising_latest_date"]]
-        return rows.withColumns({d: F.col(f"`{d}`").cast("string") for d in dates})
+        return written(rows.withColumns({d: F.col(f"`{d}`").cast("string") for d in dates}), "supplier_signals")
 
     def adjacent_files(self) -> dict[str, list[DataFrame]]:
         """Source files per mission: attribute slices of the supplier export."""
