@@ -99,7 +99,8 @@ def labelled(df: DataFrame, target: str, weight: str | None) -> DataFrame:
     return df.withColumn("label", F.log1p(F.col(target).cast("double"))).withColumn("fit_weight", w)
 
 
-INVERSE = SQLTransformer(statement="select *, expm1(log_prediction) as predicted from __THIS__")
+def undo_log() -> SQLTransformer:
+    return SQLTransformer(statement="select *, expm1(log_prediction) as predicted from __THIS__")
 
 
 def fit_one(
@@ -117,7 +118,7 @@ def fit_one(
         fitted = candidate.build(params, scale).fit(rows)
     finally:
         rows.unpersist()
-    return PipelineModel([*stages, fitted, INVERSE])
+    return PipelineModel([*stages, fitted, undo_log()])
 
 
 def mean_absolute_error(scored: DataFrame, target: str) -> float:

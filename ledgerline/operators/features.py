@@ -5,7 +5,7 @@ one exchange and one sort. Lags count observed rows; only targets and runs ask
 for consecutive calendar years. A company has at most one row per supported
 year here, which bounds every window partition."""
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from ledgerline.functions.numeric import (
@@ -36,13 +36,17 @@ from ledgerline.settings import (
     STATEMENT_RATIOS,
 )
 
-BY_YEAR = Window.partitionBy("company_id").orderBy("accounting_year")
-TO_DATE = BY_YEAR.rowsBetween(Window.unboundedPreceding, 0)
+def by_year() -> WindowSpec:
+    return Window.partitionBy("company_id").orderBy("accounting_year")
+
+
+def to_date() -> WindowSpec:
+    return by_year().rowsBetween(Window.unboundedPreceding, 0)
 
 
 def turnover_lags(panel: DataFrame) -> DataFrame:
     t = F.col("turnover")
-    lags = {f"turnover_lag_{n}": F.lag(t, n).over(BY_YEAR) for n in (1, 2, 3)}
+    lags = {f"turnover_lag_{n}": F.lag(t, n).over(by_year()) for n in (1, 2, 3)}
     return panel.withColumns({"turnover_t": t, **lags}).withColumns(
         {
             "log_turnover_t": F.log1p("turnover_t"),
@@ -55,7 +59,7 @@ def turnover_lags(panel: DataFrame) -> DataFrame:
 def growth_core(panel: DataFrame) -> DataFrame:
     """Turnover lags and one-year growth only."""
     lagged = panel.withColumn("turnover_t", F.col("turnover")).withColumns(
-        {f"turnover_lag_{n}": F.lag("turnover", n).over(BY_YEAR) for n in (1, 2, 3)}
+        {f"turnover_lag_{n}": F.lag("turnover", n).over(by_year()) for n in (1, 2, 3)}
     )
     return lagged.withColumn("log_growth_1y", log_growth(F.col("turnover_t"), F.col("turnover_lag_1")))
 
@@ -86,7 +90,7 @@ def growth_features(lagged: DataFrame) -> DataFrame:
     out = growth_statistics(lagged)
     now = F.col("log_growth_1y")
     for name, hit in (("positive_growth_count", now > 0), ("negative_growth_count", now < 0)):
-        out = out.withColumn(name, F.sum(hit.cast("double")).over(TO_DATE))
+        out = out.withColumn(name, F.sum(hit.cast("double")).over(to_date()))
     return out
 
 
@@ -104,15 +108,15 @@ def turnover_averages(lagged: DataFrame) -> DataFrame:
 def turnover_rolling(lagged: DataFrame) -> DataFrame:
     return turnover_averages(lagged).withColumns(
         {
-            "historical_turnover_max": F.max("turnover_t").over(TO_DATE),
-            "historical_turnover_min": F.min("turnover_t").over(TO_DATE),
+            "historical_turnover_max": F.max("turnover_t").over(to_date()),
+            "historical_turnover_min": F.min("turnover_t").over(to_date()),
         }
     )
 
 
 def run_length(breaks: Column, position: Column) -> Column:
     """Rows since the last break, the breaking row counted as the first."""
-    start = F.max(F.when(breaks, position)).over(TO_DATE)
+    start = F.max(F.when(breaks, position)).over(to_date())
     return position - start + 1
 
 
@@ -120,9 +124,9 @@ def history_features(panel: DataFrame) -> DataFrame:
     year = F.col("accounting_year")
     out = panel.withColumns(
         {
-            "_position": F.row_number().over(BY_YEAR),
-            "_first_year": F.min(year).over(TO_DATE),
-            "_previous_year": F.lag(year).over(BY_YEAR),
+            "_position": F.row_number().over(by_year()),
+            "_first_year": F.min(year).over(to_date()),
+            "_previous_year": F.lag(year).over(by_year()),
         }
     )
     gap = F.coalesce(year - F.col("_previous_year") != 1, F.lit(True))
@@ -145,8 +149,8 @@ def financial_features(panel: DataFrame) -> DataFrame:
         {
             "assets_per_employee": ratio(assets, employees),
             "export_share": ratio(F.col("export_revenue"), F.col("turnover")),
-            "employee_growth": log_growth(employees, F.lag(employees).over(BY_YEAR)),
-            "asset_growth": log_growth(assets, F.lag(assets).over(BY_YEAR)),
+            "employee_growth": log_growth(employees, F.lag(employees).over(by_year())),
+            "asset_growth": log_growth(assets, F.lag(assets).over(by_year())),
         }
     )
 
@@ -174,11 +178,11 @@ def missing_summary(df: DataFrame, features: list[str] = ENGINEERED) -> DataFram
 
 def next_year_target(panel: DataFrame) -> DataFrame:
     """Attach next year's turnover; null unless the next row is the next year."""
-    next_year = F.lead("accounting_year").over(BY_YEAR)
+    next_year = F.lead("accounting_year").over(by_year())
     follows = next_year == F.col("accounting_year") + 1
     return panel.withColumns(
         {
-            "target_turnover_next_year": F.when(follows, F.lead("turnover").over(BY_YEAR)),
+            "target_turnover_next_year": F.when(follows, F.lead("turnover").over(by_year())),
             "target_year": F.when(follows, next_year),
         }
     )

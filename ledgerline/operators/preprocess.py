@@ -23,6 +23,9 @@ from ledgerline.settings import (
 )
 
 
+IN_MEMORY_ROWS = 200_000
+
+
 @dataclass(frozen=True)
 class FeatureSet:
     log: list[str]
@@ -60,6 +63,15 @@ def medians(df: DataFrame, columns: list[str], groups: list[str] | None = None)
     return quantile(long.unpivot(keys, columns, "feature", "value"), [*keys, "feature"], "value", 0.5, "median")
 
 
+def fold_medians(df: DataFrame, columns: list[str]) -> dict[str, float]:
+    """Median per column that has values. A fold checked to be small keeps all its
+    values in one aggregate; a larger one goes through the distributed quantile."""
+    if df.count() > IN_MEMORY_ROWS:
+        return {r["feature"]: r["median"] for r in medians(df, columns).collect()}
+    values = df.agg(*[F.percentile(F.col(c).cast("double"), 0.5).alias(c) for c in columns]).first()
+    return {c: values[c] for c in columns if values[c] is not None}
+
+
 def category_counts(df: DataFrame, columns: list[str], groups: list[str] | None = None) -> DataFrame:
     keys = groups or []
     long = df.select(*keys, *columns).unpivot(keys, columns, "feature", "value")
@@ -135,7 +147,7 @@ def _quoted(text: str) -> str:
 def fit_preparation(train: DataFrame, features: FeatureSet) -> Prepared:
     """Collect the fitted numbers: one row per feature, one per category."""
     logged = log_features(train, features.log)
-    median = {r["feature"]: r["median"] for r in medians(logged, features.numeric).collect()}
+    median = fold_medians(logged, features.numeric)
     kept = [c for c in features.numeric if c in median]
     filled = logged.select(*[F.coalesce(F.col(c), F.lit(median[c])).alias(c) for c in kept])
     stats = {r["feature"]: r for r in scaling_stats(filled, kept).collect()}

@@ -10,8 +10,10 @@ totals, at most 4,096 rows each, are broadcast.
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-FANOUT = 64
-CELLS = FANOUT * FANOUT
+# Cells per group are the square of the fan-out. A full ranking needs small cells;
+# a quantile only sorts the few rows around it.
+RANK_FANOUT = 64
+QUANTILE_FANOUT = 16
 SKETCH = 10_000
 
 
@@ -34,14 +36,15 @@ def value_counts(df: DataFrame, groups: list[str], value: str) -> DataFrame:
     return known.groupBy(*groups, F.col(value).cast("double").alias("v")).agg(F.count("*").alias("n"))
 
 
-def _with_cells(counts: DataFrame, groups: list[str]) -> DataFrame:
-    shares = ",".join(str(i / CELLS) for i in range(1, CELLS))
+def _with_cells(counts: DataFrame, groups: list[str], fanout: int) -> DataFrame:
+    cells = fanout * fanout
+    shares = ",".join(str(i / cells) for i in range(1, cells))
     # One literal, split while planning, instead of thousands of expression nodes.
-    cuts = F.expr(f"percentile_approx(v, cast(split('{shares}', ',') as array<double>), {10 * CELLS})")
+    cuts = F.expr(f"percentile_approx(v, cast(split('{shares}', ',') as array<double>), {10 * cells})")
     grid = counts.groupBy(*groups).agg(cuts.alias("grid"))
-    coarse = F.expr(f"size(filter(sequence(1, {FANOUT - 1}), i -> grid[i * {FANOUT} - 1] < v))")
+    coarse = F.expr(f"size(filter(sequence(1, {fanout - 1}), i -> grid[i * {fanout} - 1] < v))")
     fine = F.expr(
-        f"coarse * {FANOUT} + size(filter(slice(grid, coarse * {FANOUT} + 1, {FANOUT - 1}), g -> g < v))"
+        f"coarse * {fanout} + size(filter(slice(grid, coarse * {fanout} + 1, {fanout - 1}), g -> g < v))"
     )
     return (
         attach(counts, grid, groups, "inner")
@@ -67,7 +70,7 @@ def _rows_before(celled: DataFrame, groups: list[str]) -> DataFrame:
 
 def average_ranks(df: DataFrame, groups: list[str], value: str, rank: str) -> DataFrame:
     """One row per distinct value with its average rank inside the group."""
-    celled = _with_cells(value_counts(df, groups, value), groups)
+    celled = _with_cells(value_counts(df, groups, value), groups, RANK_FANOUT)
     placed = _rows_before(attach(celled, _cell_offsets(celled, groups), [*groups, "cell"]), groups)
     average = F.col("before") + (F.col("n") + 1) / F.lit(2.0)
     return placed.select(*groups, F.col("v").alias(value), average.alias(rank))
@@ -97,7 +100,7 @@ def _around(df: DataFrame, groups: list[str], value: str, share: float) -> DataF
 
 def quantile(df: DataFrame, groups: list[str], value: str, share: float, out: str) -> DataFrame:
     """Exact interpolated quantile of each group."""
-    celled = _with_cells(_around(df, groups, value, share), groups)
+    celled = _with_cells(_around(df, groups, value, share), groups, QUANTILE_FANOUT)
     low, high = F.floor("target"), F.ceil("target")
     located = (
         attach(celled, _cell_offsets(celled, groups), [*groups, "cell"])

@@ -1,6 +1,6 @@
 """Threshold crossings, sustained growth, credibility and company profiles."""
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from ledgerline.functions.numeric import log_growth
@@ -17,27 +17,31 @@ from ledgerline.settings import (
     TREND_EVIDENCE,
 )
 
-BY_YEAR = Window.partitionBy("company_id").orderBy("accounting_year")
-TO_DATE = BY_YEAR.rowsBetween(Window.unboundedPreceding, 0)
+def by_year() -> WindowSpec:
+    return Window.partitionBy("company_id").orderBy("accounting_year")
+
+
+def to_date() -> WindowSpec:
+    return by_year().rowsBetween(Window.unboundedPreceding, 0)
 
 
 def _run_to_here(hit: Column) -> Column:
     """Length of the unbroken run of hits ending at this row."""
-    position = F.row_number().over(BY_YEAR)
+    position = F.row_number().over(by_year())
     miss = F.when(~F.coalesce(hit, F.lit(False)), position)
-    return position - F.coalesce(F.max(miss).over(TO_DATE), F.lit(0))
+    return position - F.coalesce(F.max(miss).over(to_date()), F.lit(0))
 
 
 def _consecutive() -> Column:
     year = F.col("accounting_year")
-    return year - F.lag(year).over(BY_YEAR) == 1
+    return year - F.lag(year).over(by_year()) == 1
 
 
 def gazelle_runs(trajectories: DataFrame) -> DataFrame:
     """Longest run of consecutive years growing at least 10 % and 20 %."""
     t = F.col("turnover")
     walked = trajectories.select("company_id", "accounting_year", "turnover").withColumn(
-        "_growth", F.when(_consecutive(), log_growth(t, F.lag(t).over(BY_YEAR)))
+        "_growth", F.when(_consecutive(), log_growth(t, F.lag(t).over(by_year())))
     )
     hits = {f"_hit_{k}": F.coalesce(F.col("_growth") >= cut, F.lit(False)) for k, cut in GAZELLE_CUTS.items()}
     walked = walked.withColumns(hits).withColumns({f"_run_{k}": _position_since(f"_hit_{k}") for k in GAZELLE_CUTS})

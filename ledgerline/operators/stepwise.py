@@ -50,6 +50,9 @@ def _flat_if_known(level: str) -> Column:
     return F.when(F.col(level).isNotNull(), F.lit(0.0))
 
 
+TRANSIENT = ["raw", "next_turnover", "has_employee_data", "has_financial_statement_data"]
+
+
 def next_rows(scored: DataFrame) -> DataFrame:
     """Feature row of the following year, given `next_turnover`."""
     t, new = F.col("turnover_t"), F.col("next_turnover")
@@ -88,7 +91,7 @@ def next_rows(scored: DataFrame) -> DataFrame:
         }
     )
     stale = [c for c in out.columns if c.startswith("is_missing_") or c.startswith("missing_feature_")]
-    return missing_summary(missing_flags(out.drop(*stale, "has_employee_data", "has_financial_statement_data")))
+    return missing_summary(missing_flags(out.drop(*stale, *TRANSIENT)))
 
 
 def route(rows: DataFrame) -> DataFrame:

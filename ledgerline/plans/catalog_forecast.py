@@ -16,7 +16,7 @@ from ledgerline.sources.domain import Tables
 
 # --- benchmarks and routing ----------------------------------------------------------
 
-TEST_ROW = "company_id accounting_year:i cutoff_year:i predicted:m"
+TEST_ROW = "company_id accounting_year:i cutoff_year:i predicted:f"
 
 
 def tests(t: Tables) -> DataFrame:
@@ -55,7 +55,7 @@ def _(t):
     return routed.withColumn("gated", (F.col("growth_signal") == "growing") & (F.col("growth_classification") == "stable"))
 
 
-@query("f6_growth_decay", "company_id accounting_year:i step:i decayed:m", """
+@query("f6_growth_decay", "company_id accounting_year:i step:i decayed:f", """
 select e.company_id, e.accounting_year, s.step, exp(ln(1 + turnover_t) + pow(0.5, s.step / 2.0) * log_growth_3y_mean + (1 - pow(0.5, s.step / 2.0)) * a.anchor) - 1 as decayed
 from x_engineered e join x_anchor a on a.mission = e.mission, (select unnest([1, 2, 7]) as step) s where log_growth_3y_mean is not null""")
 def _(t):
@@ -74,7 +74,7 @@ def _(t):
     return forecast.seed_companies(t.panel(), t.baseline(), t.static())
 
 
-TRAJECTORY = "company_id mission accounting_year:i turnover:m model_used growth_signal evidence_group growth_classification company_age:i step:i employees:r"
+TRAJECTORY = "company_id mission accounting_year:i turnover:f model_used growth_signal evidence_group growth_classification company_age:i step:i employees:r"
 
 
 @query("f8_predict_step", TRAJECTORY, "select * from x_trajectories where step = 1")
@@ -123,7 +123,7 @@ def _(t):
     return flow(t).spread
 
 
-BOUNDS = "company_id accounting_year:i turnover:m turnover_lower:m turnover_upper:m sigma_log_residual:r used_fallback_spread:b"
+BOUNDS = "company_id accounting_year:i turnover:f turnover_lower:f turnover_upper:f sigma_log_residual:r used_fallback_spread:b"
 
 
 @query("f11_intervals", BOUNDS, "select * from x_trajectories")
@@ -137,12 +137,12 @@ def _(t):
     return forecast.with_intervals(f.predicted, f.spread)
 
 
-@query("f12_full_trajectories", "company_id mission accounting_year:i turnover:m data_type model_used growth_classification turnover_lower:m turnover_upper:m", "select * from x_full")
+@query("f12_full_trajectories", "company_id mission accounting_year:i turnover:f data_type model_used growth_classification turnover_lower:f turnover_upper:f", "select * from x_full")
 def _(t):
     return flow(t).trajectories
 
 
-@query("f13_summary_2030", "company_id mission baseline_year:i baseline_turnover:m turnover_2030:m growth_multiple_2030:r annualized_growth_rate_to_2030:r n_years_growing:i "
+@query("f13_summary_2030", "company_id mission baseline_year:i baseline_turnover:m turnover_2030:f growth_multiple_2030:r annualized_growth_rate_to_2030:r n_years_growing:i "
        "n_years_stable:i final_step_model_used ever_classified_growing:b forecast_evidence_group", "select * from x_summary")
 def _(t):
     return flow(t).summary
@@ -150,7 +150,7 @@ def _(t):
 
 # --- reports ---------------------------------------------------------------------------------
 
-CONTEXT = ("company_id company_name mission baseline_year:i baseline_turnover:m turnover_2030:m forecast_evidence_group baseline_turnover_source "
+CONTEXT = ("company_id company_name mission baseline_year:i baseline_turnover:m turnover_2030:f forecast_evidence_group baseline_turnover_source "
            "growth_decay_applied:b n_real_years:i evidence_gate_triggered:b")
 
 
@@ -205,7 +205,7 @@ def _(t):
     return out.fillna(False, ["operational_scaling_10pct"])
 
 
-@query("g7_company_profile", "company_id mission forecast_evidence_group turnover_2030:m observed_years:i estimated_years:i predicted_years:i crosses_10m:b gazelle_10pct:b "
+@query("g7_company_profile", "company_id mission forecast_evidence_group turnover_2030:f observed_years:i estimated_years:i predicted_years:i crosses_10m:b gazelle_10pct:b "
        "gazelle_20pct:b operational_scaling_10pct:b credibility_status", """
 select s.company_id, s.mission, s.forecast_evidence_group, s.turnover_2030, count(*) filter (where f.data_type = 'observed') as observed_years,
   count(*) filter (where f.data_type = 'estimated_baseline') as estimated_years, count(*) filter (where f.data_type = 'predicted') as predicted_years,
@@ -310,7 +310,7 @@ def _(t):
     return out.withColumn("place", F.row_number().over(Window.partitionBy("mission").orderBy(F.col("R2").desc(), "adjacent_weight")))
 
 
-@query("d3_error_concentration", "mission company_id error:r share:r", """
+@query("d3_error_concentration", "mission company_id error:f share:r", """
 with e as (select mission, company_id, sum(w * (target_turnover_next_year - turnover_t) * (target_turnover_next_year - turnover_t)) / 1e12 as error
   from (select *, 1.0 / count(*) over (partition by company_id) as w from x_training) z group by 1, 2)
 select mission, company_id, error, error / sum(error) over (partition by mission) as share from e""")

@@ -103,7 +103,7 @@ def _(t):
                        F.size(F.filter(vector, lambda v: ~F.isnan(v))).alias("filled"))
 
 
-@query("m7_native_categorical", "company_id accounting_year:i predicted:m")
+@query("m7_native_categorical", "company_id accounting_year:i predicted:f")
 def _(t):
     from pyspark.ml import Pipeline
     from pyspark.ml.regression import GBTRegressor
@@ -111,7 +111,7 @@ def _(t):
     rows = estimators.labelled(forecast_rows(t), "target_turnover_next_year", None)
     prepared = preprocess.fit_preparation(rows, FORECAST_SET)
     learner = GBTRegressor(**estimators.COMMON, maxIter=5, maxDepth=3, maxBins=64, seed=42)
-    stages = [*estimators.native_category_stages(FORECAST_SET, prepared), learner, estimators.INVERSE]
+    stages = [*estimators.native_category_stages(FORECAST_SET, prepared), learner, estimators.undo_log()]
     return Pipeline(stages=stages).fit(rows).transform(rows)
 
 
@@ -119,7 +119,7 @@ def _(t):
 select company_id, accounting_year, ln(1 + target_turnover_next_year) as label, target_turnover_next_year as restored from x_training""")
 def _(t):
     rows = estimators.labelled(training(t), "target_turnover_next_year", None).withColumn("log_prediction", F.col("label"))
-    return estimators.INVERSE.transform(rows).withColumn("restored", F.col("predicted"))
+    return estimators.undo_log().transform(rows).withColumn("restored", F.col("predicted"))
 
 
 # --- splits ---------------------------------------------------------------------------
@@ -160,7 +160,7 @@ def _(t):
 
 # --- metrics and selection on the benchmark folds ---------------------------------------------
 
-FOLD_KEYS = "mission cutoff_year:i horizon Model n_test_rows:i MAE:m RMSE:m R2:r"
+FOLD_KEYS = "mission cutoff_year:i horizon Model n_test_rows:i MAE:f RMSE:f R2:r"
 
 
 @query("e4_evaluate_benchmark", FOLD_KEYS, "select * from x_folds")
@@ -175,7 +175,7 @@ def _(t):
     return flow(t).folds
 
 
-@query("a6_horizon_metrics", "mission horizon Model n_test_rows:i MAE:m R2:r", """
+@query("a6_horizon_metrics", "mission horizon Model n_test_rows:i MAE:f R2:r", """
 select mission, horizon, "Model", count(*) as n_test_rows, avg(abs(y - p)) as "MAE", 1 - sum((y - p) * (y - p)) / (var_pop(y) * count(*)) as "R2" from x_predictions group by 1, 2, 3""")
 def _(t):
     return metrics.metrics(benchmark_rows(t), ["mission", "horizon", "Model"], "target_turnover_next_year", "predicted")
@@ -188,12 +188,12 @@ def benchmark_rows(t: Tables) -> DataFrame:
     return long_predictions(benchmark_predictions(training(t)), keep)
 
 
-@query("a4_metric_summary", "mission horizon Model MAE_mean:m MAE_std:m RMSE_mean:m RMSE_std:m R2_mean:r R2_std:r n_folds:i n_test_rows_total:i", "select * from x_metric_summary")
+@query("a4_metric_summary", "mission horizon Model MAE_mean:f MAE_std:f RMSE_mean:f RMSE_std:f R2_mean:r R2_std:r n_folds:i n_test_rows_total:i", "select * from x_metric_summary")
 def _(t):
     return metrics.metric_summary(flow(t).folds, ["mission", "horizon", "Model"])
 
 
-@query("a5_weighted_metrics", "mission cutoff_year:i Model n_test_rows:i MAE:m RMSE:m R2:r", """
+@query("a5_weighted_metrics", "mission cutoff_year:i Model n_test_rows:i MAE:f RMSE:f R2:r", """
 select mission, cutoff_year, "Model", count(*) as n_test_rows, sum(w * abs(y - p)) / sum(w) as "MAE", sqrt(sum(w * (y - p) * (y - p)) / sum(w)) as "RMSE",
   1 - sum(w * (y - p) * (y - p)) / (sum(w * y * y) - sum(w * y) * sum(w * y) / sum(w)) as "R2"
 from (select *, 1.0 / count(*) over (partition by company_id, cutoff_year, "Model") as w from x_predictions) z group by 1, 2, 3""")
@@ -204,7 +204,7 @@ def _(t):
     return metrics.weighted_metrics(rows, ["mission", "cutoff_year", "Model"], "target_turnover_next_year", "predicted", "w")
 
 
-@query("a7_sliced_metrics", "mission cutoff_year:i Model n_test_rows:i MAE:m R2:r", """
+@query("a7_sliced_metrics", "mission cutoff_year:i Model n_test_rows:i MAE:f R2:r", """
 select mission, cutoff_year, "Model", count(*) as n_test_rows, avg(abs(y - p)) as "MAE", 1 - sum((y - p) * (y - p)) / (var_pop(y) * count(*)) as "R2"
 from x_predictions group by 1, 2, 3 having count(*) >= 2""")
 def _(t):
@@ -231,7 +231,7 @@ def subgroup_scores(t: Tables, column: str) -> DataFrame:
     return metrics.metrics(subgroup_rows(t), ["Model", column], "target_turnover_next_year", "predicted")
 
 
-@query("a8_subgroup_metrics", "Model subgroup n_test_rows:i MAE:m RMSE:m R2:r", SUBGROUP_SQL.format(key="forecast_evidence_group"))
+@query("a8_subgroup_metrics", "Model subgroup n_test_rows:i MAE:f RMSE:f R2:r", SUBGROUP_SQL.format(key="forecast_evidence_group"))
 def _(t):
     return subgroup_scores(t, "forecast_evidence_group").withColumnRenamed("forecast_evidence_group", "subgroup")
 
@@ -257,7 +257,7 @@ def _(t):
     return ranked.withColumnRenamed("growth_trajectory", "subgroup")
 
 
-@query("a9_robustness", "mission horizon Model had_broken_fold_r2:b had_mae_blowup_fold:b robustness_violation:b worst_fold_r2:r max_fold_mae:m", "select * from x_robust")
+@query("a9_robustness", "mission horizon Model had_broken_fold_r2:b had_mae_blowup_fold:b robustness_violation:b worst_fold_r2:r max_fold_mae:f", "select * from x_robust")
 def _(t):
     return metrics.robustness(flow(t).folds, ["mission", "horizon", "Model"])
 
@@ -324,7 +324,7 @@ def _(t):
     return selection.pooled_comparison(sliced, own)
 
 
-@query("e19_performance_summary", "mission selected_model MAE_mean:m R2_mean:r n_companies:i n_panel_rows:i usable:b", """
+@query("e19_performance_summary", "mission selected_model MAE_mean:f R2_mean:r n_companies:i n_panel_rows:i usable:b", """
 select s.mission, s.selected_model, s.mae_mean as "MAE_mean", s.r2_mean as "R2_mean", (select count(distinct company_id) from x_training t where t.mission = s.mission) as n_companies,
   (select count(*) from x_training t where t.mission = s.mission) as n_panel_rows, s.usable from x_selected s where s.horizon = '1'""")
 def _(t):
@@ -361,14 +361,14 @@ def mission_rows(rows: DataFrame, mission: str) -> DataFrame:
     return rows.filter(F.col("mission") == mission)
 
 
-@query("e1_evaluate_model", "mission Model repeat:i fold:i n_train_companies:i n_test_companies:i n_test_rows:i MAE:m RMSE:m R2:r best_params")
+@query("e1_evaluate_model", "mission Model repeat:i fold:i n_train_companies:i n_test_companies:i n_test_rows:i MAE:f RMSE:f R2:r best_params")
 def _(t):
     rows = estimation_rows(t).filter(F.col("mission").isin(CORE_MISSIONS))
     scored = estimators.out_of_fold(estimators.grouped_splits(rows, 2, 1, 2), RIDGE_TUNED, ESTIMATION_SET, "total_turnover", "sample_weight", ["company_id", "year", "mission"])
     return estimators.fold_metrics(scored, ["mission", "repeat", "fold"])
 
 
-@query("e2_run_bakeoff", "mission Model MAE_mean:m MAE_std:m RMSE_mean:m R2_mean:r R2_std:r n_folds:i")
+@query("e2_run_bakeoff", "mission Model MAE_mean:f MAE_std:f RMSE_mean:f R2_mean:r R2_std:r n_folds:i")
 def _(t):
     rows = training_rows_with_adjacent(t)
     folds = None
@@ -388,7 +388,7 @@ def training_rows_with_adjacent(t: Tables, weights: dict[str, float] = ADJACENT_
     return writers.written(adjacent.mission_training_set(space, other, weights, 0.5), "with_adjacent")
 
 
-@query("e3_evaluate_temporal", "mission cutoff_year:i Model n_test_rows:i MAE:m RMSE:m R2:r best_params")
+@query("e3_evaluate_temporal", "mission cutoff_year:i Model n_test_rows:i MAE:f RMSE:f R2:r best_params")
 def _(t):
     rows = writers.written(forecast_rows(t), "forecast_rows")
     cut = estimators.temporal_splits(rows, offsets=INNER_OFFSETS)
@@ -396,7 +396,7 @@ def _(t):
     return estimators.fold_metrics(scored, ["mission", "cutoff_year"], weighted=False)
 
 
-@query("e5_run_forecast_bakeoff", "mission cutoff_year:i horizon Model n_test_rows:i MAE:m RMSE:m R2:r")
+@query("e5_run_forecast_bakeoff", "mission cutoff_year:i horizon Model n_test_rows:i MAE:f RMSE:f R2:r")
 def _(t):
     from ledgerline.functions.numeric import horizon_bucket
 
@@ -409,7 +409,7 @@ def _(t):
     return fitted.unionByName(f.folds.select(*fitted.columns))
 
 
-@query("e10_fit_final", "company_id accounting_year:i predicted:m")
+@query("e10_fit_final", "company_id accounting_year:i predicted:f")
 def _(t):
     rows = writers.written(forecast_rows(t), "forecast_rows")
     inner = estimators.inner_years(rows, 2021, INNER_OFFSETS)
@@ -427,7 +427,7 @@ def _(t):
     return model.transform(rows).join(again, ["company_id", "accounting_year"]).withColumn("difference", F.col("predicted") - F.col("again"))
 
 
-@query("e12_sub_models", "sub_segment Model n_test_rows:i MAE:m R2:r")
+@query("e12_sub_models", "sub_segment Model n_test_rows:i MAE:f R2:r")
 def _(t):
     rows = mission_rows(estimation_rows(t), "Cross-cutting")
     parts = {"blended": rows, "consultancy_other": rows.filter(F.col("company_size") == "Medium")}
@@ -439,7 +439,7 @@ def _(t):
     return out
 
 
-@query("e14_pooled_bakeoff", "mission Model repeat:i fold:i n_test_rows:i MAE:m RMSE:m R2:r")
+@query("e14_pooled_bakeoff", "mission Model repeat:i fold:i n_test_rows:i MAE:f RMSE:f R2:r")
 def _(t):
     rows = estimation_rows(t).filter(F.col("mission").isin(CORE_MISSIONS))
     scored = estimators.out_of_fold(estimators.grouped_splits(rows, 2, 1), RIDGE, POOLED_SET, "total_turnover", "sample_weight", ["company_id", "year", "mission"])
@@ -453,19 +453,19 @@ def held_out(t: Tables) -> DataFrame:
     return estimators.mean_held_out(scored, ["company_id", "year"])
 
 
-@query("e16_oof_predictions", "company_id year:i predicted_total_turnover_oof:m n_test_folds:i actual_total_turnover:m")
+@query("e16_oof_predictions", "company_id year:i predicted_total_turnover_oof:f n_test_folds:i actual_total_turnover:m")
 def _(t):
     return held_out(t)
 
 
-@query("j15_oof_join", "company_id year:i total_turnover:m predicted_total_turnover_oof:m residual:m n_test_folds:i")
+@query("j15_oof_join", "company_id year:i total_turnover:m predicted_total_turnover_oof:f residual:f n_test_folds:i")
 def _(t):
     rows = estimation(t)[0].select("company_id", "year", "total_turnover", "mission")
     joined = mission_rows(rows, "Resilient Earth").join(held_out(t), ["company_id", "year"], "left")
     return metrics.residuals(joined, "total_turnover", "predicted_total_turnover_oof")
 
 
-@query("e17_in_sample", "company_id year:i actual:m predicted:m n_test_folds:i is_in_sample_not_oof:b")
+@query("e17_in_sample", "company_id year:i actual:m predicted:f n_test_folds:i is_in_sample_not_oof:b")
 def _(t):
     rows = mission_rows(estimation_rows(t), "ACE")
     model, _, _ = estimators.fit_final(rows, "Ridge", RIDGE["Ridge"], ESTIMATION_SET, "total_turnover", "sample_weight", [])
@@ -514,7 +514,7 @@ def predicted(t: Tables) -> DataFrame:
     return quality.validate_predictions(scored.withColumnRenamed("predicted", "predicted_total_turnover"))
 
 
-PREDICTED = "company_id mission prediction_year:i predicted_total_turnover:m reliability reliability_reason prediction_valid:b"
+PREDICTED = "company_id mission prediction_year:i predicted_total_turnover:f reliability reliability_reason prediction_valid:b"
 
 
 @query("x3_predict_mission", PREDICTED)
@@ -522,7 +522,7 @@ def _(t):
     return predicted(t)
 
 
-@query("x4_predict_cross_cutting", "company_id sub_segment predicted_total_turnover:m prediction_valid:b")
+@query("x4_predict_cross_cutting", "company_id sub_segment predicted_total_turnover:f prediction_valid:b")
 def _(t):
     rows = mission_rows(estimation_rows(t), "Cross-cutting")
     route = {"Medium": "consultancy_other"}

@@ -375,7 +375,7 @@ def _(t):
     return coverage(features.training_features(t.panel()), ["turnover_lag_1", "log_growth_1y", "growth_volatility", "assets_per_employee", "export_share"])
 
 
-@query("a21_describe", "mission n:i mean:m std:m low:m q1:m q2:m q3:m high:m", """
+@query("a21_describe", "mission n:i mean:f std:f low:m q1:m q2:m q3:m high:m", """
 select mission, count(turnover) as n, avg(turnover) as mean, stddev_samp(turnover) as std, min(turnover) as low, quantile_cont(turnover, 0.25) as q1,
   median(turnover) as q2, quantile_cont(turnover, 0.75) as q3, max(turnover) as high from x_panel group by 1""")
 def _(t):
@@ -442,7 +442,7 @@ def _(t):
     return t.company().select("company_id").exceptAll(t.panel().select("company_id").distinct())
 
 
-@query("u4_tier_union_intersect", "company_id turnover_2030:m", """
+@query("u4_tier_union_intersect", "company_id turnover_2030:f", """
 select r.company_id, s.turnover_2030 from x_runs r join x_summary s on s.company_id = r.company_id where (r.gazelle_10pct or r.gazelle_20pct) and s.turnover_2030 >= 50000000""")
 def _(t):
     f = flow(t)
@@ -635,7 +635,7 @@ def _(t):
     return scoring.usable_only(snapshot(t), selected_stub(t))[1]
 
 
-@query("c21_validate_summary", "company_id baseline_turnover:m turnover_2030:m", """
+@query("c21_validate_summary", "company_id baseline_turnover:m turnover_2030:f", """
 select company_id, baseline_turnover, turnover_2030 from x_summary where turnover_2030 is null or turnover_2030 < 0""")
 def _(t):
     return quality.summary_faults(flow(t).summary)

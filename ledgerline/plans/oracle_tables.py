@@ -248,10 +248,10 @@ select f.*, case when growth_classification = 'growing' then 'Company Historical
 from x_forecast f left join x_spread s on s.mission = f.mission and s.forecast_evidence_group = f.evidence_group
 where step > 0""",
     "x_full": """
-select company_id, mission, accounting_year, turnover, 'observed' as data_type, null as model_used, null as growth_classification,
-  null as turnover_lower, null as turnover_upper from x_panel
+select company_id, mission, accounting_year, turnover, 'observed' as data_type, cast(null as varchar) as model_used, cast(null as varchar) as growth_classification,
+  cast(null as double) as turnover_lower, cast(null as double) as turnover_upper from x_panel
 union all
-select b.company_id, b.mission, b.baseline_year, b.baseline_turnover, 'estimated_baseline', null, null, null, null from x_baseline b
+select b.company_id, b.mission, b.baseline_year, b.baseline_turnover, 'estimated_baseline', cast(null as varchar), cast(null as varchar), cast(null as double), cast(null as double) from x_baseline b
 where not exists (select 1 from x_panel p where p.company_id = b.company_id and p.accounting_year = b.baseline_year)
 union all
 select company_id, mission, accounting_year, turnover, 'predicted', model_used, growth_classification, turnover_lower, turnover_upper from x_trajectories""",

@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 from ledgerline.plans.oracle_tables import ORACLE_TABLES
 from ledgerline.sources.domain import Tables
 
-# Output kinds: s text, i integer, b boolean, m money (4 decimals), r ratio (6 decimals).
+# Output kinds: s text, i integer, b boolean, m money (4 decimals), r ratio (6 decimals),
+# f a figure that went through sums, logs or powers: compared in single precision.
 PLACES = {"m": 4, "r": 6}
 
 
@@ -46,6 +47,8 @@ def present(df: DataFrame, columns: list[tuple[str, str]]) -> DataFrame:
         c = F.col(f"`{name}`")
         if kind in PLACES:
             c = F.round(c.cast("double"), PLACES[kind])
+        elif kind == "f":
+            c = c.cast("float").cast("double")
         elif kind == "i":
             c = c.cast("bigint")
         out.append(c.alias(name))
@@ -82,6 +85,8 @@ def oracle(key: str) -> str | None:
         c = f'"{name}"'
         if kind in PLACES:
             c = f"round(cast({c} as double), {PLACES[kind]})"
+        elif kind == "f":
+            c = f"cast(cast({c} as float) as double)"
         elif kind == "i":
             c = f"cast({c} as bigint)"
         cells.append(f'{c} as "{name}"')
