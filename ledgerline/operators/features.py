@@ -269,14 +269,19 @@ def add_recency(df: DataFrame) -> DataFrame:
 
 
 def join_signals(df: DataFrame, signals: DataFrame, bridge: DataFrame) -> DataFrame:
-    """Signals by company through the URL bridge; recency by panel year."""
-    matched = signals.join(bridge, "url_norm").drop("url_norm")
+    """Signals by company through the URL bridge; recency by panel year.
+
+    Rows of one URL are reduced to their first before the join, so a URL that
+    many rows share reaches it as a single row."""
+    by_url = first_per_key(signals, ["url_norm"], ["ordinal"])
+    matched = by_url.join(bridge, "url_norm").drop("url_norm")
     one = first_per_key(matched, ["company_id"], ["ordinal"]).drop("ordinal")
     return add_recency(df.join(one, "company_id", "left"))
 
 
 def join_ratios(df: DataFrame, ratios: DataFrame, bridge: DataFrame) -> DataFrame:
-    matched = ratios.join(bridge, "url_norm").drop("url_norm")
+    by_url = first_per_key(ratios, ["url_norm", "year"], ["ordinal"])
+    matched = by_url.join(bridge, "url_norm").drop("url_norm")
     one = first_per_key(matched, ["company_id", "year"], ["ordinal"]).drop("ordinal")
     return df.join(one, ["company_id", "year"], "left")
 

@@ -47,7 +47,7 @@ def split_repeated(df: DataFrame, keys: list[str]) -> tuple[DataFrame, DataFrame
 
 
 def salted_join(
-    left: DataFrame, right: DataFrame, key: str, row: str, salts: int = 16, how: str = "left"
+    left: DataFrame, right: DataFrame, keys: list[str], row: str, salts: int = 16, how: str = "left"
 ) -> DataFrame:
     """Equi-join of a skewed left side with a table that is unique per key.
 
@@ -55,4 +55,4 @@ def salted_join(
     partitions; the unique side is repeated once per salt."""
     spread = left.withColumn("_salt", F.pmod(F.xxhash64(row), F.lit(salts)).cast("int"))
     repeated = right.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    return spread.join(repeated, [key, "_salt"], how).drop("_salt")
+    return spread.join(repeated, [*keys, "_salt"], how).drop("_salt")

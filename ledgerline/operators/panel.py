@@ -145,7 +145,8 @@ def weeks_factors(statements: DataFrame, bridge: DataFrame, url: str, order: str
     rows = statement_records(
         statements, [normalized_url(F.col(url)).alias("url_norm"), F.col(order)], fields
     ).filter(F.col("weeks").isNotNull())
-    matched = rows.join(bridge, "url_norm").drop("url_norm")
+    by_url = first_per_key(rows, ["url_norm", "year"], ["statement", order])
+    matched = by_url.join(bridge, "url_norm").drop("url_norm")
     best = first_per_key(matched, ["company_id", "year"], ["statement", order])
     return best.select(
         "company_id", "year", "weeks", ratio(F.lit(52.0), F.col("weeks")).alias("annualization_factor")

@@ -35,7 +35,7 @@ def reliability(df: DataFrame, training: DataFrame) -> DataFrame:
             F.concat_ws("|", "mission", "value").alias("_value"), F.lit(True).alias(f"_seen_{c}")
         )
         value = F.when(F.col(c).isNotNull(), F.concat_ws("|", "mission", F.col(c).cast("string")))
-        out = salted_join(out.withColumn("_value", value), seen, "_value", "company_id").drop("_value")
+        out = salted_join(out.withColumn("_value", value), seen, ["_value"], "company_id").drop("_value")
         unseen = F.col(c).isNotNull() & F.col(f"_seen_{c}").isNull()
         reasons.append(F.when(unseen, f"unseen_{c}_category"))
     out = out.withColumn("reliability_reason", F.concat_ws("; ", *reasons))

@@ -37,10 +37,10 @@ def assign_missions(
     mission is taken and the method says so."""
     n = range(len(missions))
     by_code, by_word = profiles(known, missions, code, text)
-    words = salted_join(keyword_rows(targets, text, ["company_id"]), by_word, "keyword", "company_id", how="inner")
+    words = salted_join(keyword_rows(targets, text, ["company_id"]), by_word, ["keyword"], "company_id", how="inner")
     word_hits = words.groupBy("company_id").agg(*[F.sum(f"n{i}").alias(f"w{i}") for i in n])
     coded = by_code.select(code, *[F.col(f"n{i}").alias(f"c{i}") for i in n])
-    out = salted_join(targets.select("company_id", code), coded, code, "company_id")
+    out = salted_join(targets.select("company_id", code), coded, [code], "company_id")
     out = out.join(word_hits, "company_id", "left").fillna(0)
     sizes = {f"_size{i}": s for i, s in enumerate(_sizes(known, missions))}
     out = out.withColumns(sizes)

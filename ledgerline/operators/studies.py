@@ -4,6 +4,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ledgerline.functions.numeric import ratio
+from ledgerline.operators.keys import salted_join
 from ledgerline.operators.metrics import r_squared
 from ledgerline.operators.panel import quoted
 from ledgerline.operators.ranks import attach, average_ranks, quantile
@@ -75,11 +76,12 @@ def leakage_check(df: DataFrame, formulas: dict[str, tuple[str, str, float]]) ->
 def spearman(df: DataFrame, groups: list[str], feature: str, target: str, out: str) -> DataFrame:
     """Rank correlation per group from exact average ranks."""
     both = df.filter(F.col(feature).isNotNull() & F.col(target).isNotNull()).select(
-        *groups, F.col(feature).cast("double").alias("a"), F.col(target).cast("double").alias("b")
-    )
-    ranked = both.join(average_ranks(both, groups, "a", "ra"), [*groups, "a"]).join(
-        average_ranks(both, groups, "b", "rb"), [*groups, "b"]
+        *groups, "company_id", F.col(feature).cast("double").alias("a"), F.col(target).cast("double").alias("b")
     )
+    ranked = both
+    for value, rank in (("a", "ra"), ("b", "rb")):
+        ranks = average_ranks(both, groups, value, rank)
+        ranked = salted_join(ranked, ranks, [*groups, value], "company_id", how="inner")
     return ranked.groupBy(*groups).agg(F.corr("ra", "rb").alias(out))
 
 

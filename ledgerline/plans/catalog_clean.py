@@ -23,7 +23,7 @@ from ledgerline.settings import (
     STATEMENT_FIELDS,
 )
 from ledgerline.sources import readers, writers
-from ledgerline.sources.domain import DATA_YEARS, MISSION_OF, Tables, exact, shifted
+from ledgerline.sources.domain import DATA_YEARS, MISSION_OF, Tables, cents, money, shifted
 
 YEAR_COLUMNS = [f"Total Turnover (CH {y})" for y in DATA_YEARS]
 
@@ -37,7 +37,7 @@ def dirty(t: Tables) -> DataFrame:
     grouped = orders.groupBy(
         "o_custkey", F.year(shifted(F.col("o_orderdate"))).alias("y"), F.col("o_orderstatus").alias("status")
     ).agg(
-        F.sum(exact("o_totalprice")).cast("decimal(38,2)").cast("string").alias("total"),
+        money(F.sum(cents("o_totalprice"))).cast("string").alias("total"),
         F.count("*").alias("n"),
         F.min("o_orderkey").alias("row"),
     )
@@ -190,7 +190,7 @@ def _(t):
 
 
 def yearly_totals(df: DataFrame) -> DataFrame:
-    return df.groupBy("mission", "accounting_year").agg(F.sum(exact("turnover")).cast("double").alias("turnover"))
+    return df.groupBy("mission", "accounting_year").agg(money(F.sum(cents("turnover"))).alias("turnover"))
 
 
 @query("s7_upsert_by_mission", "mission accounting_year:i turnover:m", """
@@ -540,7 +540,7 @@ def _(t):
 select mission, count(*) as rows, cast(sum(cast(round(turnover, 2) as decimal(18,2))) as double) as turnover from x_panel group by mission""")
 def _(t):
     guarded = quality.guard_non_negative(t.panel(), ["turnover", "employees", "total_assets"])
-    total = F.sum(exact(F.round("turnover", 2))).cast("double")
+    total = money(F.sum(cents(F.round("turnover", 2))))
     return guarded.groupBy("mission").agg(F.count("*").alias("rows"), total.alias("turnover"))
 
 

@@ -302,7 +302,7 @@ def _(t):
     out = None
     for weight in (0.2, 0.5, 1.0):
         scale = F.when(F.col("population_type") == "adjacent", F.lit(weight)).otherwise(1.0)
-        weighted = mission_rows(rows, "ACE").withColumn("sample_weight", F.col("sample_weight") * scale)
+        weighted = rows.filter(F.col("mission").isin(CORE_MISSIONS)).withColumn("sample_weight", F.col("sample_weight") * scale)
         scored = estimators.out_of_fold(estimators.grouped_splits(weighted, 2, 1), RIDGE, preprocess.ESTIMATION_SET, "total_turnover", "sample_weight", ["company_id", "mission"])
         part = estimators.fold_metrics(scored, ["mission", "repeat", "fold"]).groupBy("mission").agg(F.avg("R2").alias("R2"))
         part = part.withColumn("adjacent_weight", F.lit(weight))

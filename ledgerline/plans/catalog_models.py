@@ -448,7 +448,7 @@ def _(t):
 
 
 def held_out(t: Tables) -> DataFrame:
-    rows = mission_rows(estimation_rows(t), "Resilient Earth")
+    rows = estimation_rows(t).filter(F.col("mission").isin(CORE_MISSIONS))
     scored = estimators.out_of_fold(estimators.grouped_splits(rows, 2, 2), RIDGE, ESTIMATION_SET, "total_turnover", "sample_weight", ["company_id", "year"])
     return estimators.mean_held_out(scored, ["company_id", "year"])
 
@@ -461,13 +461,13 @@ def _(t):
 @query("j15_oof_join", "company_id year:i total_turnover:m predicted_total_turnover_oof:f residual:f n_test_folds:i")
 def _(t):
     rows = estimation(t)[0].select("company_id", "year", "total_turnover", "mission")
-    joined = mission_rows(rows, "Resilient Earth").join(held_out(t), ["company_id", "year"], "left")
+    joined = rows.filter(F.col("mission").isin(CORE_MISSIONS)).join(held_out(t), ["company_id", "year"], "left")
     return metrics.residuals(joined, "total_turnover", "predicted_total_turnover_oof")
 
 
 @query("e17_in_sample", "company_id year:i actual:m predicted:f n_test_folds:i is_in_sample_not_oof:b")
 def _(t):
-    rows = mission_rows(estimation_rows(t), "ACE")
+    rows = estimation_rows(t).filter(F.col("mission").isin(list(ADJACENT_WEIGHTS)))
     model, _, _ = estimators.fit_final(rows, "Ridge", RIDGE["Ridge"], ESTIMATION_SET, "total_turnover", "sample_weight", [])
     return model.transform(rows).withColumns(
         {"actual": F.col("total_turnover"), "n_test_folds": F.lit(0), "is_in_sample_not_oof": F.lit(True)})

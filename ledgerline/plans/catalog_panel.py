@@ -11,6 +11,7 @@ from ledgerline.plans.flow import ForecastFlow
 from ledgerline.plans.registry import query
 from ledgerline.settings import ADJACENT, CORE_MISSIONS, ENGINEERED, SPACE
 from ledgerline.sources.domain import DATA_YEARS, Tables, annualized
+from ledgerline.sources.writers import written
 
 # --- reshape -----------------------------------------------------------------------
 
@@ -58,7 +59,8 @@ def _(t):
 
 
 def flow(t: Tables) -> ForecastFlow:
-    return ForecastFlow(t.panel(), t.baseline(), t.static())
+    t.stored_filed()
+    return ForecastFlow(t.panel(), written(t.baseline(), "baseline"), t.static())
 
 
 def trajectories(t: Tables) -> DataFrame:

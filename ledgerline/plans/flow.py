@@ -1,27 +1,21 @@
 """The forecast from validated inputs to reports, stage by stage.
 
-Stages that several later steps read (panel, baseline, trajectories) are written
-once to the shared folder; everything else stays lazy."""
+The inputs should be stored tables. Stages that several later steps read
+(training rows, folds, trajectories) are written once to the shared folder;
+everything else stays lazy."""
 
 from functools import cached_property
 
 from pyspark.sql import DataFrame
 
-from ledgerline.operators import features, forecast, panel, reports
+from ledgerline.operators import features, forecast, reports
+from ledgerline.operators.panel import history_properties
 from ledgerline.sources.writers import written
 
 
 class ForecastFlow:
-    def __init__(self, rows: DataFrame, baseline: DataFrame, static: DataFrame):
-        self.source, self.source_baseline, self.static = rows, baseline, static
-
-    @cached_property
-    def panel(self) -> DataFrame:
-        return written(self.source, "panel")
-
-    @cached_property
-    def baseline(self) -> DataFrame:
-        return written(self.source_baseline, "baseline")
+    def __init__(self, panel: DataFrame, baseline: DataFrame, static: DataFrame):
+        self.panel, self.baseline, self.static = panel, baseline, static
 
     @cached_property
     def growth(self) -> DataFrame:
@@ -37,7 +31,7 @@ class ForecastFlow:
 
     @cached_property
     def history(self) -> DataFrame:
-        return panel.history_properties(self.panel)
+        return history_properties(self.panel)
 
     @cached_property
     def groups(self) -> DataFrame:

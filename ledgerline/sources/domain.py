@@ -3,7 +3,10 @@
 Customers stand in for companies, order years (shifted by 20 to fall into the
 supported range) for accounting years, suppliers for adjacent companies, events
 for funding signals. A company with a negative balance files no turnover. The
-first year of a company is a stub period from its first order to the year end."""
+first year of a company is a stub period from its first order to the year end.
+
+Tables that stand for raw input files (master, statements, exports) are stored
+once per `Tables`, as the files they stand for would be; the others stay lazy."""
 
 from collections.abc import Callable
 from functools import wraps
@@ -43,9 +46,14 @@ MISSION_OF = {
 }
 
 
-def exact(col: Column | str) -> Column:
+def cents(col: Column | str) -> Column:
+    """Two-decimal amount as whole cents, so sums are exact and cheap in any order."""
     c = F.col(col) if isinstance(col, str) else col
-    return c.cast("decimal(18,2)")
+    return F.floor(c * 100 + 0.5)
+
+
+def money(total: Column, factor: int = 1) -> Column:
+    return (total * factor) / F.lit(100.0)
 
 
 def mission_of(segment: Column) -> Column:
@@ -118,9 +126,9 @@ class Tables:
             self.table("lineitem")
             .groupBy("l_orderkey")
             .agg(
-                F.sum(exact("l_quantity")).alias("q"),
-                F.sum(exact("l_extendedprice")).alias("a"),
-                F.sum(F.when(F.col("l_returnflag") == "R", exact("l_extendedprice"))).alias("x"),
+                F.sum(cents("l_quantity")).alias("q"),
+                F.sum(cents("l_extendedprice")).alias("a"),
+                F.sum(F.when(F.col("l_returnflag") == "R", cents("l_extendedprice"))).alias("x"),
             )
         )
         orders = self.table("orders").select("o_orderkey", "o_custkey", "o_totalprice", "o_orderdate")
@@ -129,10 +137,10 @@ class Tables:
             orders.join(lines, F.col("o_orderkey") == F.col("l_orderkey"), "left")
             .groupBy("o_custkey", year.alias("accounting_year"))
             .agg(
-                (F.sum(exact("o_totalprice")) * 20).cast("double").alias("turnover"),
-                F.sum("q").cast("double").alias("employees"),
-                F.sum("a").cast("double").alias("total_assets"),
-                F.sum("x").cast("double").alias("export_revenue"),
+                money(F.sum(cents("o_totalprice")), 20).alias("turnover"),
+                money(F.sum("q")).alias("employees"),
+                money(F.sum("a")).alias("total_assets"),
+                money(F.sum("x")).alias("export_revenue"),
                 F.min(shifted(F.col("o_orderdate"))).alias("first_date"),
                 F.max(shifted(F.col("o_orderdate"))).alias("last_date"),
             )
@@ -147,6 +155,12 @@ class Tables:
             "company_id", F.concat(F.lit("c"), F.col("o_custkey").cast("string"))
         )
 
+    @once
+    def stored_filed(self) -> DataFrame:
+        """`filed`, stored: both inputs of the forecast are cut from it."""
+        self.built["filed"] = written(self.filed(), "filed")
+        return self.built["filed"]
+
     @once
     def filed(self) -> DataFrame:
         """Filings with their company's facts; turnover only where one is filed."""
@@ -260,7 +274,7 @@ class Tables:
             ]
         )
         words = F.concat_ws(",", F.col("value_stream"), F.concat(F.lit("Nation "), F.col("sic_code_1").cast("int").cast("string")))
-        return facts.withColumn(MASTER_KEYWORDS, words).join(wide, "company_id", "left")
+        return written(facts.withColumn(MASTER_KEYWORDS, words).join(wide, "company_id", "left"), "master")
 
     @once
     def segmented(self) -> DataFrame:
@@ -318,18 +332,18 @@ class Tables:
         wide = rows.groupBy("company_id").agg(*columns)
         url = F.concat(F.lit(" "), F.upper("profile_url"), F.lit("/"))
         keyed = self.company().select("company_id", "ordinal", url.alias("profile_url"))
-        return keyed.join(wide, "company_id").drop("company_id")
+        return written(keyed.join(wide, "company_id").drop("company_id"), "statements")
 
     @once
     def signals(self) -> DataFrame:
         """Funding signals per company from its events, keyed by profile URL."""
-        value = exact("value")
+        value = F.col("value")
         kind = F.col("event_type")
 
         def text_total(event: str) -> Column:
-            total = F.sum(F.when(kind == event, value))
+            total = F.sum(F.when(kind == event, cents("value")))
             small = F.coalesce(F.max(F.when(kind == event, value)) < 25, F.lit(True))
-            return F.when(small, "(no value)").otherwise(total.cast("string"))
+            return F.when(small, "(no value)").otherwise(money(total).cast("string"))
 
         def latest(event: str) -> Column:
             months = F.floor(F.max(F.when(kind == event, value))).cast("int")
@@ -371,9 +385,9 @@ class Tables:
             self.table("lineitem")
             .groupBy("l_suppkey", year.alias("year"))
             .agg(
-                (F.sum(exact("l_extendedprice")) * 2).cast("double").alias("turnover"),
-                F.sum(exact("l_quantity")).cast("double").alias("employees"),
-                F.sum(F.when(F.col("l_returnflag") == "A", exact("l_extendedprice"))).cast("double").alias("assets"),
+                money(F.sum(cents("l_extendedprice")), 2).alias("turnover"),
+                money(F.sum(cents("l_quantity"))).alias("employees"),
+                money(F.sum(F.when(F.col("l_returnflag") == "A", cents("l_extendedprice")))).alias("assets"),
                 F.max(shifted(F.col("l_shipdate"))).alias("last_date"),
                 F.count_distinct(F.weekofyear(shifted(F.col("l_shipdate")))).alias("active_weeks"),
             )

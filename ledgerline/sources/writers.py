@@ -76,7 +76,8 @@ def written(df: DataFrame, name: str, partition: str | None = None) -> DataFrame
     Cuts lineage; a lost executor costs a re-read, not a recomputation."""
     path = stage_path(df.sparkSession, name)
     write_stage(df, path, partition)
-    return df.sparkSession.read.schema(df.schema).parquet(path).select(*df.columns)
+    columns = [f"`{c}`" for c in df.columns]
+    return df.sparkSession.read.schema(df.schema).parquet(path).select(*columns)
 
 
 def upsert_by_mission(prior: DataFrame, new: DataFrame) -> DataFrame:

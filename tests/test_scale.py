@@ -15,7 +15,8 @@ from ledgerline.sources.domain import Tables
 @pytest.fixture(scope="module")
 def flow(spark, data):
     t = Tables(spark, data)
-    return ForecastFlow(t.panel(), t.baseline(), t.static())
+    t.stored_filed()
+    return ForecastFlow(writers.written(t.panel(), "panel"), writers.written(t.baseline(), "baseline"), t.static())
 
 
 def skewed_values(n=3000, seed=7):
@@ -55,7 +56,7 @@ def test_hash_numbering_is_a_permutation(spark):
 def test_salted_join_equals_plain_join(spark):
     left = spark.createDataFrame([(i, "hot" if i % 3 else f"k{i}") for i in range(300)], "i int, k string")
     right = spark.createDataFrame([("hot", 1), ("k3", 2)], "k string, v int")
-    salted = keys.salted_join(left, right, "k", "i")
+    salted = keys.salted_join(left, right, ["k"], "i")
     assert sorted(map(tuple, salted.select("i", "v").collect()), key=str) == sorted(
         map(tuple, left.join(right, "k", "left").select("i", "v").collect()), key=str)
 
