@@ -4,6 +4,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ledgerline.llm.chat import OP3_SQL, op3_chat_format
+from ledgerline.llm.mixing import OP4_SQL, op4_mix_sources
 from ledgerline.llm.quality import op2_quality_rules
 from ledgerline.llm.tokencount import op9_token_counts
 
@@ -11,8 +13,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op2_quality_rules,
+        op3_chat_format,
+        op4_mix_sources,
         op9_token_counts,
     )
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op3_chat_format": OP3_SQL, "op4_mix_sources": OP4_SQL}
