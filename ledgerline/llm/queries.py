@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from ledgerline.llm.chat import OP3_SQL, op3_chat_format
 from ledgerline.llm.mixing import OP4_SQL, op4_mix_sources
 from ledgerline.llm.quality import op2_quality_rules
+from ledgerline.llm.secrets import op8_secret_scan
 from ledgerline.llm.tokencount import op9_token_counts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
@@ -15,6 +16,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op2_quality_rules,
         op3_chat_format,
         op4_mix_sources,
+        op8_secret_scan,
         op9_token_counts,
     )
 }
