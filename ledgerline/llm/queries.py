@@ -5,6 +5,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from ledgerline.llm.chat import OP3_SQL, op3_chat_format
+from ledgerline.llm.decontam import op1_decontaminate
+from ledgerline.llm.licenses import op7_license_scan
 from ledgerline.llm.mixing import OP4_SQL, op4_mix_sources
 from ledgerline.llm.quality import op2_quality_rules
 from ledgerline.llm.secrets import op8_secret_scan
@@ -13,9 +15,11 @@ from ledgerline.llm.tokencount import op9_token_counts
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
+        op1_decontaminate,
         op2_quality_rules,
         op3_chat_format,
         op4_mix_sources,
+        op7_license_scan,
         op8_secret_scan,
         op9_token_counts,
     )
