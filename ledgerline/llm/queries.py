@@ -11,6 +11,7 @@ from ledgerline.llm.mixing import OP4_SQL, op4_mix_sources
 from ledgerline.llm.quality import op2_quality_rules
 from ledgerline.llm.secrets import op8_secret_scan
 from ledgerline.llm.tokencount import op9_token_counts
+from ledgerline.llm.toxicity import op6_toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
@@ -19,6 +20,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op2_quality_rules,
         op3_chat_format,
         op4_mix_sources,
+        op6_toxicity,
         op7_license_scan,
         op8_secret_scan,
         op9_token_counts,

@@ -28,7 +28,7 @@ LETTERS[[*range(0x30, 0x3A), *range(0x61, 0x7B), *range(0x80, 0x100)]] = True
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[0x41:0x5B] += 0x20
 
-_LOW_BYTES = np.array([(1 << (8 * k)) - 1 for k in range(9)], dtype=np.uint64)
+LOW_BYTES = np.array([(1 << (8 * k)) - 1 for k in range(9)], dtype=np.uint64)
 
 
 def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -86,10 +86,10 @@ class Words:
         """A 64-bit key of each word's bytes; equal words have equal keys."""
         view = np.ndarray(len(self.data) - 7, dtype="<u8", buffer=self.data, strides=(1,))
         length = self.end - self.start
-        h = mix((view[self.start] & _LOW_BYTES[np.minimum(length, 8)]) + length.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+        h = mix((view[self.start] & LOW_BYTES[np.minimum(length, 8)]) + length.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
         done, rest = 8, np.flatnonzero(length > 8)
         while len(rest):
-            part = view[self.start[rest] + done] & _LOW_BYTES[np.minimum(length[rest] - done, 8)]
+            part = view[self.start[rest] + done] & LOW_BYTES[np.minimum(length[rest] - done, 8)]
             h[rest] = mix(h[rest] * np.uint64(0x94D049BB133111EB) ^ part)
             done += 8
             rest = rest[length[rest] > done]
