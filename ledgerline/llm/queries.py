@@ -10,6 +10,7 @@ from ledgerline.llm.licenses import op7_license_scan
 from ledgerline.llm.mixing import OP4_SQL, op4_mix_sources
 from ledgerline.llm.quality import op2_quality_rules
 from ledgerline.llm.secrets import op8_secret_scan
+from ledgerline.llm.simhash import op10_simhash
 from ledgerline.llm.tokencount import op9_token_counts
 from ledgerline.llm.toxicity import op6_toxicity
 
@@ -24,6 +25,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op7_license_scan,
         op8_secret_scan,
         op9_token_counts,
+        op10_simhash,
     )
 }
 
