@@ -14,7 +14,7 @@ no source is sorted as a whole. All arithmetic up to the last division is on int
 so reruns agree.
 
 Cases: a null text has size 0; a null source is a source of its own, the last one; a
-source of size 0 has target 0; equal ids are ordered by size and text; without rows
+source of size 0 has target 0; equal ids are ordered by size and the text's digest; without rows
 there is nothing to do."""
 
 from __future__ import annotations
@@ -24,11 +24,13 @@ from pyspark.sql import functions as F
 
 from ledgerline.llm.ranked import with_position
 from ledgerline.llm.rows import table
+from ledgerline.sources.writers import written
 
 WEIGHTS = (5, 2, 1)  # by position of the source, repeating
 MAX_EPOCHS = 3
 SEED = "mix-1"
 PREFIX_HEX = 4  # hex digits of a digest prefix
+BROADCAST_SOURCES = 100_000  # up to so many sources (some 10 MB) their targets are sent to every task
 WORD = r"[^\x20\x09-\x0D]+"
 
 
@@ -70,6 +72,7 @@ def mixed(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_epochs: int =
     own = ["size", "source_size", "target", "copies"]
     rows = docs.drop(*own).withColumns({"size": word_count(), "_digest": digest(seed), "_source": F.col("source")})
     rows = rows.withColumn("_prefix", F.conv(F.substring("_digest", 1, PREFIX_HEX), 16, 10).cast("int"))
+    rows = rows.withColumn("_text", F.md5(F.col("text").cast("string")))
     small = rows.select("_source", "_prefix", "size").groupBy("_source", "_prefix").agg(F.sum("size").alias("size"))
     prefixes = small.withColumn(
         "before", F.sum("size").over(Window.partitionBy("_source").orderBy("_prefix")) - F.col("size")
@@ -91,11 +94,12 @@ def mixed(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_epochs: int =
         F.max(F.when(inside, F.col("before") + F.col("size"))).alias("_taken"),
     )
     plan = plan.alias("p").join(cut.alias("c"), F.expr("p._key <=> c._key")).select("p.*", "c._cut", "c._taken")
-    placed = rows.join(plan, same)
+    plan = written(plan, "mix-plan")
+    placed = rows.join(F.broadcast(plan) if sources.count() <= BROADCAST_SOURCES else plan, same)
     clear = F.col("_cut").isNull() | (F.col("_prefix") != F.col("_cut"))
     early = F.col("_cut").isNull() | (F.col("_prefix") < F.col("_cut"))
     sure = placed.filter(clear).withColumn("copies", F.col("_whole") + early.cast("bigint"))
-    order = Window.partitionBy("_source").orderBy("_digest", "size", "text").rowsBetween(Window.unboundedPreceding, 0)
+    order = Window.partitionBy("_source").orderBy("_digest", "size", "_text").rowsBetween(Window.unboundedPreceding, 0)
     edge = placed.filter(~clear).withColumn("_sum", F.sum("size").over(order) + F.coalesce(F.col("_taken"), F.lit(0)))
     edge = edge.withColumn("copies", F.col("_whole") + (2 * F.col("_sum") - F.col("size") <= 2 * F.col("_rest")).cast("bigint"))
     names = [*(c for c in docs.columns if c not in own), *own]
@@ -140,7 +144,7 @@ with recursive sized as (
   select *, case when source_size = 0 then 0 else floor(target / source_size) end as epochs from targets
 ), summed as (
   select s.*, p.source_size, p.target, p.epochs, p.target - p.epochs * p.source_size as rest,
-    sum(s.size) over (partition by s.source order by s.digest, s.size, s.text rows unbounded preceding) as running
+    sum(s.size) over (partition by s.source order by s.digest, s.size, md5(s.text) rows unbounded preceding) as running
   from sized s join planned p on s.source is not distinct from p.source
 )
 select doc_id, size, source_size, target,
