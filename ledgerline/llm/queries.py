@@ -11,6 +11,7 @@ from ledgerline.llm.mixing import OP4_SQL, op4_mix_sources
 from ledgerline.llm.quality import op2_quality_rules
 from ledgerline.llm.secrets import op8_secret_scan
 from ledgerline.llm.simhash import op10_simhash
+from ledgerline.llm.substrings import op5_substring_dedup
 from ledgerline.llm.tokencount import op9_token_counts
 from ledgerline.llm.toxicity import op6_toxicity
 
@@ -21,6 +22,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op2_quality_rules,
         op3_chat_format,
         op4_mix_sources,
+        op5_substring_dedup,
         op6_toxicity,
         op7_license_scan,
         op8_secret_scan,
