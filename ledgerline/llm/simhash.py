@@ -197,15 +197,15 @@ def groups(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """Every row's kept columns, `fingerprint`, `root` (the group's own, both bigint) and
     `component_id`, the group's smallest doc_id."""
     assert "doc_id" in keep
-    outputs = "fingerprint bigint"
-    rows = written(annotate(docs, outputs, lambda step: [fingerprints(step.column(TEXT)).view(np.int64)], keep), "fingerprints")
+    keep = tuple(k for k in keep if k not in ("root", "component_id"))
+    prints = annotate(docs, "fingerprint bigint", lambda step: [fingerprints(step.column(TEXT)).view(np.int64)], keep)
+    rows = written(prints, "fingerprints")
     nodes = rows.groupBy("fingerprint").agg(F.min("doc_id").alias("low"))
     linked = components(links_of(nodes.select("fingerprint"))).withColumnRenamed("node", "fingerprint")
     nodes = nodes.join(linked, "fingerprint", "left").withColumn("root", F.coalesce("root", "fingerprint"))
     lows = nodes.groupBy("root").agg(F.min("low").alias("component_id"))
     named = nodes.select("fingerprint", "root").join(lows, "root").select("fingerprint", "root", "component_id")
-    own = quoted(c for c in rows.columns if c not in ("root", "component_id"))
-    return rows.join(named, "fingerprint", "left").select(*own, "root", "component_id")
+    return rows.join(named, "fingerprint", "left").select(*quoted(rows.columns), "root", "component_id")
 
 
 def first_of_groups(docs: DataFrame) -> DataFrame:
