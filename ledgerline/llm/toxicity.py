@@ -2,7 +2,7 @@
 
 Terms are lower-cased words and their byte prefixes (stems, so that unseen endings still
 meet). A bounded, seeded sample of labelled rows gives the examples and picks the terms
-that mark label 1 (z of the log odds, each feature's support counted once a text);
+that mark label 1 most clearly (likelihood ratio of the counts of texts that hold them);
 document frequencies of those terms are counted over all texts. Examples lie in blocks;
 every posting list has the largest weight of each block, so the sum of a text's weights
 times those bounds a block's best cosine, and blocks are scored from the largest bound
@@ -31,12 +31,11 @@ from ledgerline.llm.rows import TEXT, annotate, gathered, table
 from ledgerline.llm.textwords import LETTERS, LOW_BYTES, STEP_BYTES, Words, mix, steps, words_of
 
 EXAMPLES = 3_000  # of each label at most, those of smallest hash
-TERMS = 2_048
+TERMS = 512
 PREFIXES = (4, 5, 6, 7)  # bytes
-SUPPORT, SUPPORT_SHARE = 3, 0.01  # example texts of label 1 that a term stands in, at least
-Z = 3.0
+G = 15.0  # likelihood-ratio statistic from which a term may be chosen
 K = 15
-BLOCK = 64  # examples
+BLOCK = 256  # examples
 PRIOR_MASS = 0.5
 CUT = 0.7  # predicted 1 from this score on
 FOLDS, HELD_OUT = 3, 1
@@ -112,11 +111,11 @@ class BlockMaxIndex:
             # a hair of slack: bound and cosine are added up in different orders
             if bound[block] <= 0 or (len(best) >= k and bound[block] < best[k - 1] * (1 - 1e-12)):
                 break
-            scores = np.zeros(BLOCK)
-            for t, w in zip(term, weight, strict=True):
-                a, b = self.bounds[t * self.blocks + block], self.bounds[t * self.blocks + block + 1]
-                if a < b:
-                    scores[self.example[a:b] - block * BLOCK] += w * self.weight[a:b]
+            at = term * self.blocks + block
+            first, size = self.bounds[at], self.bounds[at + 1] - self.bounds[at]
+            posting = np.arange(size.sum()) + np.repeat(first - np.cumsum(size) + size, size)
+            share = np.repeat(weight, size) * self.weight[posting]
+            scores = np.bincount(self.example[posting] - block * BLOCK, share, minlength=BLOCK)
             some = np.flatnonzero(scores)
             some = some[some + block * BLOCK != skip]
             who = np.concatenate([who, some + block * BLOCK])
@@ -162,6 +161,18 @@ def held_out(doc_id: str = "doc_id") -> Column:
     return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % FOLDS == HELD_OUT, F.lit(False))
 
 
+def likelihood_ratio(all_ones: int, all_zeros: int) -> Column:
+    """Statistic of a term in `ones` and `zeros` example texts of the two labels; 0 if it doesn't speak for label 1."""
+    one, zero = F.col("ones").cast("double"), F.col("zeros").cast("double")
+    cells = [(one, all_ones), (zero, all_zeros), (all_ones - one, all_ones), (all_zeros - zero, all_zeros)]
+    sums = [one + zero, one + zero, all_ones + all_zeros - one - zero, all_ones + all_zeros - one - zero]
+    terms = [
+        F.when(n > 0, n * F.log(n * float(all_ones + all_zeros) / (s * float(size)))).otherwise(0.0)
+        for (n, size), s in zip(cells, sums, strict=True)
+    ]
+    return F.when(one * all_zeros > zero * all_ones, 2 * sum(terms[1:], terms[0])).otherwise(0.0)
+
+
 def logistic(vote: np.ndarray, label: np.ndarray, weight: np.ndarray) -> tuple[float, float]:
     """Slope and offset by Newton steps, with a small pull of the slope to 0."""
     x = np.stack([vote, np.ones_like(vote)], axis=1)
@@ -217,12 +228,8 @@ def train(docs: DataFrame, labels: DataFrame, most: int = EXAMPLES) -> Model:
     empty = Model(Vocabulary(np.zeros(0, np.uint64)), np.zeros(0), None, *[np.zeros(0)] * 3, (0.0, float(np.log(base / (1 - base)))))
     if sizes is None or not sizes["ones"] or not sizes["zeros"]:
         return empty
-    one, zero = F.col("ones"), F.col("zeros")
-    with_, without = (one + 0.5) / (F.lit(sizes["ones"]) - one + 0.5), (zero + 0.5) / (F.lit(sizes["zeros"]) - zero + 0.5)
-    spread = sum(1 / (c + 0.5) for c in (one, F.lit(sizes["ones"]) - one, zero, F.lit(sizes["zeros"]) - zero))
-    z = ((F.log(with_) - F.log(without)) / F.sqrt(spread)).alias("z")
-    enough = max(SUPPORT, SUPPORT_SHARE * sizes["ones"])
-    best = found.filter(F.col("key").isNotNull() & (one >= enough)).select("key", z).filter(F.col("z") >= Z).orderBy(F.desc("z"), "key").limit(TERMS)
+    best = found.filter("key is not null").select("key", "ones", likelihood_ratio(sizes["ones"], sizes["zeros"]).alias("g"))
+    best = best.filter(F.col("g") >= G).orderBy(F.desc("g"), F.desc("ones"), "key").limit(TERMS)
     chosen = np.array([r["key"] for r in best.collect()], np.int64).view(np.uint64)
     if not len(chosen):
         return empty
