@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from ledgerline.functions import numeric as N
 from ledgerline.functions import text as X
 from ledgerline.operators import adjacent, features, identity, panel, quality, scoring, segments
+from ledgerline.operators.keys import join_facts
 from ledgerline.operators.metrics import residuals
 from ledgerline.operators.reports import crossings
 from ledgerline.plans.registry import query
@@ -21,11 +22,12 @@ from ledgerline.settings import (
     REQUIRED_PANEL_FIELDS,
     STATEMENT_DATE,
     STATEMENT_FIELDS,
+    YEARS,
 )
 from ledgerline.sources import readers, writers
-from ledgerline.sources.domain import DATA_YEARS, MISSION_OF, Tables, cents, money, shifted
+from ledgerline.sources.domain import MISSION_OF, Tables, cents, money, shifted
 
-YEAR_COLUMNS = [f"Total Turnover (CH {y})" for y in DATA_YEARS]
+YEAR_COLUMNS = [f"Total Turnover (CH {y})" for y in YEARS]
 
 # --- helper tables -----------------------------------------------------------------
 
@@ -403,10 +405,11 @@ def checked_panel(t: Tables) -> tuple[DataFrame, DataFrame]:
 
 
 def dirty_baseline(t: Tables) -> DataFrame:
-    """First order row per company under the baseline field names."""
+    """Rows of each company's latest order year under the baseline field names."""
     d = dirty(t)
     source = F.when(F.col("status") == "O", "predicted").otherwise("observed")
-    return d.filter(F.col("accounting_year") >= 2021).select(
+    latest = join_facts(d, d.groupBy("company_id").agg(F.max("accounting_year").alias("latest")), ["company_id"])
+    return latest.filter("accounting_year = latest").select(
         "company_id", F.col("accounting_year").alias("baseline_year"), F.col("turnover").alias("baseline_turnover"),
         "mission", source.alias("turnover_source"), "ordinal",
     )
@@ -425,7 +428,8 @@ with a as (select * from x_dirty where trim(coalesce(company_id, '')) <> ''),
  d as (select *, {CANONICAL_SQL} as canonical from c where accounting_year between 2013 and 2025 and accounting_year = floor(accounting_year))"""
 VALUE_SQL = "case when turnover not in ('n/a', '-5', '-inf', 'inf') then cast(turnover as double) end"
 FAULT_SQL = "case turnover when 'n/a' then 'turnover_non_numeric' when '-5' then 'turnover_negative' else 'turnover_non_finite' end"
-BASELINE_CHAIN_SQL = PANEL_CHAIN_SQL.replace("from x_dirty where", "from x_dirty where accounting_year >= 2021 and").replace(
+BASELINE_CHAIN_SQL = PANEL_CHAIN_SQL.replace(
+    "from x_dirty where", "from (select * from x_dirty qualify accounting_year = max(accounting_year) over (partition by company_id)) l where").replace(
     "partition by company_id, accounting_year", "partition by company_id")
 
 
@@ -587,13 +591,13 @@ def _(t):
 
 def covariates(t: Tables) -> DataFrame:
     measures = ["total_turnover", "total_employees_ch", "total_employees_est", "balance_sheet_total_assets", "total_export_revenue"]
-    return panel.melt_years(t.master(), ["company_id"], measures, DATA_YEARS)
+    return panel.melt_years(t.master(), ["company_id"], measures, YEARS)
 
 
 @query("p4_employees_source", "company_id year:i total_employees:r employee_count_source", """
 select c.company_id, y.year, coalesce(v.total_employees_ch, v.total_employees_est) as total_employees,
   case when v.total_employees_ch is not null then 'filed' when v.total_employees_est is not null then 'estimated' end as employee_count_source
-from x_company c cross join (select unnest(range(2015, 2022)) as year) y left join x_covariates v on v.company_id = c.company_id and v.year = y.year""")
+from x_company c cross join (select unnest(range(2013, 2026)) as year) y left join x_covariates v on v.company_id = c.company_id and v.year = y.year""")
 def _(t):
     return panel.employee_columns(covariates(t))
 

@@ -9,25 +9,25 @@ from ledgerline.operators.metrics import coverage, value_counts
 from ledgerline.plans.catalog_clean import YEAR_COLUMNS, covariates, dirty
 from ledgerline.plans.flow import ForecastFlow
 from ledgerline.plans.registry import query
-from ledgerline.settings import ADJACENT, CORE_MISSIONS, ENGINEERED, SPACE
-from ledgerline.sources.domain import DATA_YEARS, Tables, annualized
+from ledgerline.settings import ADJACENT, CORE_MISSIONS, ENGINEERED, SPACE, YEARS
+from ledgerline.sources.domain import Tables, annualized
 from ledgerline.sources.writers import written
 
 # --- reshape -----------------------------------------------------------------------
 
-YEARS_SQL = "x_company c cross join (select unnest(range(2015, 2022)) as year) y left join x_covariates v on v.company_id = c.company_id and v.year = y.year"
+YEARS_SQL = "x_company c cross join (select unnest(range(2013, 2026)) as year) y left join x_covariates v on v.company_id = c.company_id and v.year = y.year"
 
 
 @query("r1_melt_years", "company_id year:i balance_sheet_total_assets:m",
        f"select c.company_id, y.year, v.balance_sheet_total_assets from {YEARS_SQL}")
 def _(t):
-    return panel.melt_years(t.master(), ["company_id"], ["balance_sheet_total_assets"], DATA_YEARS)
+    return panel.melt_years(t.master(), ["company_id"], ["balance_sheet_total_assets"], YEARS)
 
 
 def labelled(t: Tables) -> tuple[DataFrame, DataFrame]:
     kept, _ = segments.split_labelled(t.master(), YEAR_COLUMNS)
     ids = ["company_id", "trading_name", "mission"]
-    return panel.long_panel(kept, ids, DATA_YEARS)
+    return panel.long_panel(kept, ids, YEARS)
 
 
 @query("r2_long_panel", "company_id year:i mission total_turnover:m total_employees:r employee_count_source balance_sheet_total_assets:m "
@@ -151,7 +151,7 @@ def _(t):
 
 def stand_in_predictions(t: Tables) -> DataFrame:
     """Predictions for companies without turnover: a tenth of the latest assets."""
-    snap = panel.covariate_snapshot(t.segmented().filter("balance < 0"), DATA_YEARS)
+    snap = panel.covariate_snapshot(t.segmented().filter("balance < 0"), YEARS)
     value = F.col("balance_sheet_total_assets") / 10
     low = F.col("is_fallback_year")
     return snap.filter((F.col("mission") != "Resilient Earth") & value.isNotNull()).select(
@@ -166,7 +166,7 @@ STAND_IN_SQL = """select company_id, year as prediction_year, balance_sheet_tota
 
 
 def observed_base(t: Tables) -> DataFrame:
-    last = panel.latest_observed(t.master(), ["company_id"], DATA_YEARS)
+    last = panel.latest_observed(t.master(), ["company_id"], YEARS)
     seen = F.col("turnover_value").isNotNull()
     return t.company().select("company_id", "mission").join(last, "company_id", "left").withColumns(
         {"turnover_source": F.when(seen, "observed"), "reliability": F.when(seen, "observed"), "reliability_reason": F.lit("")})
@@ -290,7 +290,7 @@ def _(t):
 @query("w15_latest_observed", "company_id year:i turnover_value:m", """
 select company_id, year, total_turnover as turnover_value from x_labelled qualify row_number() over (partition by company_id order by year desc) = 1""")
 def _(t):
-    return panel.latest_observed(t.master(), ["company_id"], DATA_YEARS)
+    return panel.latest_observed(t.master(), ["company_id"], YEARS)
 
 
 def snapshot(t: Tables) -> DataFrame:
@@ -488,7 +488,7 @@ left join ({STAND_IN_SQL}) p on p.company_id = c.company_id"""
 
 
 def assembled(t: Tables) -> DataFrame:
-    return scoring.assemble(t.segmented(), stand_in_predictions(t), selected_stub(t), DATA_YEARS)[0]
+    return scoring.assemble(t.segmented(), stand_in_predictions(t), selected_stub(t), YEARS)[0]
 
 
 @query("p15_turnover_cascade", "company_id mission year:i turnover_value:m turnover_source reliability reliability_reason", CASCADE_SQL)
@@ -518,8 +518,8 @@ def historical_source(t: Tables) -> DataFrame:
     """Panel of all mission groups from the wide master, annualised."""
     master = t.master().filter(F.col("mission").isNotNull())
     kept, _ = segments.split_labelled(master, YEAR_COLUMNS)
-    rows, _ = panel.long_panel(kept, ["company_id", "mission"], DATA_YEARS)
-    sizes = panel.melt_years(master, ["company_id"], ["company_size"], DATA_YEARS)
+    rows, _ = panel.long_panel(kept, ["company_id", "mission"], YEARS)
+    sizes = panel.melt_years(master, ["company_id"], ["company_size"], YEARS)
     out = rows.join(t.static(), "company_id", "left").join(sizes, ["company_id", "year"], "left")
     out = features.with_age(out)
     factors = panel.weeks_factors(t.statements(), bridge(t), "profile_url", "ordinal")
@@ -555,7 +555,7 @@ def _(t):
 
 
 def estimation(t: Tables) -> tuple[DataFrame, DataFrame]:
-    sizes = panel.melt_years(t.master(), ["company_id"], ["company_size"], DATA_YEARS)
+    sizes = panel.melt_years(t.master(), ["company_id"], ["company_size"], YEARS)
     signals = features.signal_features(t.signals(), "profile_url")
     ratios = features.ratio_features(t.statements(), "profile_url")
     return features.estimation_features(labelled(t)[0], t.static(), sizes, signals, ratios, bridge(t), "trading_name")

@@ -32,12 +32,12 @@ from ledgerline.settings import (
     STATEMENT_DATE,
     STATEMENT_FIELDS,
     STATEMENT_RATIOS,
+    STATEMENTS,
     YEAR_MEASURES,
+    YEARS,
 )
 
 SHIFT = 20
-DATA_YEARS = list(range(2015, 2022))
-BLOCKS = len(DATA_YEARS)
 MISSION_OF = {
     "AUTOMOBILE": "ACE",
     "BUILDING": "Beyond Earth",
@@ -269,7 +269,7 @@ class Tables:
         wide = joined.groupBy("company_id").agg(
             *[
                 F.max(F.when(F.col("accounting_year") == y, value)).alias(YEAR_MEASURES[m].format(year=y))
-                for y in DATA_YEARS
+                for y in YEARS
                 for m, value in values.items()
             ]
         )
@@ -300,7 +300,7 @@ class Tables:
         rows = self.filings().withColumn("block", F.row_number().over(newest))
         columns = [
             F.max(F.when(F.col("block") == n, F.col("last_date"))).alias(STATEMENT_DATE.format(n=n))
-            for n in range(1, BLOCKS + 1)
+            for n in range(1, STATEMENTS + 1)
         ]
         source = {
             "turnover": "turnover",
@@ -311,7 +311,7 @@ class Tables:
         for field, header in STATEMENT_FIELDS.items():
             columns += [
                 F.max(F.when(F.col("block") == n, F.col(source[field]))).alias(header.format(n=n))
-                for n in range(1, BLOCKS + 1)
+                for n in range(1, STATEMENTS + 1)
             ]
         first = F.col("block") == 1
         ratios = {
@@ -407,7 +407,7 @@ class Tables:
             "balance_sheet_total_assets": "assets",
         }
         columns = []
-        for n in range(1, BLOCKS + 1):
+        for n in range(1, STATEMENTS + 1):
             here = F.col("block") == n
             date = F.max(F.when(here, F.col("last_date"))).cast("string")
             columns.append(date.alias(STATEMENT_DATE.format(n=n)))

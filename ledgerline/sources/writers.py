@@ -1,5 +1,6 @@
 """Stage outputs, upserts, exports and saved models."""
 
+import re
 import tempfile
 import uuid
 from functools import cache
@@ -52,8 +53,15 @@ LABELS = {
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """Folder all executors reach: `spark.checkpoint.dir`; a local one only where unset."""
-    return spark.conf.get("spark.checkpoint.dir", None) or _single_machine_folder()
+    """Folder all executors reach: `spark.checkpoint.dir`. A local one stands in for it
+    only where driver and executors are one process."""
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if folder:
+        return folder
+    master = spark.conf.get("spark.master", "")
+    if not re.fullmatch(r"local(\[[^\]]*\])?", master):
+        raise ValueError(f"spark.checkpoint.dir is not set; {master} needs a folder that all executors reach")
+    return _single_machine_folder()
 
 
 @cache
