@@ -8,9 +8,9 @@ of documents that holds 0.3 times the words a third time.
 
 The selection orders a source's documents by a seeded digest of the id and takes them
 while at least half of the next one still fits. To find that place, sizes are summed by
-source and digest prefix (PREFIXES of them), the running sum goes over prefixes, and
-only the documents of the one prefix that straddles the place are ordered one by one;
-no source is sorted as a whole. All arithmetic up to the last division is on integers,
+source and digest prefix, the running sum goes over 256 short prefixes, then over the 256
+prefixes below the one that straddles the place, and only the documents of the prefix
+that straddles it there are ordered one by one; no source is sorted as a whole. All arithmetic up to the last division is on integers,
 so reruns agree.
 
 Cases: a null text has size 0; a null source is a source of its own, the last one; a
@@ -30,6 +30,7 @@ WEIGHTS = (5, 2, 1)  # by position of the source, repeating
 MAX_EPOCHS = 3
 SEED = "mix-1"
 PREFIX_HEX = 4  # hex digits of a digest prefix
+SHORT = 256  # prefixes that begin alike
 BROADCAST_SOURCES = 100_000  # up to so many sources (some 10 MB) their targets are sent to every task
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -67,17 +68,28 @@ def water_filled(sources: DataFrame, max_epochs: int = MAX_EPOCHS) -> DataFrame:
     return sources.withColumn("target", F.when(clamped(), (F.col("size") * max_epochs).cast("double")).otherwise(level))
 
 
+def _cut(plan: DataFrame, sums: DataFrame) -> DataFrame:
+    """Adds `_cut`, the first prefix of each source whose words don't all fit into `_rest`,
+    and the words `_taken` before it; `sums` has sizes by `_key` and `_prefix`."""
+    upto = Window.partitionBy("_key").orderBy("_prefix")
+    names = [c for c in plan.columns if c != "_taken"]
+    placed = sums.withColumn("upto", F.sum("size").over(upto)).select(F.col("_key").alias("_of"), "_prefix", "upto")
+    joined = placed.join(plan.select("_key", "_rest", "_taken"), F.col("_of").eqNullSafe(F.col("_key")))
+    inside = F.col("_taken") + F.col("upto") <= F.col("_rest")
+    cut = joined.groupBy(F.col("_of")).agg(
+        F.min(F.when(~inside, F.col("_prefix"))).alias("_cut"), F.max(F.when(inside, F.col("upto"))).alias("_more")
+    )
+    out = plan.join(cut, F.col("_of").eqNullSafe(F.col("_key")), "left")
+    return out.select(*names, (F.col("_taken") + F.coalesce("_more", F.lit(0))).alias("_taken"), "_cut")
+
+
 def mixed(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_epochs: int = MAX_EPOCHS, seed: str = SEED) -> DataFrame:
     """Every row with `size`, its source's `source_size` and `target`, and `copies`, how often the mix has it."""
     own = ["size", "source_size", "target", "copies"]
     rows = docs.drop(*own).withColumns({"size": word_count(), "_digest": digest(seed), "_source": F.col("source")})
     rows = rows.withColumn("_prefix", F.conv(F.substring("_digest", 1, PREFIX_HEX), 16, 10).cast("int"))
     rows = rows.withColumn("_text", F.md5(F.col("text").cast("string")))
-    small = rows.select("_source", "_prefix", "size").groupBy("_source", "_prefix").agg(F.sum("size").alias("size"))
-    prefixes = small.withColumn(
-        "before", F.sum("size").over(Window.partitionBy("_source").orderBy("_prefix")) - F.col("size")
-    )
-
+    small = written(rows.groupBy("_source", "_prefix").agg(F.sum("size").alias("size")), "mix-prefixes")
     sources = with_position(small.groupBy("_source").agg(F.sum("size").alias("size")), "_source")
     cycle = F.array(*[F.lit(w) for w in weights])
     sources = sources.withColumn("weight", F.element_at(cycle, (F.col("position") % len(weights) + 1).cast("int")))
@@ -87,20 +99,17 @@ def mixed(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_epochs: int =
     plan = plan.select(F.col("_source").alias("_key"), F.col("size").alias("source_size"), "target", "_whole", "_rest")
 
     same = F.col("_source").eqNullSafe(F.col("_key"))
-    cut = prefixes.join(plan.select("_key", "_rest"), same)
-    inside = F.col("before") + F.col("size") <= F.col("_rest")
-    cut = cut.groupBy("_key").agg(
-        F.min(F.when(~inside, F.col("_prefix"))).alias("_cut"),
-        F.max(F.when(inside, F.col("before") + F.col("size"))).alias("_taken"),
-    )
-    plan = plan.alias("p").join(cut.alias("c"), F.expr("p._key <=> c._key")).select("p.*", "c._cut", "c._taken")
+    short = small.withColumn("_prefix", F.floor(F.col("_prefix") / SHORT)).groupBy("_source", "_prefix").agg(F.sum("size").alias("size"))
+    plan = _cut(plan.withColumn("_taken", F.lit(0).cast("bigint")), short.join(plan.select("_key"), same))
+    below = small.join(plan.select("_key", "_cut"), same).filter(F.floor(F.col("_prefix") / SHORT) == F.col("_cut"))
+    plan = _cut(plan.drop("_cut"), below.drop("_cut"))
     plan = written(plan, "mix-plan")
     placed = rows.join(F.broadcast(plan) if sources.count() <= BROADCAST_SOURCES else plan, same)
     clear = F.col("_cut").isNull() | (F.col("_prefix") != F.col("_cut"))
     early = F.col("_cut").isNull() | (F.col("_prefix") < F.col("_cut"))
     sure = placed.filter(clear).withColumn("copies", F.col("_whole") + early.cast("bigint"))
     order = Window.partitionBy("_source").orderBy("_digest", "size", "_text").rowsBetween(Window.unboundedPreceding, 0)
-    edge = placed.filter(~clear).withColumn("_sum", F.sum("size").over(order) + F.coalesce(F.col("_taken"), F.lit(0)))
+    edge = placed.filter(~clear).withColumn("_sum", F.sum("size").over(order) + F.col("_taken"))
     edge = edge.withColumn("copies", F.col("_whole") + (2 * F.col("_sum") - F.col("size") <= 2 * F.col("_rest")).cast("bigint"))
     names = [*(c for c in docs.columns if c not in own), *own]
     return sure.select(*names).unionByName(edge.select(*names))
