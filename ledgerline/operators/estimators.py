@@ -3,13 +3,15 @@
 import json
 import math
 from collections.abc import Callable, Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 from functools import reduce
 from itertools import product
 
 from pyspark.ml import PipelineModel
-from pyspark.ml.feature import SQLTransformer, StringIndexer, VectorAssembler
+from pyspark.ml.feature import SQLTransformer
+from pyspark.ml.functions import array_to_vector
 from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -39,7 +41,8 @@ class Scale:
     """Facts of the training label that turn a ridge penalty into Spark's scale."""
 
     weight: float
-    deviation: float
+    deviation: float  # weighted, as the solver scales the label
+    most_categories: int = 0  # of a field that is given as an index
 
 
 COMMON = {"featuresCol": "features", "labelCol": "label", "predictionCol": "log_prediction", "weightCol": "fit_weight"}
@@ -51,6 +54,12 @@ def _linear(alpha: float, ratio: float, intercept: bool = True) -> LinearRegress
     )
 
 
+def _mixed_penalty(alpha: float, ratio: float, deviation: float) -> LinearRegression:
+    """The solver scales the label by its deviation, which shrinks its squared penalty but not the absolute one."""
+    strength = alpha * ratio + alpha * (1 - ratio) * deviation
+    return _linear(strength, alpha * ratio / strength)
+
+
 def _forest(p: Params, bootstrap: bool) -> RandomForestRegressor:
     return RandomForestRegressor(
         **COMMON,
@@ -70,7 +79,7 @@ MODELS: dict[str, Candidate] = {
     ),
     "Lasso": Candidate(lambda p, s: _linear(p["alpha"], 1.0), {"alpha": [0.01, 0.1, 1.0, 10.0]}),
     "Elastic Net": Candidate(
-        lambda p, s: _linear(p["alpha"], p["ratio"]), {"alpha": [0.01, 0.1, 1.0], "ratio": [0.2, 0.5, 0.8]}
+        lambda p, s: _mixed_penalty(p["alpha"], p["ratio"], s.deviation), {"alpha": [0.01, 0.1, 1.0], "ratio": [0.2, 0.5, 0.8]}
     ),
     "Random Forest": Candidate(
         lambda p, s: _forest(p, True), {"trees": [200, 400], "depth": [30, 8], "leaf": [1, 3]}
@@ -86,6 +95,16 @@ MODELS: dict[str, Candidate] = {
 }
 
 
+#: Learners that take category indices instead of one column a category.
+NATIVE = {"Categorical Boosting"}
+MODELS["Categorical Boosting"] = Candidate(
+    lambda p, s: GBTRegressor(
+        **COMMON, maxIter=p["rounds"], stepSize=p["rate"], maxDepth=p["depth"], maxBins=s.most_categories + 32, seed=SEED
+    ),
+    {"rounds": [100, 200], "rate": [0.05, 0.1], "depth": [4, 6]},
+)
+
+
 def with_grid(names: dict[str, dict[str, list]]) -> dict[str, Candidate]:
     """The named candidates with other grids."""
     return {name: Candidate(MODELS[name].build, grid) for name, grid in names.items()}
@@ -99,6 +118,12 @@ def labelled(df: DataFrame, target: str, weight: str | None) -> DataFrame:
     return df.withColumn("label", F.log1p(F.col(target).cast("double"))).withColumn("fit_weight", w)
 
 
+def label_scale(rows: DataFrame) -> Scale:
+    deviation = Summarizer.std(array_to_vector(F.array("label")), F.col("fit_weight"))
+    facts = rows.agg(F.sum("fit_weight").alias("w"), deviation.alias("d")).first()
+    return Scale(facts["w"] or 1.0, float(facts["d"][0]) or 1.0)
+
+
 def undo_log() -> SQLTransformer:
     return SQLTransformer(statement="select *, expm1(log_prediction) as predicted from __THIS__")
 
@@ -107,14 +132,13 @@ def fit_one(
     train: DataFrame, prepared: Prepared, name: str, candidate: Candidate, params: Params, target: str, weight: str | None
 ) -> PipelineModel:
     """Fit on log1p of the target; the pipeline ends by undoing the log."""
-    stages = prepared.stages(name in SCALED)
+    stages = prepared.index_stages() if name in NATIVE else prepared.stages(name in SCALED)
     rows = labelled(train, target, weight)
     for stage in stages:
         rows = stage.transform(rows)
     rows = rows.select("features", "label", "fit_weight").persist()
     try:
-        facts = rows.agg(F.sum("fit_weight").alias("w"), F.stddev_samp("label").alias("d")).first()
-        scale = Scale(facts["w"] or 1.0, facts["d"] or 1.0)
+        scale = replace(label_scale(rows), most_categories=max((len(i.labels) for i in prepared.indexers.values()), default=0))
         fitted = candidate.build(params, scale).fit(rows)
     finally:
         rows.unpersist()
@@ -283,7 +307,8 @@ def feature_weights(model: PipelineModel, prepared: Prepared, mission: str, like
     fitted = model.stages[-2]
     linear = hasattr(fitted, "coefficients")
     values = (fitted.coefficients if linear else fitted.featureImportances).toArray()
-    rows = [(mission, n, float(v)) for n, v in zip(prepared.names, values, strict=True)]
+    names = prepared.names if len(prepared.names) == len(values) else prepared.index_names
+    rows = [(mission, n, float(v)) for n, v in zip(names, values, strict=True)]
     table = like.sparkSession.createDataFrame(rows, "mission string, feature string, weight double")
     weight = F.col("weight")
     sign = F.when(weight > 0, "positive").when(weight < 0, "negative").otherwise("zero")
@@ -292,19 +317,6 @@ def feature_weights(model: PipelineModel, prepared: Prepared, mission: str, like
     )
 
 
-def native_category_stages(features: FeatureSet, prepared: Prepared) -> list:
-    """Category indices instead of one-hot columns, for tree learners."""
-    numbers = [f"{prepared._number(c)} as n_{c}" for c in features.numeric if c in prepared.median]
-    labels = [f"coalesce({c}, '{features.missing_label or 'missing'}') as s_{c}" for c in features.categories]
-    sql = SQLTransformer(statement=f"select *, {', '.join(numbers + labels)} from __THIS__")
-    indexers = [
-        StringIndexer(inputCol=f"s_{c}", outputCol=f"i_{c}", handleInvalid="keep", stringOrderType="alphabetAsc")
-        for c in features.categories
-    ]
-    inputs = [f"n_{c}" for c in features.numeric if c in prepared.median] + [f"i_{c}" for c in features.categories]
-    return [sql, *indexers, VectorAssembler(inputCols=inputs, outputCol="features")]
-
-
 def prepared_rows(df: DataFrame, features: FeatureSet) -> DataFrame:
     return cast_inputs(df, features)
 

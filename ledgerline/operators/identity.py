@@ -58,7 +58,10 @@ def resolve_duplicates(df: DataFrame, ch: str, name: str, url: str) -> tuple[Dat
         .agg(F.count("*").alias("_n"), F.min("_norm").alias("_lo"), F.max("_norm").alias("_hi"))
         .filter("_n > 1")
     )
-    joined = join_facts(named, facts, [ch])
+    # rows without a number can share none; they stay out of the join, where they would be one key
+    blank = {"_n": F.lit(None).cast("bigint"), "_lo": F.lit(None).cast("string"), "_hi": F.lit(None).cast("string")}
+    numbered = join_facts(named.filter(F.col(ch).isNotNull()), facts, [ch])
+    joined = numbered.unionByName(named.filter(F.col(ch).isNull()).withColumns(blank))
     shared = F.col("_n").isNotNull()
     flagged = joined.withColumn("is_true_duplicate", shared & (F.col("_lo") == F.col("_hi"))).withColumn(
         "is_shared_ch_anomaly", shared & (F.col("_lo") != F.col("_hi"))
@@ -108,6 +111,7 @@ def exclude_known_companies(
     )
     keyed = candidates.withColumn("_key", registration_key(F.col(ch)))
     distinct = numbers.distinct()
-    overlap = keyed.join(distinct, "_key", "left_semi").drop("_key")
-    kept = keyed.join(distinct, "_key", "left_anti").drop("_key")
+    numbered, blank = keyed.filter(F.col("_key").isNotNull()), keyed.filter(F.col("_key").isNull())
+    overlap = numbered.join(distinct, "_key", "left_semi").drop("_key")
+    kept = numbered.join(distinct, "_key", "left_anti").unionByName(blank).drop("_key")
     return kept, overlap.withColumn("reason", F.lit("already_a_labelled_space_company"))

@@ -3,6 +3,7 @@
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ledgerline.operators.keys import join_facts
 from ledgerline.settings import BROKEN_FOLD_R2, MAE_BLOWUP
 
 METRICS = ["MAE", "RMSE", "R2"]
@@ -14,16 +15,18 @@ def r_squared(residual_sum: Column, total_sum: Column) -> Column:
 
 
 def weighted_metrics(df: DataFrame, groups: list[str], actual: str, predicted: str, weight: str) -> DataFrame:
+    """R2 against squares around the weighted mean, which large values with a small spread don't cancel."""
     y, p, w = F.col(actual), F.col(predicted), F.col(weight)
-    sums = df.groupBy(*groups).agg(
+    means = df.groupBy(*groups).agg((F.sum(w * y) / F.sum(w)).alias("_mean"))
+    from_mean = y - F.col("_mean")
+    sums = join_facts(df, means, groups).groupBy(*groups).agg(
         F.count("*").alias("n_test_rows"),
         F.sum(w).alias("_w"),
         F.sum(w * F.abs(y - p)).alias("_a"),
         F.sum(w * (y - p) * (y - p)).alias("_s"),
-        F.sum(w * y).alias("_y"),
-        F.sum(w * y * y).alias("_yy"),
+        F.sum(w * from_mean * from_mean).alias("_t"),
     )
-    total = F.col("_yy") - F.col("_y") * F.col("_y") / F.col("_w")
+    total = F.col("_t")
     return sums.select(
         *groups,
         "n_test_rows",

@@ -1,11 +1,19 @@
 """Feature-matrix preparation fitted on a training fold.
 
-The fitted numbers (medians, means, deviations, category lists) are a few dozen
-values; they become one SQL stage, so the stored model needs no Python code."""
-
-from dataclasses import dataclass, field
-
-from pyspark.ml.feature import SQLTransformer, VectorAssembler
+The fitted numbers (medians, means, deviations, how many categories are frequent) are a
+few values per feature. Categories are indexed by falling frequency and encoded as sparse
+vectors, so neither a statement nor the driver's part of a fit grows with their number."""
+
+from dataclasses import dataclass
+
+from pyspark.ml.feature import (
+    OneHotEncoder,
+    OneHotEncoderModel,
+    SQLTransformer,
+    StringIndexer,
+    StringIndexerModel,
+    VectorAssembler,
+)
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -18,14 +26,10 @@ from ledgerline.settings import (
     FORECAST_CATEGORIES,
     FORECAST_LOG,
     FORECAST_PLAIN,
-    MAX_CATEGORIES,
     RARE_CATEGORY,
 )
 
 
-IN_MEMORY_ROWS = 200_000
-
-
 @dataclass(frozen=True)
 class FeatureSet:
     log: list[str]
@@ -64,12 +68,8 @@ def medians(df: DataFrame, columns: list[str], groups: list[str] | None = None)
 
 
 def fold_medians(df: DataFrame, columns: list[str]) -> dict[str, float]:
-    """Median per column that has values. A fold checked to be small keeps all its
-    values in one aggregate; a larger one goes through the distributed quantile."""
-    if df.count() > IN_MEMORY_ROWS:
-        return {r["feature"]: r["median"] for r in medians(df, columns).collect()}
-    values = df.agg(*[F.percentile(F.col(c).cast("double"), 0.5).alias(c) for c in columns]).first()
-    return {c: values[c] for c in columns if values[c] is not None}
+    """Exact median of every column that has values."""
+    return {r["feature"]: r["median"] for r in medians(df, columns).collect()}
 
 
 def category_counts(df: DataFrame, columns: list[str], groups: list[str] | None = None) -> DataFrame:
@@ -95,49 +95,74 @@ def scaling_stats(df: DataFrame, columns: list[str]) -> DataFrame:
 
 @dataclass
 class Prepared:
-    """Fitted preparation: numbers per feature and categories per field."""
+    """Fitted preparation: numbers per feature, indexed categories per field."""
 
     features: FeatureSet
     median: dict[str, float]
     mean: dict[str, float]
     std: dict[str, float]
-    frequent: dict[str, list[str]]
-    rare: dict[str, list[str]]
     fill: dict[str, str | None]
-    names: list[str] = field(default_factory=list)
+    indexers: dict[str, StringIndexerModel]
+    frequent: dict[str, int]  # categories that are not rare: those of the smallest indices
+    encoder: OneHotEncoderModel | None = None
 
-    def _number(self, c: str) -> str:
+    def number(self, c: str) -> str:
         source = f"ln(1 + {c})" if c in self.features.log else c
         return f"coalesce({source}, {self.median[c]!r}D)"
 
-    def statement(self, scale: bool) -> str:
-        """SQL of every input of the feature vector."""
-        self.names, cells = [], []
-        for c in self.features.numeric:
-            if c not in self.median:
-                continue
-            kind = "log_numeric" if c in self.features.log else "plain_numeric"
-            number = self._number(c)
+    @property
+    def numeric(self) -> list[str]:
+        return [c for c in self.features.numeric if c in self.median]
+
+    def inputs(self, scale: bool) -> SQLTransformer:
+        """Numbers f0, f1, ... and filled categories s_<field>."""
+        cells = []
+        for i, c in enumerate(self.numeric):
+            number = self.number(c)
             if scale and self.std[c]:
                 number = f"({number} - {self.mean[c]!r}D) / {self.std[c]!r}D"
-            cells.append(number)
-            self.names.append(f"{kind}__{c}")
-        for c in self.features.categories:
-            value = f"coalesce({c}, {_quoted(self.fill[c])})" if self.fill[c] is not None else c
-            for label in self.frequent[c]:
-                cells.append(f"coalesce(cast({value} = {_quoted(label)} as double), 0D)")
-                self.names.append(f"categorical__{c}_{label}")
-            if self.rare[c]:
-                listed = ", ".join(_quoted(v) for v in self.rare[c])
-                cells.append(f"coalesce(cast({value} in ({listed}) as double), 0D)")
-                self.names.append(f"categorical__{c}_infrequent")
-        inputs = ", ".join(f"{cell} as f{i}" for i, cell in enumerate(cells))
-        return f"select *, {inputs} from __THIS__"
+            cells.append(f"{number} as f{i}")
+        for c in self.indexers:
+            cells.append(f"coalesce({c}, {_quoted(self.fill[c])}) as s_{c}" if self.fill[c] is not None else f"{c} as s_{c}")
+        return SQLTransformer(statement=f"select *, {', '.join(cells)} from __THIS__")
+
+    def codes(self) -> list:
+        """Index of each category, all rare ones sharing the index after the frequent ones."""
+        cells = []
+        for c, indexer in self.indexers.items():
+            known, kept = len(indexer.labels), self.frequent[c]
+            cells.append(f"case when i_{c} < {known} then least(i_{c}, {kept}D) else {kept + 1}D end as e_{c}")
+        if not cells:
+            return []
+        return [*self.indexers.values(), SQLTransformer(statement=f"select *, {', '.join(cells)} from __THIS__")]
 
     def stages(self, scale: bool) -> list:
-        sql = SQLTransformer(statement=self.statement(scale))
-        inputs = [f"f{i}" for i in range(len(self.names))]
-        return [sql, VectorAssembler(inputCols=inputs, outputCol="features")]
+        vectors = [f"v_{c}" for c in self.indexers]
+        assembler = VectorAssembler(inputCols=[*(f"f{i}" for i in range(len(self.numeric))), *vectors], outputCol="features")
+        return [self.inputs(scale), *self.codes(), *([self.encoder] if self.encoder else []), assembler]
+
+    def index_stages(self) -> list:
+        """Category indices, which trees split as sets, instead of a column for each category."""
+        inputs = [*(f"f{i}" for i in range(len(self.numeric))), *(f"i_{c}" for c in self.indexers)]
+        return [self.inputs(False), *self.indexers.values(), VectorAssembler(inputCols=inputs, outputCol="features")]
+
+    @property
+    def index_names(self) -> list[str]:
+        return [*self.numeric_names, *(f"categorical__{c}" for c in self.indexers)]
+
+    @property
+    def numeric_names(self) -> list[str]:
+        kinds = {True: "log_numeric", False: "plain_numeric"}
+        return [f"{kinds[c in self.features.log]}__{c}" for c in self.numeric]
+
+    @property
+    def names(self) -> list[str]:
+        """Of the inputs of the feature vector, in order."""
+        names = self.numeric_names
+        for c, size in zip(self.indexers, self.encoder.categorySizes if self.encoder else [], strict=True):
+            labels = [*self.indexers[c].labels[: self.frequent[c]], "infrequent"]
+            names += [f"categorical__{c}_{label}" for label in labels[:size]]
+        return names
 
 
 def _quoted(text: str) -> str:
@@ -145,7 +170,7 @@ def _quoted(text: str) -> str:
 
 
 def fit_preparation(train: DataFrame, features: FeatureSet) -> Prepared:
-    """Collect the fitted numbers: one row per feature, one per category."""
+    """Fit on a training fold; the driver gets a row per feature, and the category table only as index models."""
     logged = log_features(train, features.log)
     median = fold_medians(logged, features.numeric)
     kept = [c for c in features.numeric if c in median]
@@ -154,24 +179,38 @@ def fit_preparation(train: DataFrame, features: FeatureSet) -> Prepared:
     labelled = train
     if features.missing_label is not None:
         labelled = train.fillna(features.missing_label, features.categories)
-    counted = category_counts(labelled, features.categories).limit(MAX_CATEGORIES + 1).collect()
-    if len(counted) > MAX_CATEGORIES:
-        raise ValueError(f"more than {MAX_CATEGORIES} categories; not a closed classification")
-    frequent: dict[str, list[str]] = {c: [] for c in features.categories}
-    rare: dict[str, list[str]] = {c: [] for c in features.categories}
-    for row in sorted(counted, key=lambda r: (r["feature"], r["value"])):
-        side = frequent if row["n"] >= RARE_CATEGORY else rare
-        side[row["feature"]].append(row["value"])
-    fill: dict[str, str | None] = {}
-    for c in features.categories:
-        own = sorted((-r["n"], r["value"]) for r in counted if r["feature"] == c)
-        fill[c] = features.missing_label or (own[0][1] if own else None)
-    return Prepared(
+    facts = {}
+    if features.categories:
+        counts = category_counts(labelled, features.categories)
+        first = F.min_by("value", F.struct(-F.col("n"), "value")).alias("first")
+        found = counts.groupBy("feature").agg(F.count_if(F.col("n") >= RARE_CATEGORY).alias("frequent"), first)
+        facts = {r["feature"]: r for r in found.collect()}
+    fields = [c for c in features.categories if c in facts]
+    fill = {c: features.missing_label or facts[c]["first"] for c in fields}
+    prepared = Prepared(
         features,
         median,
         {c: stats[c]["mean"] for c in kept},
         {c: stats[c]["std"] for c in kept},
-        frequent,
-        rare,
         fill,
+        {},
+        {c: facts[c]["frequent"] for c in fields},
     )
+    if fields:
+        indexer = {"handleInvalid": "keep", "stringOrderType": "frequencyDesc"}
+        # indexed from the unfilled rows, as the frequent ones were counted
+        rows = labelled.select(*[F.col(c).alias(f"s_{c}") for c in fields])
+        for c in fields:
+            known = rows.filter(F.col(f"s_{c}").isNotNull())
+            prepared.indexers[c] = StringIndexer(inputCol=f"s_{c}", outputCol=f"i_{c}", **indexer).fit(known)
+        for stage in prepared.codes():
+            rows = stage.transform(rows)
+        encoder = OneHotEncoder(inputCols=[f"e_{c}" for c in fields], outputCols=[f"v_{c}" for c in fields], handleInvalid="keep")
+        prepared.encoder = encoder.fit(_within(rows, prepared.frequent))
+    return prepared
+
+
+def _within(coded: DataFrame, frequent: dict[str, int]) -> DataFrame:
+    """Codes of known categories; unknown (missing) ones, which get no column of their own, count as the first."""
+    codes = {f"e_{c}": F.when(F.col(f"e_{c}") <= n, F.col(f"e_{c}")).otherwise(0.0) for c, n in frequent.items()}
+    return coded.select(*[c.alias(name) for name, c in codes.items()])

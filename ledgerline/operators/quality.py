@@ -24,7 +24,7 @@ def union_logs(logs: list[DataFrame]) -> DataFrame:
 
 def nan_to_null(df: DataFrame) -> DataFrame:
     floats = {f.name for f in df.schema if f.dataType.typeName() in ("double", "float")}
-    return df.select(*[not_nan(F.col(c)).alias(c) if c in floats else F.col(c) for c in df.columns])
+    return df.select(*[not_nan(F.col(f"`{c}`")).alias(c) if c in floats else F.col(f"`{c}`") for c in df.columns])
 
 
 def check_company_id(df: DataFrame, col: str = "company_id") -> Checked:

@@ -1,20 +1,22 @@
 """Exact ranks, medians and orderings without sorting a whole group in one task.
 
-Values are first collapsed to (group, value, count), so a value that fills a
-third of the rows becomes one row. The value range of each group is cut into up
-to 4,096 cells; only the cells, never the group, are sorted by a single task.
-Groups must come from a closed domain (mission, feature, fold): their per-cell
-totals, at most 4,096 rows each, are broadcast.
+A quantile is bracketed by a sketch; values outside the bracket collapse to one row per
+gap and equal values to one row, so a few rows in ten thousand are left to sort. A full
+ranking cuts the value range of each group into up to 4,096 cells; only the cells, never
+the group, are sorted by a single task. Facts per group are counted before they are sent
+to every task; a larger table of facts is joined by a shuffle instead.
 """
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-# Cells per group are the square of the fan-out. A full ranking needs small cells;
-# a quantile only sorts the few rows around it.
+from ledgerline.sources.writers import written
+
+# Cells per group of a full ranking are the square of the fan-out.
 RANK_FANOUT = 64
-QUANTILE_FANOUT = 16
 SKETCH = 10_000
+MARGINS = 15  # the widest one spans every row
+BROADCAST_ROWS = 100_000
 
 
 def _same_groups(left: str, right: str, groups: list[str]) -> Column:
@@ -25,10 +27,12 @@ def _same_groups(left: str, right: str, groups: list[str]) -> Column:
 
 
 def attach(df: DataFrame, facts: DataFrame, groups: list[str], how: str = "left") -> DataFrame:
-    """Broadcast one row per closed-domain group to the rows of that group."""
+    """Join one row of facts per group to the rows of that group; null groups match null groups."""
     keep = [F.col(f"f.{c}") for c in facts.columns if c not in groups]
-    joined = df.alias("d").join(F.broadcast(facts.alias("f")), _same_groups("d", "f", groups), how)
-    return joined.select("d.*", *keep)
+    facts = written(facts, "facts")
+    small = facts.count() <= BROADCAST_ROWS
+    right = F.broadcast(facts.alias("f")) if small else facts.alias("f")
+    return df.alias("d").join(right, _same_groups("d", "f", groups), how).select("d.*", *keep)
 
 
 def value_counts(df: DataFrame, groups: list[str], value: str) -> DataFrame:
@@ -76,48 +80,56 @@ def average_ranks(df: DataFrame, groups: list[str], value: str, rank: str) -> Da
     return placed.select(*groups, F.col("v").alias(value), average.alias(rank))
 
 
-def _around(df: DataFrame, groups: list[str], value: str, share: float) -> DataFrame:
-    """(group, value, count) with the rows far from the quantile folded into two rows.
+def _near(known: DataFrame, groups: list[str], shares: list[float]) -> DataFrame:
+    """(group, value, count, group_rows) with the rows far from every quantile folded into their neighbours.
 
-    A sketch brackets the quantile of large groups. Its rank error is below one
-    in `SKETCH`, the bracket is twice as wide on each side, so it always holds the
-    wanted rows; small groups are kept whole."""
-    known = df.select(*groups, F.col(value).cast("double").alias("v"))
-    known = known.filter(F.col("v").isNotNull() & ~F.isnan("v"))
-    low, high = max(share - 2 / SKETCH, 0.0), min(share + 2 / SKETCH, 1.0)
+    The sketch's rank error is below one in `SKETCH`; a bracket is at least twice as wide
+    on each side, and wide enough for the two rows next to the place in a small group, so
+    it holds the wanted rows and both its ends. What lies in the gap above a bracket counts
+    with the bracket's upper end, which leaves all ranks up to that end as they are."""
+    margins = [2 / SKETCH * 2**j for j in range(MARGINS)]
+    cuts = [min(max(s + side * m, 0.0), 1.0) for s in shares for m in margins for side in (-1, 1)]
     sketch = known.groupBy(*groups).agg(
-        F.count("*").alias("group_rows"), F.percentile_approx("v", [low, high], SKETCH).alias("bracket")
-    )
-    large = F.col("group_rows") > SKETCH * 10
-    folded = (
-        F.when(large & (F.col("v") < F.col("bracket")[0]), float("-inf"))
-        .when(large & (F.col("v") > F.col("bracket")[1]), float("inf"))
-        .otherwise(F.col("v"))
+        F.count("*").alias("group_rows"), F.percentile_approx("v", cuts, SKETCH).alias("ends")
     )
+    margin = F.ceil(F.log2(1 + SKETCH / F.col("group_rows"))).cast("int")  # of 2 / SKETCH + 2 / rows or more
+    ends = [F.get("ends", F.lit(2 * MARGINS * i) + 2 * margin + side) for i in range(len(shares)) for side in (0, 1)]
+    sketch = sketch.select(*groups, "group_rows", F.array(*ends).alias("bracket"))
+    v, bracket = F.col("v"), F.col("bracket")
+    folded = v
+    for i in range(len(shares)):
+        above = v > bracket[2 * i + 1]
+        if i + 1 < len(shares):
+            above &= v < bracket[2 * i + 2]
+        folded = F.when(above, bracket[2 * i + 1]).otherwise(folded)
+    folded = F.when(v < bracket[0], float("-inf")).otherwise(folded)
     near = attach(known, sketch, groups, "inner").withColumn("v", folded)
-    return near.groupBy(*groups, "v").agg(F.count("*").alias("n"))
+    return near.groupBy(*groups, "v").agg(F.count("*").alias("n"), F.max("group_rows").alias("group_rows"))
 
 
-def quantile(df: DataFrame, groups: list[str], value: str, share: float, out: str) -> DataFrame:
-    """Exact interpolated quantile of each group."""
-    celled = _with_cells(_around(df, groups, value, share), groups, QUANTILE_FANOUT)
-    low, high = F.floor("target"), F.ceil("target")
-    located = (
-        attach(celled, _cell_offsets(celled, groups), [*groups, "cell"])
-        .withColumn("target", (F.col("group_rows") - 1) * F.lit(share))
-        .filter((F.col("offset") <= high) & (F.col("offset") + F.col("cell_rows") > low))
-    )
-    placed = _rows_before(located, groups)
+def quantiles(df: DataFrame, groups: list[str], value: str, shares: dict[str, float]) -> DataFrame:
+    """Exact interpolated quantiles of each group, one column a share."""
+    known = df.select(*groups, F.col(value).cast("double").alias("v")).filter(F.col("v").isNotNull() & ~F.isnan("v"))
+    upto = Window.partitionBy(*groups).orderBy("v").rowsBetween(Window.unboundedPreceding, 0)
+    near = _near(known, groups, sorted(shares.values()))
+    placed = near.withColumn("before", F.sum("n").over(upto) - F.col("n"))
 
-    def holds(k: Column) -> Column:
-        return (F.col("before") <= k) & (F.col("before") + F.col("n") > k)
+    def at(place: Column) -> Column:
+        """Value of the row at a place, counted from 0."""
+        return F.max(F.when((F.col("before") <= place) & (F.col("before") + F.col("n") > place), F.col("v")))
 
-    ends = placed.groupBy(*groups).agg(
-        F.max(F.when(holds(low), F.col("v"))).alias("a"),
-        F.max(F.when(holds(high), F.col("v"))).alias("b"),
-        F.max(F.col("target") - low).alias("part"),
-    )
-    return ends.select(*groups, (F.col("a") + (F.col("b") - F.col("a")) * F.col("part")).alias(out))
+    columns = []
+    for name, share in shares.items():
+        target = (F.col("group_rows") - 1) * F.lit(share)
+        part = F.max(target - F.floor(target))
+        low, high = at(F.floor(target)), at(F.ceil(target))
+        columns.append((low + (high - low) * part).alias(name))
+    return placed.groupBy(*groups).agg(*columns)
+
+
+def quantile(df: DataFrame, groups: list[str], value: str, share: float, out: str) -> DataFrame:
+    """Exact interpolated quantile of each group."""
+    return quantiles(df, groups, value, {out: share})
 
 
 def numbered_by_hash(df: DataFrame, groups: list[str], label: Column, prefix: int = 3) -> DataFrame:

@@ -107,10 +107,6 @@ def crossings(context: DataFrame, threshold: float = TEN_MILLION) -> DataFrame:
     return context.filter((F.col("baseline_turnover") < threshold) & (F.col("turnover_2030") >= threshold))
 
 
-def gazelle_tier(context: DataFrame, runs: DataFrame, tier: str) -> DataFrame:
-    return context.join(runs.filter(F.col(f"gazelle_{tier}")), "company_id")
-
-
 def recent_peak(trajectories: DataFrame, years: int = RECENT_YEARS) -> DataFrame:
     """Largest turnover among the latest observed years of each company."""
     latest_first = Window.partitionBy("company_id").orderBy(F.col("accounting_year").desc())
@@ -160,12 +156,6 @@ def company_profiles(
     return out.withColumn("crosses_10m", crossing).fillna(False, booleans)
 
 
-def company_profile(profiles: DataFrame, trajectories: DataFrame, company: str) -> tuple[DataFrame, DataFrame]:
-    """One company's profile row and its year-by-year trajectory."""
-    mine = F.col("company_id") == company
-    return profiles.filter(mine), trajectories.filter(mine).orderBy("accounting_year")
-
-
 # --- feature usage ---------------------------------------------------------------------
 
 

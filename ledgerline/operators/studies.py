@@ -35,7 +35,7 @@ def temporal_backtest(rows: DataFrame) -> DataFrame:
         ).alias("R2_without_largest"),
     )
     error = rows.withColumn("error", F.abs(F.try_divide(y - p, y)) * 100)
-    return sums.join(F.broadcast(quantile(error, ["mission"], "error", 0.5, "median_abs_pct_error")), "mission")
+    return attach(sums, quantile(error, ["mission"], "error", 0.5, "median_abs_pct_error"), ["mission"])
 
 
 def error_concentration(df: DataFrame, actual: str, predicted: str, weight: str) -> DataFrame:

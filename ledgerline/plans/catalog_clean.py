@@ -17,7 +17,6 @@ from ledgerline.settings import (
     FOREIGN_CH,
     FOREIGN_CODES,
     FOREIGN_NAME,
-    MASTER_KEYWORDS,
     REQUIRED_BASELINE_FIELDS,
     REQUIRED_PANEL_FIELDS,
     STATEMENT_DATE,
@@ -146,10 +145,17 @@ from ({DUPLICATE_SQL}) d"""
 # --- sources and sinks -----------------------------------------------------------------
 
 
-@query("s1_scan_master", "company_id company_name ch_no value_stream sic_code_1:r founded_year:i",
-       "select company_id, company_name, ch_no, value_stream, sic_code_1, founded_year from x_company")
+def raw_master(t: Tables) -> DataFrame:
+    """The company table under the headers of the raw file, with a second URL header."""
+    names = {"company_name": "Organisation Name", "ch_no": "CH No. (full)", "founded_year": "Founded",
+             "sic_code_1": "SIC Code 1", "value_stream": "Value Stream", "profile_url": "Profile URL"}
+    return t.company().withColumnsRenamed(names).withColumn("Website URL", F.lit("https://example.org"))
+
+
+@query("s1_scan_master", "company_id company_name ch_no value_stream sic_code_1:r founded_year:i profile_url",
+       "select company_id, company_name, ch_no, value_stream, sic_code_1, founded_year, profile_url from x_company")
 def _(t):
-    return readers.standard_master(t.company())
+    return readers.standard_master(raw_master(t))
 
 
 @query("s2_scan_mapping", "mission value_stream",
@@ -805,9 +811,3 @@ def _(t):
 
     table = F.create_map(*[F.lit(x) for m in CORE_MISSIONS for x in (m, ROUTING[m])])
     return t.company().select("company_id", F.try_element_at(table, F.col("mission")).alias("routed"))
-
-
-def keyword_master(t: Tables) -> DataFrame:
-    return t.master().withColumnRenamed(MASTER_KEYWORDS, "keywords")
-
-

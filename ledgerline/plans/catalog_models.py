@@ -105,14 +105,10 @@ def _(t):
 
 @query("m7_native_categorical", "company_id accounting_year:i predicted:f")
 def _(t):
-    from pyspark.ml import Pipeline
-    from pyspark.ml.regression import GBTRegressor
-
-    rows = estimators.labelled(forecast_rows(t), "target_turnover_next_year", None)
-    prepared = preprocess.fit_preparation(rows, FORECAST_SET)
-    learner = GBTRegressor(**estimators.COMMON, maxIter=5, maxDepth=3, maxBins=64, seed=42)
-    stages = [*estimators.native_category_stages(FORECAST_SET, prepared), learner, estimators.undo_log()]
-    return Pipeline(stages=stages).fit(rows).transform(rows)
+    rows = writers.written(forecast_rows(t), "forecast_rows")
+    small = estimators.with_grid({"Categorical Boosting": {"rounds": [5], "rate": [0.1], "depth": [3]}})
+    model, _, _ = estimators.fit_final(rows, "Categorical Boosting", small["Categorical Boosting"], FORECAST_SET, TARGET, None, [])
+    return model.transform(rows)
 
 
 @query("m8_log_target", "company_id accounting_year:i label:r restored:m", """

@@ -385,9 +385,7 @@ def _(t):
     out = p.groupBy("mission").agg(
         F.count("turnover").alias("n"), F.avg("turnover").alias("mean"), F.stddev_samp("turnover").alias("std"),
         F.min("turnover").alias("low"), F.max("turnover").alias("high"))
-    for share, name in ((0.25, "q1"), (0.5, "q2"), (0.75, "q3")):
-        out = out.join(F.broadcast(ranks.quantile(p, ["mission"], "turnover", share, name)), "mission")
-    return out
+    return ranks.attach(out, ranks.quantiles(p, ["mission"], "turnover", {"q1": 0.25, "q2": 0.5, "q3": 0.75}), ["mission"])
 
 
 @query("a23_distinct_count", "mission companies:i", "select mission, count(distinct company_id) as companies from x_panel group by 1")

@@ -1,5 +1,6 @@
 """Session settings that suit these plans; a cluster's own settings win."""
 
+from pyspark import SparkConf
 from pyspark.sql import SparkSession
 
 SETTINGS = {
@@ -16,8 +17,10 @@ SETTINGS = {
 def local_session(cores: int | str = "*", memory: str = "8g") -> SparkSession:
     builder = SparkSession.builder.master(f"local[{cores}]").appName("ledgerline")
     builder = builder.config("spark.driver.memory", memory)
+    given = SparkConf()  # what the environment and spark-defaults say
     for key, value in SETTINGS.items():
-        builder = builder.config(key, value)
+        if not given.contains(key):
+            builder = builder.config(key, value)
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     return spark

@@ -58,11 +58,9 @@ FOREIGN_FIRST_CODE = "SIC Codes (2007) 1 - Code"
 # --- fixed values: estimation -----------------------------------------------------
 STALE_AFTER_YEARS = 3
 OUT_OF_RANGE_FACTOR = 1.5
-ADJACENT_WEIGHT = 0.5
 FOLDS, REPEATS, INNER_FOLDS = 5, 5, 3
 SEED = 42
 RARE_CATEGORY = 5
-MAX_CATEGORIES = 10_000
 RANK_TOLERANCE = 1.0
 R2_TOLERANCE = 0.05
 BROKEN_FOLD_R2 = -2.0
@@ -102,7 +100,6 @@ FORECAST_SIMPLICITY = {
 # --- fixed values: forecasting ----------------------------------------------------
 OUTER_CUTOFFS = [2018, 2019, 2020, 2021]
 INNER_OFFSETS = [3, 2]
-HORIZONS = ["1", "2", "3", "4+"]
 BENCHMARKS = ["Persistence", "Mission-Average Growth", "Company Historical CAGR"]
 GROWTH_CUT = math.log1p(0.10)
 DECAY_HALF_LIFE = 2.0
@@ -128,7 +125,7 @@ RECENT_YEARS = 5
 TOP_FEATURES = 15
 MIN_WEIGHT = 1e-9
 
-# --- declared features: estimation -------------------------------------------------
+# --- fixed values: declared features, estimation -------------------------------------------------
 BOOLEAN_SIGNALS = {
     "Growth signals - Equity fundraising": "signal_equity_fundraising",
     "Growth signals - Debt fundraising": "signal_debt_fundraising",
@@ -175,34 +172,7 @@ ESTIMATION_PLAIN = [
     *STATEMENT_RATIOS.values(),
 ]
 ESTIMATION_CATEGORIES = ["employee_count_source", "company_size", "sic_code_1", "value_stream"]
-ESTIMATION_FEATURES = [
-    "year",
-    "company_age_years",
-    "total_employees",
-    "employee_count_source",
-    "balance_sheet_total_assets",
-    "total_export_revenue",
-    "assets_per_employee",
-    "export_revenue_per_employee",
-    "company_size",
-    "sic_code_1",
-    "value_stream",
-    "is_public_sector_body",
-    "is_international_research_body",
-    *BOOLEAN_SIGNALS.values(),
-    "has_attended_accelerator",
-    "accelerator_count",
-    "is_academic_spinout",
-    "grants_count",
-    "grants_total_amount",
-    "grant_recency_years",
-    "fundraising_count",
-    "fundraising_total_amount",
-    "fundraising_recency_years",
-    *STATEMENT_RATIOS.values(),
-]
-
-# --- declared features: forecasting ------------------------------------------------
+# --- fixed values: declared features, forecasting ------------------------------------------------
 FORECAST_LOG = [
     "turnover_t",
     "turnover_lag_1",

@@ -3,6 +3,7 @@
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ledgerline.operators.quality import nan_to_null
 from ledgerline.settings import MASTER_CH, MASTER_CH_SHORT, MASTER_COLUMNS, MASTER_NAME
 
 MAPPING_SCHEMA = "mission string, value_stream string"
@@ -28,11 +29,10 @@ def read_commented_csv(spark: SparkSession, path: str, schema: str) -> DataFrame
     return spark.read.option("header", True).option("comment", "#").schema(schema).csv(path)
 
 
-def standard_master(df: DataFrame, ordinal: str | None = None) -> DataFrame:
-    """Master headers to the common names; the profile URL is the header ending in ' URL'."""
-    names = {MASTER_NAME: "company_name", MASTER_CH: "ch_no", MASTER_CH_SHORT: "ch_short", **MASTER_COLUMNS}
-    names |= {c: "profile_url" for c in df.columns if c.endswith(" URL")}
-    out = df.withColumnsRenamed({k: v for k, v in names.items() if k in df.columns})
+def standard_master(df: DataFrame, ordinal: str | None = None, url: str = "Profile URL") -> DataFrame:
+    """Master headers to the common names, NaN to null; `url` is the header of the profile URL."""
+    names = {MASTER_NAME: "company_name", MASTER_CH: "ch_no", MASTER_CH_SHORT: "ch_short", url: "profile_url", **MASTER_COLUMNS}
+    out = nan_to_null(df).withColumnsRenamed({k: v for k, v in names.items() if k in df.columns})
     return out if ordinal is None else out.withColumn("ordinal", F.col(ordinal))
 
 
