@@ -35,10 +35,11 @@ from ledgerline.llm.rows import TEXT, gathered, quoted, schema_of, table
 from ledgerline.llm.textwords import NOT_SPACE, STEP_BYTES, Words, merged, mix, steps, window_keys, window_starts, words_of
 
 WINDOW = 13
-MER = 3
+MER = 2
 CELLS = 1 << 16
 PART_WINDOWS = 1_000_000  # windows of a bucket, on average
-RANGE_BYTES = 48 << 20  # packed text that a bucket sorts at once
+RANGE_BYTES = 32 << 20  # packed text that a bucket sorts at once
+LEVEL = 6  # of the blocks' compression; strings overlap their neighbours in other buckets, so they are worth it
 FREQUENT = 4  # times the mean cell count from which an m-mer comes later in the order
 NO_ID = np.iinfo(np.int64).max
 
@@ -133,7 +134,7 @@ def _pack(ids: np.ndarray, row_keys: np.ndarray, owner: np.ndarray, columns: lis
     used, number = np.unique(owner, return_inverse=True)
     head = np.array([len(used), len(owner), len(columns)], np.int64)
     parts = [head, ids[used], row_keys[used], number.astype(np.int32), *(c.astype(np.int32) for c in columns)]
-    return zstandard.ZstdCompressor(level=1).compress(b"".join([*(p.tobytes() for p in parts), text]))
+    return zstandard.ZstdCompressor(level=LEVEL).compress(b"".join([*(p.tobytes() for p in parts), text]))
 
 
 def _unpack(block: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[np.ndarray], bytes]:
