@@ -1,7 +1,8 @@
 """Toxicity by nearest labelled examples: exact TF-IDF cosine on block-max inverted lists.
 
 Terms are lower-cased words and their byte prefixes (stems, so that unseen endings still
-meet). A bounded, seeded sample of labelled rows gives the examples and picks the terms
+meet). A bounded, seeded sample of labelled rows, one of each group of copies (equal
+smallest shingle hash), gives the examples and picks the terms
 that mark label 1 most clearly (likelihood ratio of the counts of texts that hold them);
 document frequencies of those terms are counted over all texts. Examples lie in blocks;
 every posting list has the largest weight of each block, so the sum of a text's weights
@@ -28,15 +29,18 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerline.llm.rows import TEXT, annotate, gathered, table
-from ledgerline.llm.textwords import LETTERS, LOW_BYTES, STEP_BYTES, Words, mix, steps, words_of
+from ledgerline.llm.textwords import LETTERS, LOW_BYTES, STEP_BYTES, Words, mix, steps, window_keys, window_starts, words_of
+from ledgerline.sources.writers import written
 
-EXAMPLES = 3_000  # of each label at most, those of smallest hash
+EXAMPLES = 3_000  # of each label at most, those of smallest hash among different texts
+CANDIDATES = 4  # times as many rows are looked at, so that copies can give way to other texts
 TERMS = 512
 PREFIXES = (4, 5, 6, 7)  # bytes
-G = 15.0  # likelihood-ratio statistic from which a term may be chosen
+G = 28.0  # likelihood-ratio statistic from which a term may be chosen,
+RATIO = 5.0  # if its share of the example texts of label 1 is so many times that of label 0
 K = 15
 BLOCK = 256  # examples
-PRIOR_MASS = 0.5
+PRIOR_MASS = 2.0
 CUT = 0.7  # predicted 1 from this score on
 FOLDS, HELD_OUT = 3, 1
 
@@ -189,21 +193,52 @@ def logistic(vote: np.ndarray, label: np.ndarray, weight: np.ndarray) -> tuple[f
     return float(beta[0]), float(beta[1])
 
 
-def examples(labels: DataFrame, most: int = EXAMPLES) -> tuple[DataFrame, dict[int, int]]:
-    """(at most `most` (example_id, label) rows of each label that may be learned, all such rows' number by label)."""
+def smallest_shingles(texts: pa.Array, size: int = 3) -> np.ndarray:
+    """Smallest hash of each text's word shingles; copies with few changes mostly share it."""
+    words = words_of(texts, LETTERS, lower=True)
+    keys, n = words.keys(), len(texts)
+    out = np.zeros(n, np.uint64)
+    some = np.flatnonzero(words.counts > 0)
+    if len(some):
+        padded = np.concatenate([keys, np.zeros(size - 1, np.uint64)])
+        whole = window_starts(words.first, size)
+        whole[words.first[some]] = True  # a shorter text counts by its first words and what follows them
+        shingles = np.where(whole, window_keys(padded, size), np.uint64(2**64 - 1))
+        short = words.counts[some] < size
+        shingles[words.first[some[short]]] = keys[words.first[some[short]]]
+        out[some] = np.minimum.reduceat(shingles, words.first[some])
+    return out
+
+
+def examples(docs: DataFrame, labels: DataFrame, most: int = EXAMPLES) -> tuple[DataFrame, dict[int, int]]:
+    """(at most `most` (example_id, label) rows of each label that may be learned, of different
+    texts; all such rows' number by label). Broadcasts at most 2 * CANDIDATES * `most` ids."""
     rows = labels.filter(~held_out() & F.col("doc_id").isNotNull())
     rows = rows.groupBy(F.col("doc_id").cast("bigint").alias("example_id")).agg(F.max(F.col("toxic").cast("int")).alias("label"))
     rows = rows.filter("label in (0, 1)")
     counts = {r["label"]: r["count"] for r in rows.groupBy("label").count().collect()}
-    picked = [rows.filter(F.col("label") == k).orderBy(F.xxhash64("example_id"), "example_id").limit(most) for k in (0, 1)]
-    return picked[0].unionByName(picked[1]), counts
+
+    def first(df: DataFrame, label: int, n: int) -> DataFrame:
+        return df.filter(F.col("label") == label).orderBy(F.xxhash64("example_id"), "example_id").limit(n)
+
+    candidates = first(rows, 0, CANDIDATES * most).unionByName(first(rows, 1, CANDIDATES * most))
+    known = docs.join(F.broadcast(candidates), F.col("doc_id") == F.col("example_id")).select(TEXT, "example_id", "label")
+
+    def shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
+        for step in steps(batches, TEXT, STEP_BYTES):
+            yield {"id": step.column(1), "label": step.column(2), "key": smallest_shingles(step.column(0)).view(np.int64)}
+
+    keyed = gathered(known, "id bigint, label int, key bigint", shingles)
+    one = keyed.groupBy("label", "key").agg(F.min_by("id", F.struct(F.xxhash64("id"), "id")).alias("example_id"))
+    one = written(one.groupBy("example_id").agg(F.max("label").alias("label")), "examples")
+    return first(one, 0, most).unionByName(first(one, 1, most)), counts
 
 
 def train(docs: DataFrame, labels: DataFrame, most: int = EXAMPLES) -> Model:
     """Broadcasts at most 2 * `most` ids; the driver gets the chosen terms' counts and the
     examples' vectors over at most TERMS terms."""
-    picked, counts = examples(labels, most)
     texts = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias(TEXT))
+    picked, counts = examples(texts, labels, most)
     known = texts.join(F.broadcast(picked), F.col("doc_id") == F.col("example_id")).select(TEXT, "example_id", "label")
 
     def support(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
@@ -228,8 +263,9 @@ def train(docs: DataFrame, labels: DataFrame, most: int = EXAMPLES) -> Model:
     empty = Model(Vocabulary(np.zeros(0, np.uint64)), np.zeros(0), None, *[np.zeros(0)] * 3, (0.0, float(np.log(base / (1 - base)))))
     if sizes is None or not sizes["ones"] or not sizes["zeros"]:
         return empty
-    best = found.filter("key is not null").select("key", "ones", likelihood_ratio(sizes["ones"], sizes["zeros"]).alias("g"))
-    best = best.filter(F.col("g") >= G).orderBy(F.desc("g"), F.desc("ones"), "key").limit(TERMS)
+    best = found.filter("key is not null").select("key", "ones", "zeros", likelihood_ratio(sizes["ones"], sizes["zeros"]).alias("g"))
+    share = (F.col("ones") + 0.5) / F.lit(sizes["ones"] + 1.0) >= RATIO * (F.col("zeros") + 0.5) / F.lit(sizes["zeros"] + 1.0)
+    best = best.filter((F.col("g") >= G) & share).orderBy(F.desc("g"), F.desc("ones"), "key").limit(TERMS)
     chosen = np.array([r["key"] for r in best.collect()], np.int64).view(np.uint64)
     if not len(chosen):
         return empty
