@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ledgerline.operators.metrics import metrics, weighted_metrics
-from ledgerline.operators.preprocess import FeatureSet, Prepared, cast_inputs, fit_preparation
+from ledgerline.operators.preprocess import FeatureSet, Prepared, cast_inputs, fit_preparations
 from ledgerline.operators.splits import primary_folds
 from ledgerline.settings import FOLDS, INNER_FOLDS, INNER_OFFSETS, OUTER_CUTOFFS, REPEATS, SEED
 from ledgerline.sources.writers import written
@@ -128,18 +128,32 @@ def undo_log() -> SQLTransformer:
     return SQLTransformer(statement="select *, expm1(log_prediction) as predicted from __THIS__")
 
 
+def stages_of(prepared: Prepared, name: str) -> list:
+    return prepared.index_stages() if name in NATIVE else prepared.stages(name in SCALED)
+
+
+def assembled(df: DataFrame, stages: list, target: str, weight: str | None) -> DataFrame:
+    """What a learner sees of the rows, kept for the several settings that read it; unpersist when done."""
+    rows = labelled(df, target, weight)
+    for stage in stages:
+        rows = stage.transform(rows)
+    return rows.select("features", "label", "fit_weight", F.col(target).cast("double").alias(target)).persist()
+
+
+def learner(rows: DataFrame, prepared: Prepared, candidate: Candidate, params: Params):
+    """The candidate of one setting, fitted on assembled rows."""
+    categories = max((len(i.labels) for i in prepared.indexers.values()), default=0)
+    return candidate.build(params, replace(label_scale(rows), most_categories=categories)).fit(rows)
+
+
 def fit_one(
     train: DataFrame, prepared: Prepared, name: str, candidate: Candidate, params: Params, target: str, weight: str | None
 ) -> PipelineModel:
     """Fit on log1p of the target; the pipeline ends by undoing the log."""
-    stages = prepared.index_stages() if name in NATIVE else prepared.stages(name in SCALED)
-    rows = labelled(train, target, weight)
-    for stage in stages:
-        rows = stage.transform(rows)
-    rows = rows.select("features", "label", "fit_weight").persist()
+    stages = stages_of(prepared, name)
+    rows = assembled(train, stages, target, weight)
     try:
-        scale = replace(label_scale(rows), most_categories=max((len(i.labels) for i in prepared.indexers.values()), default=0))
-        fitted = candidate.build(params, scale).fit(rows)
+        fitted = learner(rows, prepared, candidate, params)
     finally:
         rows.unpersist()
     return PipelineModel([*stages, fitted, undo_log()])
@@ -157,13 +171,15 @@ def tune(
     settings = candidate.settings()
     if len(settings) == 1 or not inner:
         return settings[0]
-    errors = []
-    for params in settings:
-        scores = [
-            mean_absolute_error(fit_one(a, prep, name, candidate, params, target, weight).transform(b), target)
-            for a, b, prep in inner
-        ]
-        errors.append(sum(scores) / len(scores))
+    errors = [0.0] * len(settings)
+    for a, b, prepared in inner:
+        stages = stages_of(prepared, name)
+        train, test = (assembled(part, stages, target, weight) for part in (a, b))
+        for i, params in enumerate(settings):
+            scored = undo_log().transform(learner(train, prepared, candidate, params).transform(test))
+            errors[i] += mean_absolute_error(scored, target)
+        train.unpersist()
+        test.unpersist()
     return settings[errors.index(min(errors))]
 
 
@@ -234,13 +250,17 @@ def out_of_fold(
 ) -> DataFrame:
     """Held-out predictions of every model and split, with the tuned setting.
 
-    The loops run over models and folds, never over data; preparation is fitted
-    once per split and shared by its models."""
+    The loops run over models and folds, never over data; preparation is fitted for
+    all splits together and shared by their models."""
     scored: list[DataFrame] = []
     tuned = any(len(c.settings()) > 1 for c in models.values())
-    for split in splits:
-        prepared = fit_preparation(split.train, features)
-        inner = [(a, b, fit_preparation(a, features)) for a, b in split.inner()] if tuned else []
+    cuts = [(split, split.inner() if tuned else []) for split in splits]
+    if not cuts:
+        raise ValueError("no split has both training and test rows")
+    fitted = iter(fit_preparations([t for split, inner in cuts for t in (split.train, *(a for a, _ in inner))], features))
+    for split, pairs in cuts:
+        prepared = next(fitted)
+        inner = [(a, b, next(fitted)) for a, b in pairs]
         companies = split.train.agg(F.count_distinct("company_id")).first()[0]
         for name, candidate in models.items():
             params = tune(name, candidate, inner, target, weight)
@@ -261,6 +281,15 @@ def out_of_fold(
     return reduce(DataFrame.unionByName, scored)
 
 
+def by_mission(rows: DataFrame, missions: list[str], evaluate: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """`evaluate` on each mission's own rows: no mission trains or tunes another one's models."""
+    return reduce(DataFrame.unionByName, [evaluate(rows.filter(F.col("mission") == m)) for m in missions])
+
+
+def last_target_year(rows: DataFrame) -> int | None:
+    return rows.agg(F.max("target_year")).first()[0]
+
+
 def fold_metrics(predictions: DataFrame, keys: list[str], weighted: bool = True) -> DataFrame:
     groups = [*keys, "Model"]
     scores = (
@@ -296,9 +325,9 @@ def fit_final(
 ) -> tuple[PipelineModel, Params, Prepared]:
     """Tune on all rows and refit."""
     several = len(candidate.settings()) > 1
-    pairs = [(a, b, fit_preparation(a, features)) for a, b in inner] if several else []
-    params = tune(name, candidate, pairs, target, weight)
-    prepared = fit_preparation(df, features)
+    inner = inner if several else []
+    prepared, *others = fit_preparations([df, *(a for a, _ in inner)], features)
+    params = tune(name, candidate, [(a, b, p) for (a, b), p in zip(inner, others, strict=True)], target, weight)
     return fit_one(df, prepared, name, candidate, params, target, weight), params, prepared
 
 

@@ -5,12 +5,12 @@ few values per feature. Categories are indexed by falling frequency and encoded
 vectors, so neither a statement nor the driver's part of a fit grows with their number."""
 
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.ml.feature import (
     OneHotEncoder,
     OneHotEncoderModel,
     SQLTransformer,
-    StringIndexer,
     StringIndexerModel,
     VectorAssembler,
 )
@@ -170,47 +170,68 @@ def _quoted(text: str) -> str:
 
 
 def fit_preparation(train: DataFrame, features: FeatureSet) -> Prepared:
-    """Fit on a training fold; the driver gets a row per feature, and the category table only as index models."""
-    logged = log_features(train, features.log)
-    median = fold_medians(logged, features.numeric)
-    kept = [c for c in features.numeric if c in median]
-    filled = logged.select(*[F.coalesce(F.col(c), F.lit(median[c])).alias(c) for c in kept])
-    stats = {r["feature"]: r for r in scaling_stats(filled, kept).collect()}
-    labelled = train
-    if features.missing_label is not None:
-        labelled = train.fillna(features.missing_label, features.categories)
-    facts = {}
-    if features.categories:
-        counts = category_counts(labelled, features.categories)
-        first = F.min_by("value", F.struct(-F.col("n"), "value")).alias("first")
-        found = counts.groupBy("feature").agg(F.count_if(F.col("n") >= RARE_CATEGORY).alias("frequent"), first)
-        facts = {r["feature"]: r for r in found.collect()}
-    fields = [c for c in features.categories if c in facts]
-    fill = {c: features.missing_label or facts[c]["first"] for c in fields}
-    prepared = Prepared(
-        features,
-        median,
-        {c: stats[c]["mean"] for c in kept},
-        {c: stats[c]["std"] for c in kept},
-        fill,
-        {},
-        {c: facts[c]["frequent"] for c in fields},
-    )
-    if fields:
-        indexer = {"handleInvalid": "keep", "stringOrderType": "frequencyDesc"}
-        # indexed from the unfilled rows, as the frequent ones were counted
-        rows = labelled.select(*[F.col(c).alias(f"s_{c}") for c in fields])
-        for c in fields:
-            known = rows.filter(F.col(f"s_{c}").isNotNull())
-            prepared.indexers[c] = StringIndexer(inputCol=f"s_{c}", outputCol=f"i_{c}", **indexer).fit(known)
-        for stage in prepared.codes():
-            rows = stage.transform(rows)
-        encoder = OneHotEncoder(inputCols=[f"e_{c}" for c in fields], outputCols=[f"v_{c}" for c in fields], handleInvalid="keep")
-        prepared.encoder = encoder.fit(_within(rows, prepared.frequent))
-    return prepared
+    return fit_preparations([train], features)[0]
 
 
-def _within(coded: DataFrame, frequent: dict[str, int]) -> DataFrame:
-    """Codes of known categories; unknown (missing) ones, which get no column of their own, count as the first."""
-    codes = {f"e_{c}": F.when(F.col(f"e_{c}") <= n, F.col(f"e_{c}")).otherwise(0.0) for c, n in frequent.items()}
-    return coded.select(*[c.alias(name) for name, c in codes.items()])
+def fit_preparations(trains: list[DataFrame], features: FeatureSet) -> list[Prepared]:
+    """Fit on several training folds of the same rows together: one quantile job, one pass for
+    the deviations and one for the categories, whatever their number.
+
+    The driver gets a row per fold and feature, and the category table as index models,
+    which hold their labels there in any case."""
+    stacked = reduce(
+        DataFrame.unionByName,
+        [t.select(*features.numeric, *features.categories, F.lit(i).alias("_split")) for i, t in enumerate(trains)],
+    )
+    logged = log_features(stacked, features.log)
+    median: list[dict[str, float]] = [{} for _ in trains]
+    for r in medians(logged, features.numeric, ["_split"]).collect():
+        median[r["_split"]][r["feature"]] = r["median"]
+    facts = [
+        F.create_map(*[x for i, m in enumerate(median) for x in (F.lit(i), F.lit(m.get(c)).cast("double"))])
+        for c in features.numeric
+    ]
+    filled = logged.select(
+        "_split",
+        *[F.coalesce(F.col(c).cast("double"), F.element_at(f, F.col("_split"))).alias(c) for c, f in zip(features.numeric, facts, strict=True)],
+    )
+    spread = [x for c in features.numeric for x in (F.avg(c).alias(f"mean_{c}"), F.stddev_pop(c).alias(f"std_{c}"))]
+    stats = {r["_split"]: r for r in filled.groupBy("_split").agg(*spread).collect()}
+    counted: list[dict[str, list[tuple[int, str]]]] = [{} for _ in trains]
+    if features.categories:
+        labelled = stacked
+        if features.missing_label is not None:
+            labelled = stacked.fillna(features.missing_label, features.categories)
+        for r in category_counts(labelled, features.categories, ["_split"]).collect():
+            counted[r["_split"]].setdefault(r["feature"], []).append((-r["n"], r["value"]))
+    out = []
+    for i, found in enumerate(median):
+        kept = [c for c in features.numeric if c in found]
+        out.append(
+            _prepared(
+                trains[i].sparkSession,
+                features,
+                found,
+                {c: stats[i][f"mean_{c}"] for c in kept},
+                {c: stats[i][f"std_{c}"] for c in kept},
+                {c: sorted(counted[i][c]) for c in features.categories if c in counted[i]},
+            )
+        )
+    return out
+
+
+def _prepared(spark, features: FeatureSet, median, mean, std, counted: dict[str, list[tuple[int, str]]]) -> Prepared:
+    """Index and encoder models from the categories of each field, by falling frequency."""
+    frequent = {c: sum(-n >= RARE_CATEGORY for n, _ in rows) for c, rows in counted.items()}
+    fill = {c: features.missing_label or rows[0][1] for c, rows in counted.items()}
+    prepared = Prepared(features, median, mean, std, fill, {}, frequent)
+    for c, rows in counted.items():
+        indexer = StringIndexerModel.from_labels([v for _, v in rows], f"s_{c}", f"i_{c}", "keep")
+        prepared.indexers[c] = indexer
+    if counted:
+        # the encoder reads its sizes from a row that holds each field's largest code
+        last = [float(frequent[c] if len(rows) > frequent[c] else frequent[c] - 1) for c, rows in counted.items()]
+        sizes = spark.createDataFrame([tuple(last)], ", ".join(f"e_{c} double" for c in counted))
+        encoder = OneHotEncoder(inputCols=sizes.columns, outputCols=[f"v_{c}" for c in counted], handleInvalid="keep")
+        prepared.encoder = encoder.fit(sizes)
+    return prepared

@@ -85,12 +85,16 @@ def canonical_mission(raw: Column) -> Column:
     return canonical
 
 
+def primary_model_eligible(mission: Column) -> Column:
+    return mission.isin(CORE_MISSIONS)
+
+
 def check_mission(df: DataFrame, col: str = "mission") -> Checked:
     canonical = canonical_mission(F.col(col))
     reason = F.when(F.col(col).isNull(), "missing_mission").otherwise("unrecognized_mission_value")
     log = df.filter(canonical.isNull()).withColumn("exclusion_reason", reason)
     clean = df.filter(canonical.isNotNull()).withColumn(col, canonical)
-    return clean.withColumn("primary_model_eligible", F.col(col).isin(CORE_MISSIONS)), log
+    return clean.withColumn("primary_model_eligible", primary_model_eligible(F.col(col))), log
 
 
 def normalize_source(df: DataFrame) -> Checked:

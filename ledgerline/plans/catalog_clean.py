@@ -800,7 +800,7 @@ def _(t):
 
 @query("j1_join_lookup", "company_id value_stream mission", "select company_id, value_stream, mission from x_company")
 def _(t):
-    return t.company().drop("mission").join(F.broadcast(mapping(t)), "value_stream", "left")
+    return t.company().drop("mission").join(mapping(t), "value_stream", "left")
 
 
 @query("j13_dict_map", "company_id routed", """

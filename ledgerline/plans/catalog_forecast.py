@@ -1,16 +1,16 @@
 """Recursive forecast, trajectories, reports and studies."""
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ledgerline.functions import numeric as N
 from ledgerline.lineage import FEATURE_SOURCES, OTHER_FIELDS
 from ledgerline.operators import estimators, features, forecast, metrics, preprocess, reports, selection, stepwise, studies
 from ledgerline.operators.preprocess import FORECAST_SET
-from ledgerline.plans.catalog_models import RIDGE, TARGET, forecast_rows, mission_rows, subgroup_rows, training_rows_with_adjacent
+from ledgerline.plans.catalog_models import RIDGE, TARGET, forecast_rows, grouped, mission_rows, subgroup_rows, training_rows_with_adjacent
 from ledgerline.plans.catalog_panel import flow
 from ledgerline.plans.registry import query
-from ledgerline.settings import CORE_MISSIONS, ROUTING
+from ledgerline.settings import CORE_MISSIONS, FORECAST_LOG, ROUTING
 from ledgerline.sources import writers
 from ledgerline.sources.domain import Tables
 
@@ -220,16 +220,18 @@ def _(t):
 
 # --- feature usage ---------------------------------------------------------------------------------
 
-CORRELATED = ["turnover_lag_1", "turnover_lag_2", "turnover_lag_3", "turnover_t", "rolling_turnover_mean_2", "rolling_turnover_mean_3",
-              "rolling_turnover_median_3", "historical_turnover_max", "historical_turnover_min", "total_assets", "employees", "export_revenue",
-              "assets_per_employee", "log_growth_1y", "growth_volatility", "growth_acceleration", "employee_growth", "asset_growth", "company_age",
-              "history_span_years"]
+CORRELATED = FORECAST_SET.numeric
 
 
 def correlation_weights(t: Tables) -> DataFrame:
     """Correlation of each feature with the target as its weight."""
-    wide = flow(t).training.groupBy("mission").agg(
-        *[F.corr(F.col(c).cast("double"), F.col(TARGET)).alias(f"log_numeric__{c}") for c in CORRELATED])
+
+    def correlation(column: str) -> Column:
+        x = F.col(column).cast("double")
+        y = F.when(x.isNotNull(), F.col(TARGET))
+        return F.try_divide(F.covar_pop(x, y), F.stddev_pop(x) * F.stddev_pop(y))
+
+    wide = flow(t).training.groupBy("mission").agg(*[correlation(c).alias(f"log_numeric__{c}") for c in CORRELATED])
     return wide.unpivot(["mission"], [f"log_numeric__{c}" for c in CORRELATED], "feature", "weight")
 
 
@@ -303,7 +305,7 @@ def _(t):
     for weight in (0.2, 0.5, 1.0):
         scale = F.when(F.col("population_type") == "adjacent", F.lit(weight)).otherwise(1.0)
         weighted = rows.filter(F.col("mission").isin(CORE_MISSIONS)).withColumn("sample_weight", F.col("sample_weight") * scale)
-        scored = estimators.out_of_fold(estimators.grouped_splits(weighted, 2, 1), RIDGE, preprocess.ESTIMATION_SET, "total_turnover", "sample_weight", ["company_id", "mission"])
+        scored = estimators.by_mission(weighted, CORE_MISSIONS, lambda mine: grouped(mine, RIDGE, keep=["company_id", "mission"]))
         part = estimators.fold_metrics(scored, ["mission", "repeat", "fold"]).groupBy("mission").agg(F.avg("R2").alias("R2"))
         part = part.withColumn("adjacent_weight", F.lit(weight))
         out = part if out is None else out.unionByName(part)
@@ -369,7 +371,7 @@ def _(t):
     return selection.structure_score(scores.withColumnRenamed("n_test_rows", "n"))
 
 
-SKEWED = ["turnover_t", "total_assets", "employees", "export_revenue"]
+SKEWED = FORECAST_LOG
 
 
 def skew_sql(column: str) -> str:

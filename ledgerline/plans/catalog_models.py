@@ -8,13 +8,25 @@ from ledgerline.operators.preprocess import ESTIMATION_SET, FORECAST_SET, POOLED
 from ledgerline.plans.catalog_clean import mapping
 from ledgerline.plans.catalog_panel import ADJACENT_WEIGHTS, estimation, flow, inference_features, training_set
 from ledgerline.plans.registry import query
-from ledgerline.settings import CORE_MISSIONS, INNER_OFFSETS
+from ledgerline.operators.ranks import attach
+from ledgerline.settings import CORE_MISSIONS, FORECAST_LOG, INNER_OFFSETS, SPACE
 from ledgerline.sources import writers
 from ledgerline.sources.domain import Tables
 
-# Small grids keep a registered run short; estimators.MODELS holds the full ones.
+# A registered run evaluates these settings on these folds to stay short. The grids of
+# estimators.MODELS and the defaults of grouped_splits and temporal_splits (five folds five
+# times with three inner folds; four cutoffs) are the complete ones.
+FOLDS = {"k": 2, "repeats": 1, "inner": 2}
 RIDGE = estimators.with_grid({"Ridge": {"alpha": [1.0]}})
 RIDGE_TUNED = estimators.with_grid({"Ridge": {"alpha": [1.0, 100.0]}})
+BAKEOFF = estimators.with_grid(
+    {
+        "Ridge": {"alpha": [1.0]},
+        "Elastic Net": {"alpha": [0.1], "ratio": [0.5]},
+        "Extra Trees": {"trees": [20], "depth": [6], "leaf": [3]},
+        "Categorical Boosting": {"rounds": [10], "rate": [0.1], "depth": [3]},
+    }
+)
 SMALL = estimators.with_grid(
     {
         "Ridge": {"alpha": [1.0]},
@@ -34,28 +46,32 @@ def train_rows(t: Tables) -> DataFrame:
     return splits.temporal_outer(training(t)).filter("role = 'train'")
 
 
-@query("m1_log_features", "company_id accounting_year:i turnover_t:r total_assets:r employees:r", """
-select company_id, accounting_year, ln(1 + turnover_t) as turnover_t, ln(1 + total_assets) as total_assets, ln(1 + employees) as employees from x_training""")
+@query("m1_log_features", f"company_id accounting_year:i {' '.join(f'{c}:r' for c in FORECAST_LOG)}",
+       f"select company_id, accounting_year, {', '.join(f'ln(1 + {c}) as {c}' for c in FORECAST_LOG)} from x_training")
 def _(t):
-    return preprocess.log_features(training(t), ["turnover_t", "total_assets", "employees"])
+    return preprocess.log_features(training(t), FORECAST_LOG)
+
+
+NUMERIC = FORECAST_SET.numeric
+NUMERIC_SQL = ", ".join(f"cast({c} as double)" for c in NUMERIC)
 
 
-@query("m2_median_impute", "cutoff_year:i feature median:r", """
-select cutoff_year, feature, median(value) as median from (select cutoff_year, unnest(['turnover_lag_1', 'employees', 'log_growth_1y', 'export_share']) as feature,
-  unnest([turnover_lag_1, employees, log_growth_1y, export_share]) as value from x_outer where role = 'train') z where value is not null group by 1, 2""")
+@query("m2_median_impute", "cutoff_year:i feature median:r", f"""
+select cutoff_year, feature, median(value) as median from (select cutoff_year, unnest({NUMERIC}) as feature, unnest([{NUMERIC_SQL}]) as value
+  from x_outer where role = 'train') z where value is not null group by 1, 2""")
 def _(t):
-    return preprocess.medians(train_rows(t), ["turnover_lag_1", "employees", "log_growth_1y", "export_share"], ["cutoff_year"])
+    return preprocess.medians(train_rows(t), NUMERIC, ["cutoff_year"])
 
 
-@query("m2_imputed", "company_id accounting_year:i cutoff_year:i turnover_lag_1:m log_growth_1y:r", """
-select o.company_id, o.accounting_year, o.cutoff_year, coalesce(turnover_lag_1, m1) as turnover_lag_1, coalesce(log_growth_1y, m2) as log_growth_1y from x_outer o
-join (select cutoff_year, median(turnover_lag_1) as m1, median(log_growth_1y) as m2 from x_outer where role = 'train' group by 1) m on m.cutoff_year = o.cutoff_year""")
+@query("m2_imputed", f"company_id accounting_year:i cutoff_year:i {' '.join(f'{c}:r' for c in NUMERIC)}", f"""
+select o.company_id, o.accounting_year, o.cutoff_year, {', '.join(f'coalesce(cast({c} as double), m_{c}) as {c}' for c in NUMERIC)} from x_outer o
+join (select cutoff_year, {', '.join(f'median(cast({c} as double)) as m_{c}' for c in NUMERIC)} from x_outer where role = 'train' group by 1) m on m.cutoff_year = o.cutoff_year""")
 def _(t):
-    columns = ["turnover_lag_1", "log_growth_1y"]
-    found = preprocess.medians(train_rows(t), columns, ["cutoff_year"])
-    wide = found.groupBy("cutoff_year").pivot("feature", columns).agg(F.first("median")).toDF("cutoff_year", "m1", "m2")
-    rows = splits.temporal_outer(training(t)).join(F.broadcast(wide), "cutoff_year")
-    return rows.withColumns({c: F.coalesce(c, f"m{i + 1}") for i, c in enumerate(columns)})
+    found = preprocess.medians(train_rows(t), NUMERIC, ["cutoff_year"])
+    wide = found.groupBy("cutoff_year").pivot("feature", NUMERIC).agg(F.first("median"))
+    wide = wide.select("cutoff_year", *[F.col(c).alias(f"m_{c}") for c in NUMERIC])
+    rows = attach(splits.temporal_outer(training(t)), wide, ["cutoff_year"], "inner")
+    return rows.withColumns({c: F.coalesce(F.col(c).cast("double"), F.col(f"m_{c}")) for c in NUMERIC})
 
 
 @query("m3_missing_category", "cutoff_year:i constant_rows:i most_frequent", """
@@ -70,20 +86,23 @@ def _(t):
 
 @query("m4_rare_category", "cutoff_year:i feature value n:i encoded", """
 select cutoff_year, feature, value, count(*) as n, case when count(*) < 5 then 'infrequent' else value end as encoded from (
-  select cutoff_year, unnest(['sic_code_1', 'company_size', 'value_stream']) as feature,
-    unnest([cast(cast(sic_code_1 as int) as varchar), company_size, value_stream]) as value from x_outer where role = 'train') z where value is not null group by 1, 2, 3""")
+  select cutoff_year, unnest(['sic_code_1', 'company_size', 'value_stream', 'estimation_reliability']) as feature,
+    unnest([cast(cast(sic_code_1 as int) as varchar), company_size, value_stream, estimation_reliability]) as value from x_outer where role = 'train') z where value is not null group by 1, 2, 3""")
 def _(t):
     rows = preprocess.cast_inputs(train_rows(t), FORECAST_SET)
-    return preprocess.bucketed_categories(preprocess.category_counts(rows, ["sic_code_1", "company_size", "value_stream"], ["cutoff_year"]))
+    return preprocess.bucketed_categories(preprocess.category_counts(rows, FORECAST_SET.categories, ["cutoff_year"]))
 
 
-@query("m5_standard_scale", "company_id accounting_year:i turnover_t:r export_share:r", """
-select company_id, accounting_year, (turnover_t - avg(turnover_t) over ()) / stddev_pop(turnover_t) over () as turnover_t,
-  (export_share - avg(export_share) over ()) / stddev_pop(export_share) over () as export_share from x_training""")
+SCALED_SQL = ", ".join(
+    f"(cast({c} as double) - avg(cast({c} as double)) over ()) / nullif(stddev_pop(cast({c} as double)) over (), 0) as {c}" for c in NUMERIC)
+
+
+@query("m5_standard_scale", f"company_id accounting_year:i {' '.join(f'{c}:f' for c in NUMERIC)}",
+       f"select company_id, accounting_year, {SCALED_SQL} from x_training")
 def _(t):
-    rows, columns = training(t), ["turnover_t", "export_share"]
-    stats = {r["feature"]: r for r in preprocess.scaling_stats(rows, columns).collect()}
-    return rows.withColumns({c: (F.col(c) - stats[c]["mean"]) / stats[c]["std"] for c in columns})
+    rows = training(t).withColumns({c: F.col(c).cast("double") for c in NUMERIC})
+    stats = {r["feature"]: r for r in preprocess.scaling_stats(rows, NUMERIC).collect()}
+    return rows.withColumns({c: F.try_divide(F.col(c) - F.lit(stats[c]["mean"]), F.lit(stats[c]["std"])) for c in NUMERIC})
 
 
 def forecast_rows(t: Tables) -> DataFrame:
@@ -163,7 +182,7 @@ FOLD_KEYS = "mission cutoff_year:i horizon Model n_test_rows:i MAE:f RMSE:f R2:r
 def _(t):
     from ledgerline.operators.forecast import benchmark_folds
 
-    return benchmark_folds(training(t))
+    return benchmark_folds(flow(t).primary_training)
 
 
 @query("s13_reload_bakeoff", FOLD_KEYS, "select * from x_folds")
@@ -359,21 +378,21 @@ def mission_rows(rows: DataFrame, mission: str) -> DataFrame:
 
 @query("e1_evaluate_model", "mission Model repeat:i fold:i n_train_companies:i n_test_companies:i n_test_rows:i MAE:f RMSE:f R2:r best_params")
 def _(t):
-    rows = estimation_rows(t).filter(F.col("mission").isin(CORE_MISSIONS))
-    scored = estimators.out_of_fold(estimators.grouped_splits(rows, 2, 1, 2), RIDGE_TUNED, ESTIMATION_SET, "total_turnover", "sample_weight", ["company_id", "year", "mission"])
+    scored = estimators.by_mission(estimation_rows(t), CORE_MISSIONS, lambda mine: grouped(mine, RIDGE_TUNED))
     return estimators.fold_metrics(scored, ["mission", "repeat", "fold"])
 
 
+def grouped(rows: DataFrame, models, features=ESTIMATION_SET, folds=None, keep=("company_id", "year", "mission")) -> DataFrame:
+    """Held-out predictions of grouped folds, by company and weighted."""
+    cut = estimators.grouped_splits(rows, **(folds or FOLDS))
+    return estimators.out_of_fold(cut, models, features, "total_turnover", "sample_weight", list(keep))
+
+
 @query("e2_run_bakeoff", "mission Model MAE_mean:f MAE_std:f RMSE_mean:f R2_mean:r R2_std:r n_folds:i")
 def _(t):
     rows = training_rows_with_adjacent(t)
-    folds = None
-    for mission in CORE_MISSIONS:
-        cut = estimators.grouped_splits(mission_rows(rows, mission), 2, 1, 2)
-        scored = estimators.out_of_fold(cut, RIDGE, ESTIMATION_SET, "total_turnover", "sample_weight", ["company_id", "year", "mission"])
-        part = estimators.fold_metrics(scored, ["mission", "repeat", "fold"])
-        folds = part if folds is None else folds.unionByName(part)
-    return metrics.metric_summary(folds, ["mission", "Model"])
+    scored = estimators.by_mission(rows, CORE_MISSIONS, lambda mine: grouped(mine, BAKEOFF))
+    return metrics.metric_summary(estimators.fold_metrics(scored, ["mission", "repeat", "fold"]), ["mission", "Model"])
 
 
 def training_rows_with_adjacent(t: Tables, weights: dict[str, float] = ADJACENT_WEIGHTS) -> DataFrame:
@@ -387,19 +406,23 @@ def training_rows_with_adjacent(t: Tables, weights: dict[str, float] = ADJACENT_
 @query("e3_evaluate_temporal", "mission cutoff_year:i Model n_test_rows:i MAE:f RMSE:f R2:r best_params")
 def _(t):
     rows = writers.written(forecast_rows(t), "forecast_rows")
-    cut = estimators.temporal_splits(rows, offsets=INNER_OFFSETS)
-    scored = estimators.out_of_fold(cut, RIDGE, FORECAST_SET, TARGET, None, ["company_id", "accounting_year", "mission"])
+    scored = estimators.by_mission(rows, CORE_MISSIONS, lambda mine: rolling(mine, RIDGE))
     return estimators.fold_metrics(scored, ["mission", "cutoff_year"], weighted=False)
 
 
+def rolling(rows: DataFrame, models) -> DataFrame:
+    """Held-out predictions of rolling origins."""
+    cut = estimators.temporal_splits(rows, offsets=INNER_OFFSETS)
+    return estimators.out_of_fold(cut, models, FORECAST_SET, TARGET, None, ["company_id", "accounting_year", "target_year", "mission"])
+
+
 @query("e5_run_forecast_bakeoff", "mission cutoff_year:i horizon Model n_test_rows:i MAE:f RMSE:f R2:r")
 def _(t):
     from ledgerline.functions.numeric import horizon_bucket
 
     f = flow(t)
     rows = writers.written(preprocess.cast_inputs(f.training, FORECAST_SET), "forecast_rows")
-    cut = estimators.temporal_splits(rows)
-    scored = estimators.out_of_fold(cut, SMALL, FORECAST_SET, TARGET, None, ["company_id", "target_year", "mission"])
+    scored = estimators.by_mission(rows, CORE_MISSIONS, lambda mine: rolling(mine, SMALL))
     scored = scored.withColumn("horizon", horizon_bucket(F.col("target_year"), F.col("cutoff_year")))
     fitted = metrics.metrics(scored, ["mission", "cutoff_year", "horizon", "Model"], "actual", "predicted")
     return fitted.unionByName(f.folds.select(*fitted.columns))
@@ -408,9 +431,13 @@ def _(t):
 @query("e10_fit_final", "company_id accounting_year:i predicted:f")
 def _(t):
     rows = writers.written(forecast_rows(t), "forecast_rows")
-    inner = estimators.inner_years(rows, 2021, INNER_OFFSETS)
-    model, _, _ = estimators.fit_final(rows, "Ridge", RIDGE_TUNED["Ridge"], FORECAST_SET, TARGET, None, inner)
-    return model.transform(rows)
+
+    def refit(mine: DataFrame) -> DataFrame:
+        inner = estimators.inner_years(mine, estimators.last_target_year(mine), INNER_OFFSETS)
+        model, _, _ = estimators.fit_final(mine, "Ridge", RIDGE_TUNED["Ridge"], FORECAST_SET, TARGET, None, inner)
+        return model.transform(mine).select("company_id", "accounting_year", "predicted")
+
+    return estimators.by_mission(rows, CORE_MISSIONS, refit)
 
 
 @query("s9_model_io", "company_id accounting_year:i difference:r")
@@ -429,7 +456,7 @@ def _(t):
     parts = {"blended": rows, "consultancy_other": rows.filter(F.col("company_size") == "Medium")}
     out = None
     for segment, part in parts.items():
-        scored = estimators.out_of_fold(estimators.grouped_splits(part, 2, 1), RIDGE, ESTIMATION_SET, "total_turnover", "sample_weight", ["company_id"])
+        scored = grouped(part, BAKEOFF, keep=["company_id"])
         scores = estimators.fold_metrics(scored.withColumn("sub_segment", F.lit(segment)), ["sub_segment", "repeat", "fold"])
         out = scores if out is None else out.unionByName(scores)
     return out
@@ -438,14 +465,14 @@ def _(t):
 @query("e14_pooled_bakeoff", "mission Model repeat:i fold:i n_test_rows:i MAE:f RMSE:f R2:r")
 def _(t):
     rows = estimation_rows(t).filter(F.col("mission").isin(CORE_MISSIONS))
-    scored = estimators.out_of_fold(estimators.grouped_splits(rows, 2, 1), RIDGE, POOLED_SET, "total_turnover", "sample_weight", ["company_id", "year", "mission"])
+    scored = grouped(rows, BAKEOFF, POOLED_SET)
     sliced = estimators.fold_metrics(scored, ["mission", "repeat", "fold"])
     return sliced.filter("n_test_rows >= 2")
 
 
 def held_out(t: Tables) -> DataFrame:
-    rows = estimation_rows(t).filter(F.col("mission").isin(CORE_MISSIONS))
-    scored = estimators.out_of_fold(estimators.grouped_splits(rows, 2, 2), RIDGE, ESTIMATION_SET, "total_turnover", "sample_weight", ["company_id", "year"])
+    twice = FOLDS | {"repeats": 2}
+    scored = estimators.by_mission(estimation_rows(t), CORE_MISSIONS, lambda mine: grouped(mine, RIDGE, folds=twice))
     return estimators.mean_held_out(scored, ["company_id", "year"])
 
 
@@ -463,9 +490,13 @@ def _(t):
 
 @query("e17_in_sample", "company_id year:i actual:m predicted:f n_test_folds:i is_in_sample_not_oof:b")
 def _(t):
-    rows = estimation_rows(t).filter(F.col("mission").isin(list(ADJACENT_WEIGHTS)))
-    model, _, _ = estimators.fit_final(rows, "Ridge", RIDGE["Ridge"], ESTIMATION_SET, "total_turnover", "sample_weight", [])
-    return model.transform(rows).withColumns(
+    rows = training_rows_with_adjacent(t)
+
+    def own_fit(mine: DataFrame) -> DataFrame:
+        model, _, _ = estimators.fit_final(mine, "Extra Trees", BAKEOFF["Extra Trees"], ESTIMATION_SET, "total_turnover", "sample_weight", [])
+        return model.transform(mine.filter(F.col("population_type") == SPACE))
+
+    return estimators.by_mission(rows, list(ADJACENT_WEIGHTS), own_fit).withColumns(
         {"actual": F.col("total_turnover"), "n_test_folds": F.lit(0), "is_in_sample_not_oof": F.lit(True)})
 
 

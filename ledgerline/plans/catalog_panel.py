@@ -370,11 +370,10 @@ def _(t):
     return p.groupBy("company_id").agg(F.max("accounting_year").alias("y")).select("company_id", (latest - F.col("y")).alias("years_behind"))
 
 
-@query("a19_coverage", "feature non_null:i", """
-select unnest(['turnover_lag_1', 'log_growth_1y', 'growth_volatility', 'assets_per_employee', 'export_share']) as feature,
-  unnest([count(turnover_lag_1), count(log_growth_1y), count(growth_volatility), count(assets_per_employee), count(export_share)]) as non_null from x_training""")
+@query("a19_coverage", "feature non_null:i", f"""
+select unnest({ENGINEERED}) as feature, unnest([{', '.join(f'count({c})' for c in ENGINEERED)}]) as non_null from x_training""")
 def _(t):
-    return coverage(features.training_features(t.panel()), ["turnover_lag_1", "log_growth_1y", "growth_volatility", "assets_per_employee", "export_share"])
+    return coverage(features.training_features(t.panel()), ENGINEERED)
 
 
 @query("a21_describe", "mission n:i mean:f std:f low:m q1:m q2:m q3:m high:m", """

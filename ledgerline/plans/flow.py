@@ -7,9 +7,11 @@ everything else stays lazy."""
 from functools import cached_property
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from ledgerline.operators import features, forecast, reports
 from ledgerline.operators.panel import history_properties
+from ledgerline.operators.quality import primary_model_eligible
 from ledgerline.sources.writers import written
 
 
@@ -70,6 +72,11 @@ class ForecastFlow:
     def intersection(self) -> DataFrame:
         return reports.credible_intersection(self.context, self.runs, self.trajectories)
 
+    @cached_property
+    def primary_training(self) -> DataFrame:
+        """Rows that take part in model selection: the missions with a model of their own."""
+        return self.training.filter(primary_model_eligible(F.col("mission")))
+
     @cached_property
     def folds(self) -> DataFrame:
-        return written(forecast.benchmark_folds(self.training), "folds")
+        return written(forecast.benchmark_folds(self.primary_training), "folds")

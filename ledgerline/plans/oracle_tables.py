@@ -1,5 +1,13 @@
 """Shared tables of the checking SQL, written for DuckDB on the given tables."""
 
+from ledgerline.settings import FORECAST_LOG, FORECAST_PLAIN
+
+
+def _correlation(column: str) -> str:
+    x, y = f"cast({column} as double)", f"case when {column} is not null then target_turnover_next_year end"
+    return f"covar_pop({x}, {y}) / nullif(stddev_pop({x}) * stddev_pop({y}), 0) as {column}"
+
+
 ORACLE_TABLES = {
     "x_company": """
 select 'c'||c_custkey as company_id, c_custkey as ordinal, c_name as company_name,
@@ -154,7 +162,7 @@ union all select company_id, accounting_year, mission, cutoff_year, horizon, log
     "x_folds": """
 select mission, cutoff_year, horizon, "Model", count(*) as n_test_rows, avg(abs(y - p)) as "MAE", sqrt(avg((y - p) * (y - p))) as "RMSE",
   case when count(*) >= 2 then 1 - sum((y - p) * (y - p)) / (var_pop(y) * count(*)) end as "R2"
-from x_predictions group by 1, 2, 3, 4""",
+from x_predictions where mission <> 'Cross-Cutting' group by 1, 2, 3, 4""",
     "x_metric_summary": """
 select mission, horizon, "Model", avg("MAE") as "MAE_mean", stddev_samp("MAE") as "MAE_std", avg("RMSE") as "RMSE_mean", stddev_samp("RMSE") as "RMSE_std",
   avg("R2") as "R2_mean", stddev_samp("R2") as "R2_std", count("MAE") as n_folds, sum(n_test_rows) as n_test_rows_total
@@ -406,21 +414,9 @@ select s.*, coalesce(total_employees_ch, total_employees_est) as total_employees
   case when total_employees_ch is not null then 'filed' when total_employees_est is not null then 'estimated' end as employee_count_source,
   case when s.year >= s.founded_year then s.year - s.founded_year end as company_age_years
 from x_snapshot s""",
-    "x_weights": """
-select mission, 'log_numeric__'||feature as feature, weight from (
-  select mission, corr(turnover_lag_1, target_turnover_next_year) as "turnover_lag_1", corr(turnover_lag_2, target_turnover_next_year) as "turnover_lag_2",
-    corr(turnover_lag_3, target_turnover_next_year) as "turnover_lag_3", corr(turnover_t, target_turnover_next_year) as "turnover_t",
-    corr(rolling_turnover_mean_2, target_turnover_next_year) as "rolling_turnover_mean_2", corr(rolling_turnover_mean_3, target_turnover_next_year) as "rolling_turnover_mean_3",
-    corr(rolling_turnover_median_3, target_turnover_next_year) as "rolling_turnover_median_3", corr(historical_turnover_max, target_turnover_next_year) as "historical_turnover_max",
-    corr(historical_turnover_min, target_turnover_next_year) as "historical_turnover_min", corr(total_assets, target_turnover_next_year) as "total_assets",
-    corr(employees, target_turnover_next_year) as "employees", corr(export_revenue, target_turnover_next_year) as "export_revenue",
-    corr(assets_per_employee, target_turnover_next_year) as "assets_per_employee", corr(log_growth_1y, target_turnover_next_year) as "log_growth_1y",
-    corr(growth_volatility, target_turnover_next_year) as "growth_volatility", corr(growth_acceleration, target_turnover_next_year) as "growth_acceleration",
-    corr(employee_growth, target_turnover_next_year) as "employee_growth", corr(asset_growth, target_turnover_next_year) as "asset_growth",
-    corr(company_age, target_turnover_next_year) as "company_age", corr(history_span_years, target_turnover_next_year) as "history_span_years"
-  from x_training group by mission) unpivot (weight for feature in (turnover_lag_1, turnover_lag_2, turnover_lag_3, turnover_t, rolling_turnover_mean_2,
-    rolling_turnover_mean_3, rolling_turnover_median_3, historical_turnover_max, historical_turnover_min, total_assets, employees, export_revenue,
-    assets_per_employee, log_growth_1y, growth_volatility, growth_acceleration, employee_growth, asset_growth, company_age, history_span_years))""",
+    "x_weights": f"""
+select mission, 'log_numeric__'||feature as feature, weight from (select mission, {", ".join(_correlation(c) for c in FORECAST_LOG + FORECAST_PLAIN)}
+  from x_training group by mission) unpivot (weight for feature in ({", ".join(FORECAST_LOG + FORECAST_PLAIN)}))""",
     "x_top": """
 select mission, feature, substr(feature, 14) as engineered_feature, place from (
   select *, row_number() over (partition by mission order by abs(weight) desc, feature) as place from x_weights where abs(weight) > 1e-9) z where place <= 15""",
