@@ -230,8 +230,8 @@ def _prepared(spark, features: FeatureSet, median, mean, std, counted: dict[str,
         prepared.indexers[c] = indexer
     if counted:
         # the encoder reads its sizes from a row that holds each field's largest code
-        last = [float(frequent[c] if len(rows) > frequent[c] else frequent[c] - 1) for c, rows in counted.items()]
-        sizes = spark.createDataFrame([tuple(last)], ", ".join(f"e_{c} double" for c in counted))
+        last = {c: frequent[c] if len(rows) > frequent[c] else frequent[c] - 1 for c, rows in counted.items()}
+        sizes = spark.range(1).select(*[F.lit(float(n)).alias(f"e_{c}") for c, n in last.items()])
         encoder = OneHotEncoder(inputCols=sizes.columns, outputCols=[f"v_{c}" for c in counted], handleInvalid="keep")
         prepared.encoder = encoder.fit(sizes)
     return prepared
