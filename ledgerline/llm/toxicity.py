@@ -2,12 +2,16 @@
 
 Terms are lower-cased words and their byte prefixes (stems, so that unseen endings still
 meet). A bounded, seeded sample of labelled rows, one of each group of copies (equal
-smallest shingle hash), gives the examples and picks the terms
-that mark label 1 most clearly (likelihood ratio of the counts of texts that hold them);
-document frequencies of those terms are counted over all texts. Examples lie in blocks;
-every posting list has the largest weight of each block, so the sum of a text's weights
-times those bounds a block's best cosine, and blocks are scored from the largest bound
-on until no bound exceeds the K-th best cosine: the K nearest examples are exact.
+smallest shingle hash), gives the examples; every term of an example is indexed, and
+document frequencies of all of them are counted over all texts. A term's TF-IDF weight is
+multiplied by 1 + the square root of its likelihood ratio between the labels, so that every
+term counts and clear ones count more; words that no example has can't meet one.
+
+Examples lie in blocks of like ones; the sum of a text's weights times the largest weight of
+each term in a block bounds the block's best cosine, and blocks whose bound doesn't reach
+the K-th best cosine are left out. Terms of many examples are multiplied as a dense matrix
+of 32-bit numbers, others by posting lists; whatever may be among the K nearest within
+the rounding is then scored anew in 64 bits: the K nearest examples are exact.
 
 Votes are weighted by cosine and by how many labelled rows an example stands for, with
 PRIOR_MASS added for the examples that share no term; the vote is turned into a
@@ -25,6 +29,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -34,12 +39,11 @@ from ledgerline.sources.writers import written
 
 EXAMPLES = 3_000  # of each label at most, those of smallest hash among different texts
 CANDIDATES = 4  # times as many rows are looked at, so that copies can give way to other texts
-TERMS = 512
 PREFIXES = (4, 5, 6, 7)  # bytes
-G = 28.0  # likelihood-ratio statistic from which a term may be chosen,
-RATIO = 5.0  # if its share of the example texts of label 1 is so many times that of label 0
 K = 15
-BLOCK = 256  # examples
+BLOCK = 512  # examples
+DENSE = 30  # a term of one in so many examples is kept as a dense row
+QUERIES = 64  # texts scored at once
 PRIOR_MASS = 2.0
 CUT = 0.7  # predicted 1 from this score on
 FOLDS, HELD_OUT = 3, 1
@@ -61,78 +65,177 @@ def terms(words: Words) -> tuple[np.ndarray, np.ndarray]:
 
 
 class Vocabulary:
-    """Chosen terms, looked up by key."""
+    """The examples' terms, looked up by key."""
 
     def __init__(self, keys: np.ndarray) -> None:
         self.keys = np.sort(keys)
-        self.maybe = np.zeros(1 << 20, dtype=bool)
-        self.maybe[self._low(self.keys)] = True
-
-    @staticmethod
-    def _low(keys: np.ndarray) -> np.ndarray:
-        return (keys & np.uint64((1 << 20) - 1)).astype(np.int64)
+        # keys are well mixed, so their top bits spread them over buckets of about one key
+        self.shift = np.uint64(64 - max(8, len(keys).bit_length()))
+        edges = np.arange(1 << (64 - int(self.shift)), dtype=np.uint64) << self.shift
+        self.bucket = np.append(np.searchsorted(self.keys, edges), len(keys)).astype(np.int32)
+
+    def find(self, key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(positions of the known ones in `key`, their terms)."""
+        at = (key >> self.shift).astype(np.int64)
+        term, end = self.bucket[at], self.bucket[at + 1]
+        left, places, found = np.flatnonzero(term < end), [], []
+        term, end, key = term[left], end[left], key[left]
+        while len(left):
+            good = self.keys[term] == key
+            places.append(left[good])
+            found.append(term[good])
+            go = ~good & (term + 1 < end)
+            left, term, end, key = left[go], term[go] + 1, end[go], key[go]
+        none = np.zeros(0, np.int64)
+        return np.concatenate([none, *places]), np.concatenate([none, *found])
 
     def counts(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(text, term, count) of the chosen terms in each text, by text and term."""
+        """(text, term, count) of the known terms in each text, by text and term."""
         key, row = terms(words_of(texts, LETTERS, lower=True))
-        at = np.flatnonzero(self.maybe[self._low(key)])
-        key, row = key[at], row[at]
-        if not len(self.keys) or not len(key):
-            none = np.zeros(0, np.int64)
-            return none, none, none
-        term = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
-        known = self.keys[term] == key
-        cell, count = np.unique(row[known] * len(self.keys) + term[known], return_counts=True)
-        return cell // len(self.keys), cell % len(self.keys), count
-
-
-def unit_vectors(row: np.ndarray, term: np.ndarray, count: np.ndarray, idf: np.ndarray, n: int) -> np.ndarray:
+        at, term = self.find(key)
+        cell, count = np.unique(row[at] * max(1, len(self.keys)) + term, return_counts=True)
+        return cell // max(1, len(self.keys)), cell % max(1, len(self.keys)), count
+
+
+def unit_vectors(row: np.ndarray, term: np.ndarray, count: np.ndarray, weights: np.ndarray, n: int) -> np.ndarray:
     """Weight of each entry; the weights of a text have length 1."""
-    weight = (1 + np.log(count)) * idf[term]
+    weight = (1 + np.log(count)) * weights[term]
     length = np.sqrt(np.bincount(row, weight * weight, minlength=n))
     return weight / np.maximum(length[row], 1e-300)
 
 
+def alike_together(example: np.ndarray, term: np.ndarray, weight: np.ndarray, n: int, n_terms: int) -> np.ndarray:
+    """The examples in an order that puts like ones into the same block: split again and again
+    at the middle of their main direction over the terms that most have (only speed depends on it)."""
+    common = np.argsort(-np.bincount(term, minlength=n_terms), kind="stable")[:BLOCK]
+    place = np.full(n_terms, -1, np.int32)
+    place[common] = np.arange(len(common))
+    dense = np.zeros((n, len(common)), np.float32)
+    some = place[term] >= 0
+    dense[example[some], place[term[some]]] = weight[some]
+
+    def split(members: np.ndarray) -> list[np.ndarray]:
+        if len(members) <= BLOCK:
+            return [members]
+        own = dense[members] - dense[members].mean(axis=0)
+        along = own[:, own.var(axis=0).argmax()] if len(common) else np.zeros(len(members))
+        for _ in range(8):
+            along = own @ (along @ own)
+            along = along / max(np.linalg.norm(along), 1e-300)
+        members = members[np.argsort(along, kind="stable")]
+        half = max(1, round(len(members) / BLOCK / 2)) * BLOCK
+        return split(members[:half]) + split(members[half:])
+
+    return np.concatenate(split(np.arange(n)))
+
+
 class BlockMaxIndex:
-    """Inverted lists of the examples' unit vectors, with the largest weight of every block."""
+    """Lists and dense rows of the examples' unit vectors, with the largest weight of every block."""
 
     def __init__(self, example: np.ndarray, term: np.ndarray, weight: np.ndarray, n: int, n_terms: int) -> None:
-        self.n, self.blocks = n, -(-n // BLOCK)
-        order = np.lexsort((example, term))
-        self.example, self.weight = example[order], weight[order]
+        """Entries by example; no weight is negative. The lists are made when first used, by the executors."""
+        self.n, self.n_terms, self.blocks = n, n_terms, -(-n // BLOCK)
+        self.example, self.term, self.weight = example.astype(np.int32), term.astype(np.int32), weight
+        self.ready = False
+
+    def make(self) -> None:
+        if self.ready:
+            return
+        self.ready = True
+        example, term, weight, n, n_terms = self.example, self.term, self.weight, self.n, self.n_terms
+        self.first = np.searchsorted(example, np.arange(n + 1))
+        self.largest = np.zeros((n_terms, self.blocks), np.float32)
+        np.maximum.at(self.largest, (term, example // BLOCK), weight.astype(np.float32))
+        common = np.flatnonzero(np.bincount(term, minlength=n_terms) * DENSE >= max(n, DENSE))
+        self.place = np.full(n_terms, -1, np.int32)
+        self.place[common] = np.arange(len(common))
+        self.largest_common = self.largest[common]
+        dense = self.place[term] >= 0
+        self.dense = np.zeros((self.blocks, len(common), BLOCK), np.float32)
+        self.dense[example[dense] // BLOCK, self.place[term[dense]], example[dense] % BLOCK] = weight[dense]
+        order = np.flatnonzero(~dense)
+        order = order[np.lexsort((example[order], term[order]))]
+        self.listed, self.share = self.example[order], weight[order]
         # postings of (term, block) are bounds[term * blocks + block] to the next
-        cell = term[order] * self.blocks + self.example // BLOCK
-        self.bounds = np.searchsorted(cell, np.arange(n_terms * self.blocks + 1))
-        self.largest = np.zeros(n_terms * self.blocks)
-        np.maximum.at(self.largest, cell, self.weight)
-        self.largest = self.largest.reshape(n_terms, self.blocks)
+        size = np.bincount(term[order].astype(np.int64) * self.blocks + self.listed // BLOCK, minlength=n_terms * self.blocks)
+        self.bounds = np.concatenate([[0], np.cumsum(size)]).astype(np.int32 if len(order) < 2**31 else np.int64)
+        # of 32-bit sums and products of positive numbers, one of each dense term at most
+        self.slack = (len(common) + 16) * 2.0**-23
+
+    def __reduce__(self) -> tuple:
+        return BlockMaxIndex, (self.example, self.term, self.weight, self.n, self.n_terms)
+
+    def add_scores(self, scores: np.ndarray, wanted: np.ndarray, dense: np.ndarray, rare: tuple) -> None:
+        """Fill in the cosines of the (text, block) pairs that are wanted."""
+        row, term, weight = rare
+        for block in np.flatnonzero(wanted.any(axis=0)):
+            texts = np.flatnonzero(wanted[:, block])
+            part = dense[texts] @ self.dense[block]
+            some = np.flatnonzero(wanted[row, block])
+            at = term[some].astype(np.int64) * self.blocks + block
+            begin, size = self.bounds[at], self.bounds[at + 1] - self.bounds[at]
+            full = np.flatnonzero(size)
+            some, begin, size = some[full], begin[full].astype(np.int64), size[full].astype(np.int64)
+            posting = np.arange(size.sum()) + np.repeat(begin - np.cumsum(size) + size, size)
+            local = np.zeros(len(wanted), np.int64)
+            local[texts] = np.arange(len(texts))
+            cell = np.repeat(local[row[some]] * BLOCK - block * BLOCK, size) + self.listed[posting]
+            part += np.bincount(cell, np.repeat(weight[some], size) * self.share[posting], part.size).reshape(part.shape)
+            scores[texts, block] = part
+
+    def nearest_of(self, first: np.ndarray, term: np.ndarray, weight: np.ndarray, k: int, skip: np.ndarray) -> list:
+        """(examples, cosines) of nearest() for texts of at least one term, whose entries begin at `first`."""
+        self.make()
+        texts = len(first) - 1
+        row = np.repeat(np.arange(texts), np.diff(first))
+        dense = np.zeros((texts, self.dense.shape[1]), np.float32)
+        place = self.place[term]
+        dense[row[place >= 0], place[place >= 0]] = weight[place >= 0]
+        rare = tuple(x[place < 0] for x in (row, term, weight))
+        bound = dense @ self.largest_common
+        starts = np.flatnonzero(np.r_[True, rare[0][1:] != rare[0][:-1]][: len(rare[0])])
+        if len(starts):
+            bound[rare[0][starts]] += np.add.reduceat(self.largest[rare[1]] * rare[2].astype(np.float32)[:, None], starts, axis=0)
+        bound = bound.astype(float) * (1 + len(term) * 2.0**-23 + self.slack)
+        scores = np.zeros((texts, self.blocks, BLOCK), np.float32)
+        own = np.flatnonzero(skip >= 0)
+        k = min(k, self.n)
+
+        def reached(among: np.ndarray) -> np.ndarray:
+            return np.partition(among, -k, axis=1)[:, -k] * (1 - 2 * self.slack)
+
+        best = np.argsort(-bound, axis=1, kind="stable")[:, :2]
+        done = np.zeros(bound.shape, bool)
+        np.put_along_axis(done, best, True, axis=1)
+        done &= bound > 0
+        self.add_scores(scores, done, dense, rare)
+        scores[own, skip[own] // BLOCK, skip[own] % BLOCK] = 0
+        least = reached(np.take_along_axis(scores, best[:, :, None], axis=1).reshape(texts, -1))
+        self.add_scores(scores, ~done & (bound > 0) & (bound >= least[:, None]), dense, rare)
+        scores[own, skip[own] // BLOCK, skip[own] % BLOCK] = 0
+        scores = scores.reshape(texts, -1)
+        least = reached(scores)
+        near_row, near = np.nonzero((scores > 0) & (scores >= least[:, None]))
+        cut, out, vector = np.searchsorted(near_row, np.arange(texts + 1)), [], np.zeros(self.n_terms)
+        for i in range(texts):
+            who, own = near[cut[i] : cut[i + 1]], slice(first[i], first[i + 1])
+            vector[term[own]] = weight[own]
+            parts = [slice(self.first[e], self.first[e + 1]) for e in who.tolist()]
+            exact = np.array([(vector[self.term[p]] * self.weight[p]).sum() for p in parts])
+            vector[term[own]] = 0
+            order = np.lexsort((who, -exact))[:k]
+            out.append((who[order], exact[order]))
+        return out
 
     def nearest(self, term: np.ndarray, weight: np.ndarray, k: int, skip: int = -1) -> tuple[np.ndarray, np.ndarray]:
         """(examples, cosines) of the k nearest examples with a positive cosine; ties by number."""
-        bound = weight @ self.largest[term]
-        best, who = np.zeros(0), np.zeros(0, np.int64)
-        for block in np.argsort(-bound, kind="stable"):
-            # a hair of slack: bound and cosine are added up in different orders
-            if bound[block] <= 0 or (len(best) >= k and bound[block] < best[k - 1] * (1 - 1e-12)):
-                break
-            at = term * self.blocks + block
-            first, size = self.bounds[at], self.bounds[at + 1] - self.bounds[at]
-            posting = np.arange(size.sum()) + np.repeat(first - np.cumsum(size) + size, size)
-            share = np.repeat(weight, size) * self.weight[posting]
-            scores = np.bincount(self.example[posting] - block * BLOCK, share, minlength=BLOCK)
-            some = np.flatnonzero(scores)
-            some = some[some + block * BLOCK != skip]
-            who = np.concatenate([who, some + block * BLOCK])
-            best = np.concatenate([best, scores[some]])
-            order = np.lexsort((who, -best))[:k]
-            who, best = who[order], best[order]
-        return who, best
+        return self.nearest_of(np.array([0, len(term)]), term, weight, k, np.array([skip]))[0]
 
 
 @dataclass
 class Model:
     vocabulary: Vocabulary
-    idf: np.ndarray
+    weights: np.ndarray  # of the terms
     index: BlockMaxIndex | None
     label: np.ndarray
     stands_for: np.ndarray
@@ -146,16 +249,31 @@ class Model:
     def score(self, vote: np.ndarray) -> np.ndarray:
         return 1 / (1 + np.exp(-(self.curve[0] * vote + self.curve[1])))
 
+    def nearest(self, row: np.ndarray, term: np.ndarray, weight: np.ndarray, skip: bool = False) -> Iterator[tuple]:
+        """(text, its nearest examples, their cosines) of all texts with a term; with `skip` text i isn't near to example i."""
+        texts, first = np.unique(row, return_index=True)
+        first = np.append(first, len(row))
+        for a in range(0, len(texts), QUERIES):
+            own, at = texts[a : a + QUERIES], first[a : a + QUERIES + 1]
+            part = slice(at[0], at[-1])
+            found = self.index.nearest_of(at - at[0], term[part], weight[part], K, own if skip else np.full(len(own), -1))
+            for text, (who, cosine) in zip(own.tolist(), found, strict=True):
+                yield text, who, cosine
+
+    def own_votes(self, numbers: np.ndarray) -> np.ndarray:
+        """Votes of consecutive examples with themselves left out."""
+        entries, votes = self.index, np.zeros(len(numbers))
+        part = slice(*np.searchsorted(entries.example, [numbers[0], numbers[-1] + 1]))
+        for i, who, cosine in self.nearest(entries.example[part], entries.term[part], entries.weight[part], skip=True):
+            votes[i - numbers[0]] = self.vote(who, cosine)
+        return votes
+
     def scores(self, texts: pa.Array) -> tuple[np.ndarray, list[list[int]]]:
         n = len(texts)
         vote, evidence = np.zeros(n), [[] for _ in range(n)]
         if self.index is not None:
             row, term, count = self.vocabulary.counts(texts)
-            weight = unit_vectors(row, term, count, self.idf, n)
-            first = np.searchsorted(row, np.arange(n + 1))
-            for r in np.unique(row):
-                a, b = first[r], first[r + 1]
-                who, cosine = self.index.nearest(term[a:b], weight[a:b], K)
+            for r, who, cosine in self.nearest(row, term, unit_vectors(row, term, count, self.weights, n)):
                 vote[r] = self.vote(who, cosine)
                 evidence[r] = self.ids[who].tolist()
         return self.score(vote), evidence
@@ -165,16 +283,13 @@ def held_out(doc_id: str = "doc_id") -> Column:
     return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % FOLDS == HELD_OUT, F.lit(False))
 
 
-def likelihood_ratio(all_ones: int, all_zeros: int) -> Column:
-    """Statistic of a term in `ones` and `zeros` example texts of the two labels; 0 if it doesn't speak for label 1."""
-    one, zero = F.col("ones").cast("double"), F.col("zeros").cast("double")
-    cells = [(one, all_ones), (zero, all_zeros), (all_ones - one, all_ones), (all_zeros - zero, all_zeros)]
-    sums = [one + zero, one + zero, all_ones + all_zeros - one - zero, all_ones + all_zeros - one - zero]
-    terms = [
-        F.when(n > 0, n * F.log(n * float(all_ones + all_zeros) / (s * float(size)))).otherwise(0.0)
-        for (n, size), s in zip(cells, sums, strict=True)
-    ]
-    return F.when(one * all_zeros > zero * all_ones, 2 * sum(terms[1:], terms[0])).otherwise(0.0)
+def likelihood_ratio(ones: np.ndarray, zeros: np.ndarray, all_ones: int, all_zeros: int) -> np.ndarray:
+    """Statistic (G) of terms in `ones` and `zeros` example texts of the two labels."""
+    every = all_ones + all_zeros
+    cells = [(ones, all_ones), (zeros, all_zeros), (all_ones - ones, all_ones), (all_zeros - zeros, all_zeros)]
+    sums = [ones + zeros, ones + zeros, every - ones - zeros, every - ones - zeros]
+    parts = [n * np.log(np.where(n > 0, n * float(every), 1.0) / np.where(n > 0, s * float(size), 1.0)) for (n, size), s in zip(cells, sums, strict=True)]
+    return np.maximum(2 * sum(parts), 0.0)
 
 
 def logistic(vote: np.ndarray, label: np.ndarray, weight: np.ndarray) -> tuple[float, float]:
@@ -235,8 +350,8 @@ def examples(docs: DataFrame, labels: DataFrame, most: int = EXAMPLES) -> tuple[
 
 
 def train(docs: DataFrame, labels: DataFrame, most: int = EXAMPLES) -> Model:
-    """Broadcasts at most 2 * `most` ids; the driver gets the chosen terms' counts and the
-    examples' vectors over at most TERMS terms."""
+    """Broadcasts at most 2 * `most` ids; the driver gets the counts of the terms of as many
+    examples, and their vectors."""
     texts = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias(TEXT))
     picked, counts = examples(texts, labels, most)
     known = texts.join(F.broadcast(picked), F.col("doc_id") == F.col("example_id")).select(TEXT, "example_id", "label")
@@ -263,12 +378,13 @@ def train(docs: DataFrame, labels: DataFrame, most: int = EXAMPLES) -> Model:
     empty = Model(Vocabulary(np.zeros(0, np.uint64)), np.zeros(0), None, *[np.zeros(0)] * 3, (0.0, float(np.log(base / (1 - base)))))
     if sizes is None or not sizes["ones"] or not sizes["zeros"]:
         return empty
-    best = found.filter("key is not null").select("key", "ones", "zeros", likelihood_ratio(sizes["ones"], sizes["zeros"]).alias("g"))
-    share = (F.col("ones") + 0.5) / F.lit(sizes["ones"] + 1.0) >= RATIO * (F.col("zeros") + 0.5) / F.lit(sizes["zeros"] + 1.0)
-    best = best.filter((F.col("g") >= G) & share).orderBy(F.desc("g"), F.desc("ones"), "key").limit(TERMS)
-    chosen = np.array([r["key"] for r in best.collect()], np.int64).view(np.uint64)
-    if not len(chosen):
+    found = found.filter("key is not null").toArrow()
+    if not found.num_rows:
         return empty
+    key, ones, zeros = (found[c].to_numpy() for c in ("key", "ones", "zeros"))
+    order = np.argsort(key.view(np.uint64))
+    chosen = key.view(np.uint64)[order]
+    clear = 1 + np.sqrt(likelihood_ratio(ones[order], zeros[order], sizes["ones"], sizes["zeros"]))
     vocabulary = docs.sparkSession.sparkContext.broadcast(Vocabulary(chosen))
     size = len(chosen)
 
@@ -277,13 +393,14 @@ def train(docs: DataFrame, labels: DataFrame, most: int = EXAMPLES) -> Model:
         for step in steps(batches, TEXT, STEP_BYTES):
             seen[:size] += np.bincount(vocabulary.value.counts(step.column(0))[1], minlength=size)
             seen[size] += step.num_rows
-        yield {"term": np.arange(size + 1, dtype=np.int32), "texts": seen}
+        some = np.flatnonzero(seen)
+        yield {"term": some.astype(np.int32), "texts": seen[some]}
 
     seen = np.zeros(size + 1)
     sums = gathered(texts.select(TEXT), "term int, texts bigint", frequencies).groupBy("term").agg(F.sum("texts").alias("texts"))
-    for r in sums.collect():
-        seen[r["term"]] = r["texts"]
-    idf = np.log((seen[size] + 1) / (seen[:size] + 1)) + 1e-9
+    sums = sums.toArrow()
+    seen[sums["term"].to_numpy()] = sums["texts"].to_numpy()
+    weights = (np.log((seen[size] + 1) / (seen[:size] + 1)) + 1e-9) * clear
 
     def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
         for step in steps(batches, TEXT, STEP_BYTES):
@@ -295,26 +412,33 @@ def train(docs: DataFrame, labels: DataFrame, most: int = EXAMPLES) -> Model:
             ]
             yield {"id": step.column(1), "label": step.column(2), "term": lists[0], "count": lists[1]}
 
-    rows = gathered(known, "id bigint, label int, term array<int>, count array<int>", vectors)
-    rows = sorted(rows.collect(), key=lambda r: (r["id"], r["label"], r["term"], r["count"]))
-    label = np.array([r["label"] for r in rows], float)
-    ids = np.array([r["id"] for r in rows], np.int64)
-    example = np.repeat(np.arange(len(rows)), [len(r["term"]) for r in rows])
-    term = np.array([t for r in rows for t in r["term"]], np.int64)
-    count = np.array([c for r in rows for c in r["count"]], np.int64)
-    weight = unit_vectors(example, term, count, idf, len(rows))
-    index = BlockMaxIndex(example, term, weight, len(rows), size)
+    rows = gathered(known, "id bigint, label int, term array<int>, count array<int>", vectors).toArrow()
+    rows = rows.combine_chunks().sort_by([("label", "ascending"), ("id", "ascending")])
+    label, ids = rows["label"].to_numpy().astype(float), rows["id"].to_numpy()
+    example = np.repeat(np.arange(len(ids), dtype=np.int32), pc.list_value_length(rows["term"]).to_numpy())
+    term, count = (pc.list_flatten(rows[c]).to_numpy() for c in ("term", "count"))
+    weight = unit_vectors(example, term, count, weights, len(ids))
+    order = alike_together(example, term, weight, len(ids), size)
+    place = np.argsort(order).astype(np.int32)[example]
+    entries = np.argsort(place, kind="stable")
+    label, ids, example, term, weight = label[order], ids[order], place[entries], term[entries], weight[entries]
+    del rows, count, place, entries
+    index = BlockMaxIndex(example, term, weight, len(ids), size)
     share = [counts[k] / max(1, (label == k).sum()) for k in (0, 1)]
     stands_for = np.where(label == 1, share[1], share[0])
     stands_for = stands_for / stands_for.min()
-    model = Model(vocabulary.value, idf, index, label, stands_for, ids, (0.0, 0.0))
-    first = np.searchsorted(example, np.arange(len(rows) + 1))
-    votes = np.array(
-        [
-            model.vote(*index.nearest(term[a:b], weight[a:b], K, skip=i)) if b > a else 0.0
-            for i, (a, b) in enumerate(zip(first[:-1], first[1:], strict=True))
-        ]
-    )
+    model = Model(vocabulary.value, weights, index, label, stands_for, ids, (0.0, 0.0))
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+
+    def own_votes(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
+        for batch in batches:
+            if batch.num_rows:
+                yield {"example": batch.column(0), "vote": shared.value.own_votes(batch.column(0).to_numpy())}
+
+    numbers = docs.sparkSession.range(0, len(ids), 1, -(-len(ids) // BLOCK))
+    found = gathered(numbers, "example bigint, vote double", own_votes).toArrow().sort_by("example")
+    votes = found["vote"].to_numpy()
+    shared.unpersist()
     model.curve = logistic(votes, label, stands_for)
     return model
 

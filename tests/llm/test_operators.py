@@ -353,6 +353,24 @@ def test_toxicity_on_held_out_rows(spark, make):
     assert not any(e in held for r in out for e in r["evidence"])
 
 
+def test_toxicity_of_rare_wording(spark, make):
+    """A word that only a few toxic examples have counts; every word of an example can be met."""
+    data, labels = toxic_tables(spark)
+    held = {r["doc_id"] for r in labels.filter(toxicity.held_out()).collect()}
+    some = [i for i, _ in data if i % 5 == 0 and i not in held][:6]
+    rng = random.Random(7)
+    rare = {i: " ".join([f"w{rng.randrange(3000)}" for _ in range(40)] + ["zloduch"] * 3) for i in [*some, 9004]}
+    data = [(i, rare.get(i, t)) for i, t in data]
+    model = toxicity.train(make(data), labels)
+    plain = " ".join(data[1][1].split()[:20])
+    out = {r["doc_id"]: r for r in toxicity.assess(make([*data, (9004, rare[9004]), (9005, plain)]), model).collect()}
+    assert out[9004]["predicted"] == 1 and set(some) <= set(out[9004]["evidence"])
+    assert out[9005]["predicted"] == 0 and len(out[9005]["evidence"]) == toxicity.K
+    learned = pa.array([t for i, t in data if i not in held])
+    keys, _ = toxicity.terms(toxicity.words_of(learned, toxicity.LETTERS, lower=True))
+    assert set(keys.tolist()) == set(model.vocabulary.keys.tolist())
+
+
 def test_toxicity_without_labels(spark, make):
     none = spark.createDataFrame([], "doc_id bigint, quality bigint, toxic bigint")
     for docs in (make([]), make(["a", None])):
