@@ -2,7 +2,9 @@
 
 import hashlib
 import re
+import zlib
 from collections import Counter, defaultdict
+from itertools import permutations
 
 import xxhash
 
@@ -125,3 +127,114 @@ def classes(prints, radius=2):
                 a, b = root(i), root(j)
                 parent[max(a, b)] = min(a, b)
     return [root(i) for i in range(len(prints))]
+
+
+def _hash(parts):
+    return sha("".join(parts))
+
+
+def _lower(text):
+    return None if text is None else text.translate(ASCII_LOWER)
+
+
+def merkle_leaf(row):
+    values = [None if v is None else str(v) for v in row]
+    return _hash("-" if v is None else f"{len(v.encode())}:{v}" for v in values)
+
+
+def _climb(digests):
+    """(root, path of (left, right) of every digest)."""
+    paths, at, level = [[] for _ in digests], list(range(len(digests))), list(digests)
+    while len(level) > 1:
+        for i, place in enumerate(at):
+            run = level[place // 16 * 16 : place // 16 * 16 + 16]
+            paths[i].append(("".join(run[: place % 16]), "".join(run[place % 16 + 1 :])))
+        level = [_hash(level[i : i + 16]) for i in range(0, len(level), 16)]
+        at = [place // 16 for place in at]
+    return level[0], paths
+
+
+def merkle(rows):
+    """(doc_id, source, lang, n_chars, text) rows to rows of op11."""
+    first = lambda v: (v is not None, v.encode() if isinstance(v, str) else v)
+    groups = defaultdict(list)
+    for row in rows:
+        groups[row[1]].append((first(row[0]), merkle_leaf(row), row))
+    sources = sorted(groups, key=first)
+    found = []
+    for source in sources:
+        members = sorted(groups[source], key=lambda m: m[:2])
+        found.append((members, *_climb([leaf for _, leaf, _ in members])))
+    if not found:
+        return []
+    root, tops = _climb([subroot for _, subroot, _ in found])
+    out = []
+    for (members, subroot, paths), top in zip(found, tops, strict=True):
+        for (_, leaf, row), path in zip(members, paths, strict=True):
+            changed = row[0] is not None and zlib.crc32(str(row[0]).encode()) % 5 == 0
+            now = merkle_leaf((*row[:4], _lower(row[4]))) if changed else leaf
+            for left, right in path + top:
+                now = _hash([left, now, right])
+            proof = _hash(left + right for left, right in path + top)
+            out.append((row[0], leaf, subroot, root, proof, now, now == root))
+    return out
+
+
+def filter_audit(docs, labels):
+    """(doc_id, text, lang) and (doc_id, quality, toxic) rows to rows of op12."""
+    ids = defaultdict(set)
+    for doc, text, _ in docs:
+        if doc is not None:
+            ids[text or ""].add(doc)
+    good = {d for d, q, _ in labels if q == 1 and d is not None}
+    toxic = {d for d, _, t in labels if t == 1 and d is not None}
+    parts = defaultdict(list)
+    for doc, text, lang in docs:
+        text = text or ""
+        w, failed = words(text), set()
+        if len(w) < 200:
+            failed.add("A")
+        if 100 * len(set(w)) < 50 * len(w):
+            failed.add("B")
+        if 100 * len(re.findall("[A-Z]", text)) > 3 * len(text):
+            failed.add("C")
+        if re.search(r"[#$%&*|]", text):
+            failed.add("D")
+        if doc is not None and any(other < doc for other in ids[text]):
+            failed.add("E")
+        parts[lang or ""].append((failed, doc in good, doc in toxic))
+    out = []
+    for part, rows in parts.items():
+        steps, total = [], Counter()
+        for order in map("".join, permutations("ABCDE")):
+            left = rows
+            for step, f in enumerate(order, 1):
+                gone = [r for r in left if f in r[0]]
+                left = [r for r in left if f not in r[0]]
+                failing = [r for r in rows if f in r[0]]
+                alone = sum(r[0] == {f} for r in rows)
+                steps.append((f, (order, step, len(left), len(gone), len(failing) - len(gone), alone, sum(r[1] for r in gone), sum(r[2] for r in gone))))
+                total[f] += len(gone)
+        out += [(part, *row, total[f]) for f, row in steps]
+    return out
+
+
+def kept_lines(docs, min_chars=20, min_documents=3):
+    """(doc_id, text) rows to rows of op13."""
+
+    def key(line):
+        return line.strip(" \t\n\x0b\x0c\r").translate(ASCII_LOWER)
+
+    holders = defaultdict(set)
+    for doc, text in docs:
+        for line in (text or "").split("\n"):
+            if len(key(line)) >= min_chars:
+                holders[key(line)].add(doc)
+    out = []
+    for doc, text in docs:
+        lines = (text or "").split("\n")
+        gone = [
+            len(key(x)) >= min_chars and len(holders[key(x)]) >= min_documents and doc != max(d for d in holders[key(x)] if d is not None) for x in lines
+        ]
+        out.append((doc, len(lines), sum(gone), sha("\n".join(x for x, g in zip(lines, gone, strict=True) if not g))))
+    return out
