@@ -168,8 +168,9 @@ def top_features(weights: DataFrame, top: int = TOP_FEATURES) -> DataFrame:
     return named.groupBy("mission", "engineered_feature").agg(F.min("place").alias("place"))
 
 
-def usage_counts(top: DataFrame, purpose: str) -> DataFrame:
-    label = F.concat(F.col("mission"), F.lit(f" ({purpose})"))
+def usage_counts(top: DataFrame, purpose: str | None) -> DataFrame:
+    """How many models have a feature at their top, and which; without a purpose the missions name the models."""
+    label = F.col("mission") if purpose is None else F.concat(F.col("mission"), F.lit(f" ({purpose})"))
     return top.groupBy("engineered_feature").agg(
         F.count("*").alias("n_mission_models_top15"),
         F.array_join(F.array_sort(F.collect_list(label)), "; ").alias("used_in"),

@@ -4,9 +4,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ledgerline.functions.numeric import ratio
+from ledgerline.operators import gram
 from ledgerline.operators.keys import salted_join
 from ledgerline.operators.metrics import r_squared
 from ledgerline.operators.panel import quoted
+from ledgerline.operators.preprocess import FeatureSet
 from ledgerline.operators.ranks import attach, average_ranks, quantile
 from ledgerline.settings import ACCELERATOR_SLOTS
 
@@ -21,6 +23,21 @@ def backtest_rows(training: DataFrame, predicted: str, train: tuple[int, int], t
     )
 
 
+def fitted_backtest(
+    training: DataFrame, features: FeatureSet, target: str, train: tuple[int, int], test: tuple[int, int]
+) -> DataFrame:
+    """Held-out Ridge predictions of the test window, tuned and fitted on the training window alone,
+    of companies that have rows in both."""
+    year = F.col("target_year")
+    known = training.filter(year.between(*train)).select("company_id").distinct()
+    rows = training.filter(year.between(*train)).unionByName(training.filter(year.between(*test)).join(known, "company_id", "left_semi"))
+    cut, outers = gram.yearly_cells(rows, cutoffs=[train[1]])
+    scored = gram.out_of_fold(
+        cut, outers, {"Ridge": gram.FORECAST_LINEAR["Ridge"]}, features, target, None, ["company_id", "mission"], F.col("mission")
+    )
+    return scored.select("company_id", "mission", "actual", "predicted")
+
+
 def temporal_backtest(rows: DataFrame) -> DataFrame:
     """R2 with and without the largest company, and the median percentage error."""
     y, p = F.col("actual"), F.col("predicted")

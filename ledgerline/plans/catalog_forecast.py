@@ -5,9 +5,9 @@ from pyspark.sql import functions as F
 
 from ledgerline.functions import numeric as N
 from ledgerline.lineage import FEATURE_SOURCES, OTHER_FIELDS
-from ledgerline.operators import estimators, features, forecast, metrics, preprocess, reports, selection, stepwise, studies
-from ledgerline.operators.preprocess import FORECAST_SET
-from ledgerline.plans.catalog_models import RIDGE, TARGET, forecast_rows, grouped, mission_rows, subgroup_rows, training_rows_with_adjacent
+from ledgerline.operators import estimators, features, forecast, gram, metrics, preprocess, reports, selection, stepwise, studies
+from ledgerline.operators.preprocess import ESTIMATION_SET, FORECAST_SET
+from ledgerline.plans.catalog_models import RIDGE, TARGET, fitted_weights, forecast_rows, mission_rows, subgroup_rows, training_rows_with_adjacent
 from ledgerline.plans.catalog_panel import flow
 from ledgerline.plans.registry import query
 from ledgerline.settings import CORE_MISSIONS, FORECAST_LOG, ROUTING
@@ -99,7 +99,7 @@ def _(t):
 
 def routing_model(t: Tables):
     rows = writers.written(mission_rows(forecast_rows(t), "ACE"), "routing")
-    return estimators.fit_final(rows, "Ridge", RIDGE["Ridge"], FORECAST_SET, TARGET, None, []), rows
+    return estimators.fit_final(rows, "Ridge", RIDGE, FORECAST_SET, TARGET, None, []), rows
 
 
 @query("f10_fit_routing_model", "mission feature weight:r metric_type direction")
@@ -240,6 +240,21 @@ def _(t):
     return reports.top_features(correlation_weights(t))
 
 
+def model_names(weights: DataFrame) -> DataFrame:
+    return weights.withColumn("mission", F.concat("mission", F.lit(" ("), "model_kind", F.lit(")")))
+
+
+@query("t3_fitted_top15", "mission engineered_feature place:i")
+def _(t):
+    return reports.top_features(model_names(fitted_weights(t)))
+
+
+@query("g8_fitted_usage", "source_file raw_field engineered_feature status n_mission_models_top15:i used_in")
+def _(t):
+    usage = reports.usage_counts(reports.top_features(model_names(fitted_weights(t))), None)
+    return reports.ranked_usage(reports.feature_usage(usage, *lineage_tables(t)))
+
+
 USAGE_SQL = """
 select engineered_feature, count(*) as n_mission_models_top15, string_agg(mission||' (forecasting)', '; ' order by mission) as used_in from x_top group by 1"""
 
@@ -262,11 +277,14 @@ union all select source_file, raw_field, '', status, case when status <> 'struct
 from (values {sql_rows(OTHER_ROWS)}) o(source_file, raw_field, status)"""
 
 
+def lineage_tables(t: Tables) -> tuple[DataFrame, DataFrame]:
+    lineage = t.spark.createDataFrame(LINEAGE_ROWS, "engineered_feature string, source_file string, raw_field string")
+    return lineage, t.spark.createDataFrame(OTHER_ROWS, "source_file string, raw_field string, status string")
+
+
 def usage_report(t: Tables) -> DataFrame:
     usage = reports.usage_counts(reports.top_features(correlation_weights(t)), "forecasting")
-    lineage = t.spark.createDataFrame(LINEAGE_ROWS, "engineered_feature string, source_file string, raw_field string")
-    other = t.spark.createDataFrame(OTHER_ROWS, "source_file string, raw_field string, status string")
-    return reports.feature_usage(usage, lineage, other)
+    return reports.feature_usage(usage, *lineage_tables(t))
 
 
 USAGE = "source_file raw_field engineered_feature status n_mission_models_top15:i used_in"
@@ -300,16 +318,25 @@ def _(t):
 def _(t):
     from pyspark.sql import Window
 
-    rows = training_rows_with_adjacent(t, {m: 1.0 for m in CORE_MISSIONS})
-    out = None
-    for weight in (0.2, 0.5, 1.0):
-        scale = F.when(F.col("population_type") == "adjacent", F.lit(weight)).otherwise(1.0)
-        weighted = rows.filter(F.col("mission").isin(CORE_MISSIONS)).withColumn("sample_weight", F.col("sample_weight") * scale)
-        scored = estimators.by_mission(weighted, CORE_MISSIONS, lambda mine: grouped(mine, RIDGE, keep=["company_id", "mission"]))
-        part = estimators.fold_metrics(scored, ["mission", "repeat", "fold"]).groupBy("mission").agg(F.avg("R2").alias("R2"))
-        part = part.withColumn("adjacent_weight", F.lit(weight))
-        out = part if out is None else out.unionByName(part)
-    return out.withColumn("place", F.row_number().over(Window.partitionBy("mission").orderBy(F.col("R2").desc(), "adjacent_weight")))
+    rows = training_rows_with_adjacent(t, {m: 1.0 for m in CORE_MISSIONS}).filter(F.col("mission").isin(CORE_MISSIONS))
+    # folds are dealt once a mission; each weight is a group of its own in the same passes
+    cut, outers = gram.grouped_cells(rows, "mission")
+    cut = cut.withColumn("adjacent_weight", F.explode(F.array(*[F.lit(w) for w in (0.2, 0.5, 1.0)])))
+    scale = F.when(F.col("population_type") == "adjacent", F.col("adjacent_weight")).otherwise(1.0)
+    cut = cut.withColumn("sample_weight", F.col("sample_weight") * scale)
+    group = F.concat_ws("|", "mission", "adjacent_weight")
+    keep = ["company_id", "mission", "adjacent_weight"]
+    scored = gram.out_of_fold(cut, outers, {"Ridge": gram.LINEAR["Ridge"]}, ESTIMATION_SET, "total_turnover", "sample_weight", keep, group)
+    folds = estimators.fold_metrics(scored, ["adjacent_weight", "mission", "repeat", "fold"])
+    means = folds.groupBy("adjacent_weight", "mission").agg(F.avg("R2").alias("R2"))
+    order = Window.partitionBy("mission").orderBy(F.col("R2").desc_nulls_last(), "adjacent_weight")
+    return means.withColumn("place", F.row_number().over(order))
+
+
+@query("d1_fitted_backtest", "mission n_test_rows:i R2:r R2_without_largest:r median_abs_pct_error:r")
+def _(t):
+    rows = writers.written(forecast_rows(t), "forecast_rows")
+    return studies.temporal_backtest(writers.written(studies.fitted_backtest(rows, FORECAST_SET, TARGET, (2013, 2018), (2019, 2023)), "backtest"))
 
 
 @query("d3_error_concentration", "mission company_id error:f share:r", """

@@ -3,33 +3,29 @@
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerline.operators import adjacent, estimators, metrics, preprocess, quality, scoring, selection, similarity, splits
+from ledgerline.operators import adjacent, estimators, gram, metrics, preprocess, quality, scoring, selection, similarity, splits
 from ledgerline.operators.preprocess import ESTIMATION_SET, FORECAST_SET, POOLED_SET
 from ledgerline.plans.catalog_clean import mapping
 from ledgerline.plans.catalog_panel import ADJACENT_WEIGHTS, estimation, flow, inference_features, training_set
 from ledgerline.plans.registry import query
 from ledgerline.operators.ranks import attach
-from ledgerline.settings import CORE_MISSIONS, FORECAST_LOG, INNER_OFFSETS, SPACE
+from ledgerline.settings import CORE_MISSIONS, FORECAST_LOG, FORECAST_SIMPLICITY, INNER_OFFSETS, SIMPLICITY, SPACE
 from ledgerline.sources import writers
 from ledgerline.sources.domain import Tables
 
-# A registered run evaluates these settings on these folds to stay short. The grids of
-# estimators.MODELS and the defaults of grouped_splits and temporal_splits (five folds five
-# times with three inner folds; four cutoffs) are the complete ones.
-FOLDS = {"k": 2, "repeats": 1, "inner": 2}
-RIDGE = estimators.with_grid({"Ridge": {"alpha": [1.0]}})
-RIDGE_TUNED = estimators.with_grid({"Ridge": {"alpha": [1.0, 100.0]}})
-BAKEOFF = estimators.with_grid(
+# Linear candidates take the full grids and folds (five times five, three inner ones; all
+# cutoffs). Tree candidates take these settings on these folds; the grids of estimators.MODELS
+# and the defaults of grouped_splits and temporal_splits are the complete ones.
+TREE_FOLDS = {"k": 2, "repeats": 1, "inner": 2}
+RIDGE = estimators.with_grid({"Ridge": {"alpha": [1.0]}})["Ridge"]
+TREES = estimators.with_grid(
     {
-        "Ridge": {"alpha": [1.0]},
-        "Elastic Net": {"alpha": [0.1], "ratio": [0.5]},
         "Extra Trees": {"trees": [20], "depth": [6], "leaf": [3]},
         "Categorical Boosting": {"rounds": [10], "rate": [0.1], "depth": [3]},
     }
 )
-SMALL = estimators.with_grid(
+FORECAST_TREES = estimators.with_grid(
     {
-        "Ridge": {"alpha": [1.0]},
         "Random Forest": {"trees": [20], "depth": [6], "leaf": [3]},
         "Gradient Boosting": {"rounds": [10], "rate": [0.1], "depth": [3]},
     }
@@ -86,8 +82,9 @@ def _(t):
 
 @query("m4_rare_category", "cutoff_year:i feature value n:i encoded", """
 select cutoff_year, feature, value, count(*) as n, case when count(*) < 5 then 'infrequent' else value end as encoded from (
-  select cutoff_year, unnest(['sic_code_1', 'company_size', 'value_stream', 'estimation_reliability']) as feature,
-    unnest([cast(cast(sic_code_1 as int) as varchar), company_size, value_stream, estimation_reliability]) as value from x_outer where role = 'train') z where value is not null group by 1, 2, 3""")
+  select o.cutoff_year, unnest(['sic_code_1', 'company_size', 'value_stream', 'estimation_reliability']) as feature,
+    unnest([cast(cast(o.sic_code_1 as int) as varchar), o.company_size, o.value_stream, b.baseline_reliability]) as value
+  from x_outer o left join x_baseline b on b.company_id = o.company_id where role = 'train') z where value is not null group by 1, 2, 3""")
 def _(t):
     rows = preprocess.cast_inputs(train_rows(t), FORECAST_SET)
     return preprocess.bucketed_categories(preprocess.category_counts(rows, FORECAST_SET.categories, ["cutoff_year"]))
@@ -376,22 +373,32 @@ def mission_rows(rows: DataFrame, mission: str) -> DataFrame:
     return rows.filter(F.col("mission") == mission)
 
 
+def linear_folds(rows: DataFrame, features=ESTIMATION_SET, group="mission", models=gram.LINEAR, keep=("company_id", "year", "mission")) -> DataFrame:
+    """Held-out predictions of the linear candidates on the full grouped folds, tuned on the full grids."""
+    cut, outers = gram.grouped_cells(rows, group)
+    return gram.out_of_fold(cut, outers, models, features, "total_turnover", "sample_weight", list(keep), F.col(group))
+
+
 @query("e1_evaluate_model", "mission Model repeat:i fold:i n_train_companies:i n_test_companies:i n_test_rows:i MAE:f RMSE:f R2:r best_params")
 def _(t):
-    scored = estimators.by_mission(estimation_rows(t), CORE_MISSIONS, lambda mine: grouped(mine, RIDGE_TUNED))
-    return estimators.fold_metrics(scored, ["mission", "repeat", "fold"])
+    return estimators.fold_metrics(linear_folds(core_rows(t)), ["mission", "repeat", "fold"])
+
 
+def core_rows(t: Tables) -> DataFrame:
+    return estimation_rows(t).filter(F.col("mission").isin(CORE_MISSIONS))
 
-def grouped(rows: DataFrame, models, features=ESTIMATION_SET, folds=None, keep=("company_id", "year", "mission")) -> DataFrame:
-    """Held-out predictions of grouped folds, by company and weighted."""
-    cut = estimators.grouped_splits(rows, **(folds or FOLDS))
+
+def grouped(rows: DataFrame, models, features=ESTIMATION_SET, keep=("company_id", "year", "mission")) -> DataFrame:
+    """Held-out predictions of tree candidates, by company and weighted."""
+    cut = estimators.grouped_splits(rows, **TREE_FOLDS)
     return estimators.out_of_fold(cut, models, features, "total_turnover", "sample_weight", list(keep))
 
 
 @query("e2_run_bakeoff", "mission Model MAE_mean:f MAE_std:f RMSE_mean:f R2_mean:r R2_std:r n_folds:i")
 def _(t):
-    rows = training_rows_with_adjacent(t)
-    scored = estimators.by_mission(rows, CORE_MISSIONS, lambda mine: grouped(mine, BAKEOFF))
+    rows = training_rows_with_adjacent(t).filter(F.col("mission").isin(CORE_MISSIONS))
+    trees = estimators.by_mission(rows, CORE_MISSIONS, lambda mine: grouped(mine, TREES))
+    scored = linear_folds(rows).unionByName(trees)
     return metrics.metric_summary(estimators.fold_metrics(scored, ["mission", "repeat", "fold"]), ["mission", "Model"])
 
 
@@ -403,47 +410,95 @@ def training_rows_with_adjacent(t: Tables, weights: dict[str, float] = ADJACENT_
     return writers.written(adjacent.mission_training_set(space, other, weights, 0.5), "with_adjacent")
 
 
+FORECAST_KEEP = ["company_id", "accounting_year", "target_year", "mission"]
+
+
+def linear_cutoffs(rows: DataFrame) -> DataFrame:
+    """Held-out predictions of the linear candidates on all rolling origins, tuned on the full grids."""
+    cut, outers = gram.yearly_cells(rows)
+    return gram.out_of_fold(cut, outers, gram.FORECAST_LINEAR, FORECAST_SET, TARGET, None, FORECAST_KEEP, F.col("mission"))
+
+
+def core_forecast_rows(t: Tables) -> DataFrame:
+    return writers.written(forecast_rows(t).filter(F.col("mission").isin(CORE_MISSIONS)), "forecast_rows")
+
+
 @query("e3_evaluate_temporal", "mission cutoff_year:i Model n_test_rows:i MAE:f RMSE:f R2:r best_params")
 def _(t):
-    rows = writers.written(forecast_rows(t), "forecast_rows")
-    scored = estimators.by_mission(rows, CORE_MISSIONS, lambda mine: rolling(mine, RIDGE))
-    return estimators.fold_metrics(scored, ["mission", "cutoff_year"], weighted=False)
+    return estimators.fold_metrics(linear_cutoffs(core_forecast_rows(t)), ["mission", "cutoff_year"], weighted=False)
 
 
 def rolling(rows: DataFrame, models) -> DataFrame:
-    """Held-out predictions of rolling origins."""
+    """Held-out predictions of tree candidates on rolling origins."""
     cut = estimators.temporal_splits(rows, offsets=INNER_OFFSETS)
-    return estimators.out_of_fold(cut, models, FORECAST_SET, TARGET, None, ["company_id", "accounting_year", "target_year", "mission"])
+    return estimators.out_of_fold(cut, models, FORECAST_SET, TARGET, None, FORECAST_KEEP)
 
 
-@query("e5_run_forecast_bakeoff", "mission cutoff_year:i horizon Model n_test_rows:i MAE:f RMSE:f R2:r")
-def _(t):
+def horizon_folds(scored: DataFrame) -> DataFrame:
     from ledgerline.functions.numeric import horizon_bucket
 
-    f = flow(t)
-    rows = writers.written(preprocess.cast_inputs(f.training, FORECAST_SET), "forecast_rows")
-    scored = estimators.by_mission(rows, CORE_MISSIONS, lambda mine: rolling(mine, SMALL))
     scored = scored.withColumn("horizon", horizon_bucket(F.col("target_year"), F.col("cutoff_year")))
-    fitted = metrics.metrics(scored, ["mission", "cutoff_year", "horizon", "Model"], "actual", "predicted")
-    return fitted.unionByName(f.folds.select(*fitted.columns))
+    return metrics.metrics(scored, ["mission", "cutoff_year", "horizon", "Model"], "actual", "predicted")
 
 
-@query("e10_fit_final", "company_id accounting_year:i predicted:f")
+@query("e5_run_forecast_bakeoff", "mission cutoff_year:i horizon Model n_test_rows:i MAE:f RMSE:f R2:r")
 def _(t):
-    rows = writers.written(forecast_rows(t), "forecast_rows")
+    rows = core_forecast_rows(t)
+    trees = estimators.by_mission(rows, CORE_MISSIONS, lambda mine: rolling(mine, FORECAST_TREES))
+    fitted = horizon_folds(linear_cutoffs(rows).unionByName(trees))
+    return fitted.unionByName(flow(t).folds.select(*fitted.columns))
+
+
+def forecast_candidates(t: Tables, rows: DataFrame) -> DataFrame:
+    """Fold results of the fitted linear candidates and of the formulas, the one table that selection reads."""
+    fitted = horizon_folds(linear_cutoffs(rows))
+    return writers.written(fitted.unionByName(flow(t).folds.select(*fitted.columns)), "candidates")
+
+
+@query("e13_fitted_select", "mission horizon selected_model is_benchmark:b is_primary_recursive_model:b runner_up runner_up_is_benchmark:b r2_mean:r usable:b")
+def _(t):
+    return selection.forecast_selection(forecast_candidates(t, core_forecast_rows(t)))
+
+
+def chosen_models(selected: DataFrame) -> dict[str, str]:
+    """The selected model of each mission; a row a mission."""
+    return {r["mission"]: r["selected_model"] for r in selected.select("mission", "selected_model").collect()}
 
-    def refit(mine: DataFrame) -> DataFrame:
-        inner = estimators.inner_years(mine, estimators.last_target_year(mine), INNER_OFFSETS)
-        model, _, _ = estimators.fit_final(mine, "Ridge", RIDGE_TUNED["Ridge"], FORECAST_SET, TARGET, None, inner)
-        return model.transform(mine).select("company_id", "accounting_year", "predicted")
 
-    return estimators.by_mission(rows, CORE_MISSIONS, refit)
+def best_fitted(folds: DataFrame, ranks: dict[str, int]) -> DataFrame:
+    """Winner of each mission among fitted candidates, with its usability."""
+    return selection.usability(selection.pick_winner(selection.ranked_models(folds, ["mission"], ranks), ["mission"]))
+
+
+@query("e10_fit_final", "company_id accounting_year:i mission Model predicted:f")
+def _(t):
+    rows = core_forecast_rows(t)
+    folds = horizon_folds(linear_cutoffs(rows)).filter("horizon = '1'")
+    selected = chosen_models(best_fitted(folds, FORECAST_SIMPLICITY))
+    scored = gram.predict(rows, final_forecast(rows), selected, F.col("mission"), ["company_id", "accounting_year", "mission"])
+    return with_model(scored, selected)
+
+
+def with_model(df: DataFrame, selected: dict[str, str]) -> DataFrame:
+    names = df.sparkSession.createDataFrame(sorted(selected.items()), "mission string, Model string")
+    return df.join(F.broadcast(names), "mission")
+
+
+def final_forecast(rows: DataFrame) -> gram.Fits:
+    """Every linear candidate of every mission, tuned on the last years and refitted on all rows."""
+    cut, outers = gram.whole_yearly(rows)
+    return gram.fit_final(cut, outers, gram.FORECAST_LINEAR, FORECAST_SET, TARGET, None, F.col("mission"))
+
+
+def final_estimation(rows: DataFrame) -> gram.Fits:
+    cut, outers = gram.whole_grouped(rows, "mission")
+    return gram.fit_final(cut, outers, gram.LINEAR, ESTIMATION_SET, "total_turnover", "sample_weight", F.col("mission"))
 
 
 @query("s9_model_io", "company_id accounting_year:i difference:r")
 def _(t):
     rows = writers.written(forecast_rows(t), "forecast_rows")
-    model, _, _ = estimators.fit_final(rows, "Ridge", RIDGE["Ridge"], FORECAST_SET, TARGET, None, [])
+    model, _, _ = estimators.fit_final(rows, "Ridge", RIDGE, FORECAST_SET, TARGET, None, [])
     path = writers.stage_path(t.spark, "model")
     writers.save_model(model, path)
     again = writers.load_model(path).transform(rows).select("company_id", "accounting_year", F.col("predicted").alias("again"))
@@ -456,24 +511,38 @@ def _(t):
     parts = {"blended": rows, "consultancy_other": rows.filter(F.col("company_size") == "Medium")}
     out = None
     for segment, part in parts.items():
-        scored = grouped(part, BAKEOFF, keep=["company_id"])
+        scored = linear_folds(part, keep=["company_id"]).unionByName(grouped(part, TREES, keep=["company_id"]))
         scores = estimators.fold_metrics(scored.withColumn("sub_segment", F.lit(segment)), ["sub_segment", "repeat", "fold"])
         out = scores if out is None else out.unionByName(scores)
     return out
 
 
+def pooled_folds(t: Tables) -> DataFrame:
+    """One model for all missions on the full folds, its errors sliced by mission."""
+    rows = core_rows(t).withColumn("pool", F.lit("all"))
+    return estimators.fold_metrics(linear_folds(rows, POOLED_SET, "pool"), ["mission", "repeat", "fold"]).filter("n_test_rows >= 2")
+
+
 @query("e14_pooled_bakeoff", "mission Model repeat:i fold:i n_test_rows:i MAE:f RMSE:f R2:r")
 def _(t):
-    rows = estimation_rows(t).filter(F.col("mission").isin(CORE_MISSIONS))
-    scored = grouped(rows, BAKEOFF, POOLED_SET)
-    sliced = estimators.fold_metrics(scored, ["mission", "repeat", "fold"])
-    return sliced.filter("n_test_rows >= 2")
+    trees = grouped(core_rows(t), TREES, POOLED_SET)
+    sliced = estimators.fold_metrics(trees, ["mission", "repeat", "fold"]).filter("n_test_rows >= 2")
+    return pooled_folds(t).unionByName(sliced)
+
+
+@query("e15_pooled_against_own", "mission pooled_model pooled_R2_mean:r mission_specific_model mission_specific_R2_mean:r pooled_beats_mission_specific_R2:b")
+def _(t):
+    own = best_fitted(estimators.fold_metrics(linear_folds(core_rows(t)), ["mission", "repeat", "fold"]), SIMPLICITY)
+    pooled = metrics.metric_summary(pooled_folds(t), ["mission", "Model"])
+    return selection.pooled_comparison(pooled, own)
 
 
 def held_out(t: Tables) -> DataFrame:
-    twice = FOLDS | {"repeats": 2}
-    scored = estimators.by_mission(estimation_rows(t), CORE_MISSIONS, lambda mine: grouped(mine, RIDGE, folds=twice))
-    return estimators.mean_held_out(scored, ["company_id", "year"])
+    """Mean of five held-out predictions a row, of the model selected for its mission."""
+    scored = writers.written(linear_folds(core_rows(t)), "held_out")
+    selected = best_fitted(estimators.fold_metrics(scored, ["mission", "repeat", "fold"]), SIMPLICITY)
+    own = scored.join(F.broadcast(selected.select("mission", F.col("selected_model").alias("Model"))), ["mission", "Model"])
+    return estimators.mean_held_out(own, ["company_id", "year"])
 
 
 @query("e16_oof_predictions", "company_id year:i predicted_total_turnover_oof:f n_test_folds:i actual_total_turnover:m")
@@ -481,6 +550,14 @@ def _(t):
     return held_out(t)
 
 
+HELD_OUT_SQL = "select company_id, year, 5 as n_test_folds, total_turnover from x_labelled where mission in ('ACE', 'Beyond Earth', 'Resilient Earth')"
+
+
+@query("e16_held_out_rows", "company_id year:i n_test_folds:i actual_total_turnover:m", HELD_OUT_SQL.replace("total_turnover", "total_turnover as actual_total_turnover"))
+def _(t):
+    return held_out(t)
+
+
 @query("j15_oof_join", "company_id year:i total_turnover:m predicted_total_turnover_oof:f residual:f n_test_folds:i")
 def _(t):
     rows = estimation(t)[0].select("company_id", "year", "total_turnover", "mission")
@@ -493,7 +570,7 @@ def _(t):
     rows = training_rows_with_adjacent(t)
 
     def own_fit(mine: DataFrame) -> DataFrame:
-        model, _, _ = estimators.fit_final(mine, "Extra Trees", BAKEOFF["Extra Trees"], ESTIMATION_SET, "total_turnover", "sample_weight", [])
+        model, _, _ = estimators.fit_final(mine, "Extra Trees", TREES["Extra Trees"], ESTIMATION_SET, "total_turnover", "sample_weight", [])
         return model.transform(mine.filter(F.col("population_type") == SPACE))
 
     return estimators.by_mission(rows, list(ADJACENT_WEIGHTS), own_fit).withColumns(
@@ -501,17 +578,19 @@ def _(t):
 
 
 def fitted_weights(t: Tables) -> DataFrame:
-    rows = writers.written(forecast_rows(t), "forecast_rows")
+    """Coefficients of each mission's selected and refitted models, of the estimation and of the forecast."""
+    rows, years = core_rows(t), core_forecast_rows(t)
     out = None
-    for mission, name in zip(CORE_MISSIONS, SMALL, strict=True):
-        mine = mission_rows(rows, mission)
-        model, _, prepared = estimators.fit_final(mine, name, SMALL[name], FORECAST_SET, TARGET, None, [])
-        part = estimators.feature_weights(model, prepared, mission, rows)
-        out = part if out is None else out.unionByName(part)
+    for kind, folds, ranks, fits in (
+        ("estimation", estimators.fold_metrics(linear_folds(rows), ["mission", "repeat", "fold"]), SIMPLICITY, final_estimation(rows)),
+        ("forecast", horizon_folds(linear_cutoffs(years)).filter("horizon = '1'"), FORECAST_SIMPLICITY, final_forecast(years)),
+    ):
+        weights = gram.feature_weights(fits, chosen_models(best_fitted(folds, ranks)), t.spark).withColumn("model_kind", F.lit(kind))
+        out = weights if out is None else out.unionByName(weights)
     return out
 
 
-@query("e18_feature_weights", "mission feature weight:r metric_type direction")
+@query("e18_feature_weights", "model_kind mission Model feature weight:r metric_type direction")
 def _(t):
     return fitted_weights(t)
 
@@ -531,14 +610,13 @@ def predicted(t: Tables) -> DataFrame:
     rows = estimation_rows(t)
     wanted = writers.written(inference_features(t).filter(F.col("mission").isNotNull()), "inference")
     flagged = scoring.reliability(wanted, rows)
-    inputs = preprocess.cast_inputs(flagged, ESTIMATION_SET)
-    models = {
-        m: estimators.fit_final(mission_rows(rows, m), "Ridge", RIDGE["Ridge"], ESTIMATION_SET, "total_turnover", "sample_weight", [])[0]
-        for m in CORE_MISSIONS
-    }
-    keep = ["company_id", "mission", F.col("year").alias("prediction_year"), "reliability", "reliability_reason"]
-    scored = estimators.scored_by_mission(models, inputs, F.col("mission"), keep)
-    return quality.validate_predictions(scored.withColumnRenamed("predicted", "predicted_total_turnover"))
+    inputs = preprocess.cast_inputs(flagged, ESTIMATION_SET).withColumn("prediction_year", F.col("year"))
+    core = rows.filter(F.col("mission").isin(CORE_MISSIONS))
+    selected = best_fitted(estimators.fold_metrics(linear_folds(core), ["mission", "repeat", "fold"]), SIMPLICITY)
+    models = chosen_models(selected.filter("usable"))
+    keep = ["company_id", "mission", "prediction_year", "reliability", "reliability_reason"]
+    scored = gram.predict(inputs, final_estimation(core), models, F.col("mission"), keep, "predicted_total_turnover")
+    return quality.validate_predictions(scored)
 
 
 PREDICTED = "company_id mission prediction_year:i predicted_total_turnover:f reliability reliability_reason prediction_valid:b"
@@ -557,7 +635,7 @@ def _(t):
     wanted = writers.written(wanted.withColumn("sub_segment", scoring.sub_segment(F.col("company_size"), route)), "inference")
     own = {"blended": rows, "consultancy_other": rows.filter(F.col("company_size") == "Medium")}
     models = {
-        s: estimators.fit_final(part, "Ridge", RIDGE["Ridge"], ESTIMATION_SET, "total_turnover", "sample_weight", [])[0]
+        s: estimators.fit_final(part, "Ridge", RIDGE, ESTIMATION_SET, "total_turnover", "sample_weight", [])[0]
         for s, part in own.items()
     }
     scored = estimators.scored_by_mission(models, wanted, F.col("sub_segment"), ["company_id", "sub_segment"])
