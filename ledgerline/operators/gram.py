@@ -37,8 +37,9 @@ STEP_CELLS = 1 << 22  # numbers of a basis matrix made at once
 HELD_BYTES = 256 << 20  # matrices that a task holds before it passes them on
 GRID = 512  # value ranges in which medians are looked for
 MERGED = 64  # partial sums of a cell that are added before the final ones
-SWEEPS = 3_000
+SWEEPS = 2_000
 POLISH = 20
+FULL = 10
 SMALL_EIGENVALUE = 1e-11  # of the largest one; smaller ones are directions without data
 
 Params = dict[str, float | bool]
@@ -303,10 +304,12 @@ def set_medians(rows: DataFrame, numeric: list[str], sets: list[tuple[int, ...]]
 
     Values are counted by cell in GRID ranges; what lies in the ranges that hold a set's
     middle is then counted value by value."""
-    shares = [i / GRID for i in range(1, GRID)]
+    # one literal, split while planning, instead of thousands of expression nodes
+    shares = ",".join(str(i / GRID) for i in range(1, GRID))
+    cuts = [F.expr(f"percentile_approx(nanvl(`{c}`, null), cast(split('{shares}', ',') as array<double>), {10 * GRID})").alias(c) for c in numeric]
     grids = {
         r["grp"]: [np.array(r[c] or [], float) for c in numeric]
-        for r in rows.groupBy("grp").agg(*[F.percentile_approx(F.nanvl(F.col(c), F.lit(None)), shares, 10 * GRID).alias(c) for c in numeric]).collect()
+        for r in rows.groupBy("grp").agg(*cuts).collect()
     }
 
     def histogram(name: str, batch: pa.RecordBatch) -> Iterator[tuple[int, np.ndarray]]:
@@ -409,10 +412,11 @@ def polished(gram: np.ndarray, cross: np.ndarray, l1: float, l2: float, guess: n
     return out if (np.abs(slope[active]) <= size).all() and (np.abs(np.delete(slope, active)) <= l1 + size).all() else None
 
 
-def descend(gram: np.ndarray, cross: np.ndarray, l1: np.ndarray, l2: np.ndarray, tolerance: float = 1e-8) -> np.ndarray:
+def descend(gram: np.ndarray, cross: np.ndarray, l1: np.ndarray, l2: np.ndarray, tolerance: float = 1e-6) -> np.ndarray:
     """Coefficients (problem, column) that minimise x'Gx / 2 - c'x + l1 |x| + l2 x'x / 2, all problems at once.
 
-    Sweeps find the signs; every POLISH sweeps the problems whose signs are found are solved and leave."""
+    Sweeps find the signs, one in FULL over all columns and the others over those in use; every
+    POLISH sweeps the problems whose signs are found are solved and leave."""
     out = np.zeros(cross.shape)
     diagonal = np.einsum("kjj->kj", gram) + l2[:, None]
     usable = np.flatnonzero((diagonal > 1e-12).any(axis=0))
@@ -420,7 +424,8 @@ def descend(gram: np.ndarray, cross: np.ndarray, l1: np.ndarray, l2: np.ndarray,
     live = np.arange(len(out))
     for sweep in range(1, SWEEPS + 1):
         moved = np.zeros(len(live))
-        for j in usable:
+        full = sweep % FULL == 1
+        for j in usable if full else usable[(out[np.ix_(live, usable)] != 0).any(axis=0)]:
             size = np.maximum(diagonal[live, j], 1e-12)
             old = out[live, j]
             pull = left[live, j] + gram[live, j, j] * old
@@ -430,7 +435,7 @@ def descend(gram: np.ndarray, cross: np.ndarray, l1: np.ndarray, l2: np.ndarray,
                 left[live] -= step[:, None] * gram[live, j]
                 out[live, j] = new
                 moved = np.maximum(moved, np.abs(step) * np.sqrt(size))
-        done = moved <= tolerance
+        done = (moved <= tolerance) & full
         if sweep % POLISH == 0 or done.any():
             for at, k in enumerate(live):
                 if (exact := polished(gram[k], cross[k], l1[k], l2[k], out[k])) is not None:
@@ -672,7 +677,7 @@ def out_of_fold(
     df: DataFrame, outers: list[Outer], models: dict[str, list[Params]], features: FeatureSet, target: str, weight: str | None, keep: list[str], group: Column
 ) -> DataFrame:
     """Held-out predictions of every tuned model and training set, like estimators.out_of_fold, for all
-    groups together; `df` has `cells`. Three passes over its rows besides those for medians and categories."""
+    groups together, stored; `df` has `cells`. Three passes over its rows besides those for medians and categories."""
     basis = basis_of(df, features)
     rows = written(_ready(df, basis, group, target, weight, keep), "gram-rows")
     fits = fit_all(rows, basis, outers, models)
@@ -681,7 +686,8 @@ def out_of_fold(
     labels = ", ".join(f"`{c}` int" for c in (outers[0].labels if outers else {}))
     table = df.sparkSession.createDataFrame(facts, f"grp string, outer int, Model string, best_params string{', ' + labels if labels else ''}")
     table = table.join(train_companies(df, group, outers), ["grp", "outer"])
-    return score_all(rows, fits, keep).join(F.broadcast(table), ["grp", "outer", "Model"]).drop("grp", "outer")
+    scored = score_all(rows, fits, keep).join(F.broadcast(table), ["grp", "outer", "Model"]).drop("grp", "outer")
+    return written(scored, "held-out")  # metrics read it several times
 
 
 # --- final models ------------------------------------------------------------------------------------

@@ -467,6 +467,7 @@ def chosen_models(selected: DataFrame) -> dict[str, str]:
 
 def best_fitted(folds: DataFrame, ranks: dict[str, int]) -> DataFrame:
     """Winner of each mission among fitted candidates, with its usability."""
+    folds = writers.written(folds, "fold-results")
     return selection.usability(selection.pick_winner(selection.ranked_models(folds, ["mission"], ranks), ["mission"]))
 
 
@@ -539,7 +540,7 @@ def _(t):
 
 def held_out(t: Tables) -> DataFrame:
     """Mean of five held-out predictions a row, of the model selected for its mission."""
-    scored = writers.written(linear_folds(core_rows(t)), "held_out")
+    scored = linear_folds(core_rows(t))
     selected = best_fitted(estimators.fold_metrics(scored, ["mission", "repeat", "fold"]), SIMPLICITY)
     own = scored.join(F.broadcast(selected.select("mission", F.col("selected_model").alias("Model"))), ["mission", "Model"])
     return estimators.mean_held_out(own, ["company_id", "year"])
