@@ -1,21 +1,21 @@
 """Toxicity by nearest labelled examples: exact TF-IDF cosine on block-max inverted lists.
 
-Terms are lower-cased words and their byte prefixes (stems, so that unseen endings still
-meet). A bounded, seeded sample of labelled rows, one of each group of copies (equal
+A term is a lower-cased word's stem, its first STEM bytes, so that unseen endings still
+meet. A bounded, seeded sample of labelled rows, one of each group of copies (equal
 smallest shingle hash), gives the examples; every term of an example is indexed, and
-document frequencies of all of them are counted over all texts. A term's TF-IDF weight is
-multiplied by 1 + the square root of its likelihood ratio between the labels, so that every
-term counts and clear ones count more; words that no example has can't meet one.
+document frequencies of all of them are counted over all texts. Terms that no example has
+can't meet one and are left out of a text's vector.
 
 Examples lie in blocks of like ones; the sum of a text's weights times the largest weight of
-each term in a block bounds the block's best cosine, and blocks whose bound doesn't reach
-the K-th best cosine are left out. Terms of many examples are multiplied as a dense matrix
-of 32-bit numbers, others by posting lists; whatever may be among the K nearest within
-the rounding is then scored anew in 64 bits: the K nearest examples are exact.
+each term in a block bounds the block's best cosine. Blocks are visited by falling bound, in
+rounds, until no bound reaches the K-th best cosine. Terms of many examples are multiplied
+as a dense matrix of 32-bit numbers, others by posting lists; whatever may be among the K
+nearest within the rounding is then scored anew in 64 bits: the K nearest examples are
+exact. Equal texts of a step are scored once.
 
-Votes are weighted by cosine and by how many labelled rows an example stands for, with
-PRIOR_MASS added for the examples that share no term; the vote is turned into a
-probability by a logistic curve fitted on the examples with themselves left out.
+Votes are weighted by squared cosine, with PRIOR_MASS added for the examples that share no
+term; the vote is turned into a probability by a logistic curve fitted on the examples with
+themselves left out, each counted for the labelled rows it stands for.
 
 Cases: a null or empty text, or one without any term, gets the score of a vote of 0;
 without labelled rows of both kinds every score is the (smoothed) share of label 1;
@@ -37,14 +37,18 @@ from ledgerline.llm.rows import TEXT, annotate, gathered, table
 from ledgerline.llm.textwords import LETTERS, LOW_BYTES, STEP_BYTES, Words, mix, steps, window_keys, window_starts, words_of
 from ledgerline.sources.writers import written
 
-EXAMPLES = 3_000  # of each label at most, those of smallest hash among different texts
+EXAMPLES = 2_000  # of each label at most, those of smallest hash among different texts
 CANDIDATES = 4  # times as many rows are looked at, so that copies can give way to other texts
-PREFIXES = (4, 5, 6, 7)  # bytes
-K = 15
-BLOCK = 512  # examples
+STEM = 4  # bytes
+K = 40
+BLOCK = 128  # examples
+DIRECTIONS = 512  # terms by which like examples are put together
 DENSE = 30  # a term of one in so many examples is kept as a dense row
-QUERIES = 64  # texts scored at once
-PRIOR_MASS = 2.0
+QUERIES = 256  # texts scored at once
+WHOLE_CELLS = 1 << 22  # of texts times terms
+PAIR_ENTRIES = 1 << 20  # entries of nearest examples looked at once
+FIRST_BLOCKS = 4  # visited before the others; every round visits twice as many
+PRIOR_MASS = 0.02
 CUT = 0.7  # predicted 1 from this score on
 FOLDS, HELD_OUT = 3, 1
 
@@ -52,16 +56,11 @@ OUTPUTS = "score double, predicted int, evidence array<bigint>"
 
 
 def terms(words: Words) -> tuple[np.ndarray, np.ndarray]:
-    """(key, text) of every word and every prefix of a longer word."""
-    row = words.row()
+    """(key, text) of every word's stem."""
     view = np.ndarray(len(words.data) - 7, dtype="<u8", buffer=words.data, strides=(1,))
-    load, length = view[words.start], words.end - words.start
-    keys, rows = [words.keys()], [row]
-    for k in PREFIXES:
-        longer = np.flatnonzero(length > k)
-        keys.append(mix((load[longer] & LOW_BYTES[k]) * np.uint64(0xD6E8FEB86659FD93) + np.uint64(k)))
-        rows.append(row[longer])
-    return np.concatenate(keys), np.concatenate(rows)
+    length = np.minimum(words.end - words.start, STEM)
+    keys = mix((view[words.start] & LOW_BYTES[length]) * np.uint64(0xD6E8FEB86659FD93) + length.astype(np.uint64))
+    return keys, words.row()
 
 
 class Vocabulary:
@@ -107,7 +106,7 @@ def unit_vectors(row: np.ndarray, term: np.ndarray, count: np.ndarray, weights:
 def alike_together(example: np.ndarray, term: np.ndarray, weight: np.ndarray, n: int, n_terms: int) -> np.ndarray:
     """The examples in an order that puts like ones into the same block: split again and again
     at the middle of their main direction over the terms that most have (only speed depends on it)."""
-    common = np.argsort(-np.bincount(term, minlength=n_terms), kind="stable")[:BLOCK]
+    common = np.argsort(-np.bincount(term, minlength=n_terms), kind="stable")[:DIRECTIONS]
     place = np.full(n_terms, -1, np.int32)
     place[common] = np.arange(len(common))
     dense = np.zeros((n, len(common)), np.float32)
@@ -137,6 +136,7 @@ class BlockMaxIndex:
         self.n, self.n_terms, self.blocks = n, n_terms, -(-n // BLOCK)
         self.example, self.term, self.weight = example.astype(np.int32), term.astype(np.int32), weight
         self.ready = False
+        self.scored = self.pairs = 0  # (text, block) pairs looked into, and all of them
 
     def make(self) -> None:
         if self.ready:
@@ -204,27 +204,46 @@ class BlockMaxIndex:
         def reached(among: np.ndarray) -> np.ndarray:
             return np.partition(among, -k, axis=1)[:, -k] * (1 - 2 * self.slack)
 
-        best = np.argsort(-bound, axis=1, kind="stable")[:, :2]
-        done = np.zeros(bound.shape, bool)
-        np.put_along_axis(done, best, True, axis=1)
-        done &= bound > 0
-        self.add_scores(scores, done, dense, rare)
-        scores[own, skip[own] // BLOCK, skip[own] % BLOCK] = 0
-        least = reached(np.take_along_axis(scores, best[:, :, None], axis=1).reshape(texts, -1))
-        self.add_scores(scores, ~done & (bound > 0) & (bound >= least[:, None]), dense, rare)
-        scores[own, skip[own] // BLOCK, skip[own] % BLOCK] = 0
+        order = np.argsort(-bound, axis=1, kind="stable")
+        place = np.empty_like(order)
+        np.put_along_axis(place, order, np.broadcast_to(np.arange(self.blocks), order.shape), axis=1)
+        least, begin, size = np.zeros(texts), 0, FIRST_BLOCKS
+        while begin < self.blocks:
+            wanted = (place >= begin) & (place < begin + size) & (bound > 0) & (bound >= least[:, None])
+            if not wanted.any():  # bounds fall: no later block reaches either
+                break
+            self.add_scores(scores, wanted, dense, rare)
+            self.scored += int(wanted.sum())
+            scores[own, skip[own] // BLOCK, skip[own] % BLOCK] = 0
+            least = reached(scores.reshape(texts, -1))
+            begin, size = begin + size, size * 2
+        self.pairs += texts * self.blocks
         scores = scores.reshape(texts, -1)
-        least = reached(scores)
         near_row, near = np.nonzero((scores > 0) & (scores >= least[:, None]))
-        cut, out, vector = np.searchsorted(near_row, np.arange(texts + 1)), [], np.zeros(self.n_terms)
-        for i in range(texts):
-            who, own = near[cut[i] : cut[i + 1]], slice(first[i], first[i + 1])
-            vector[term[own]] = weight[own]
-            parts = [slice(self.first[e], self.first[e + 1]) for e in who.tolist()]
-            exact = np.array([(vector[self.term[p]] * self.weight[p]).sum() for p in parts])
-            vector[term[own]] = 0
-            order = np.lexsort((who, -exact))[:k]
-            out.append((who[order], exact[order]))
+        exact = self.exact(near_row, near, row, term, weight, texts)
+        order = np.lexsort((near, -exact, near_row))
+        near_row, near, exact = near_row[order], near[order], exact[order]
+        cut = np.searchsorted(near_row, np.arange(texts + 1))
+        return [(near[a : min(a + k, b)], exact[a : min(a + k, b)]) for a, b in zip(cut, cut[1:])]
+
+    def exact(self, text: np.ndarray, example: np.ndarray, row: np.ndarray, term: np.ndarray, weight: np.ndarray, texts: int) -> np.ndarray:
+        """64-bit cosines of (text, example) pairs in order of text, in steps of bounded size."""
+        out = np.zeros(len(text))
+        size = self.first[example + 1] - self.first[example]
+        upto = np.concatenate([[0], np.cumsum(size)])
+        most = max(1, WHOLE_CELLS // max(1, self.n_terms))
+        for base in range(0, texts, most):
+            low, high = np.searchsorted(row, [base, base + most])
+            whole = np.zeros((min(most, texts - base), self.n_terms))
+            whole[row[low:high] - base, term[low:high]] = weight[low:high]
+            a, last = np.searchsorted(text, [base, base + most])
+            while a < last:
+                b = min(last, max(a + 1, int(np.searchsorted(upto, upto[a] + PAIR_ENTRIES, side="right")) - 1))
+                own = size[a:b]
+                entry = np.arange(own.sum()) + np.repeat(self.first[example[a:b]] - (upto[a:b] - upto[a]), own)
+                parts = whole[np.repeat(text[a:b] - base, own), self.term[entry]] * self.weight[entry]
+                out[a:b] = np.add.reduceat(parts, upto[a:b] - upto[a])
+                a = b
         return out
 
     def nearest(self, term: np.ndarray, weight: np.ndarray, k: int, skip: int = -1) -> tuple[np.ndarray, np.ndarray]:
@@ -238,12 +257,11 @@ class Model:
     weights: np.ndarray  # of the terms
     index: BlockMaxIndex | None
     label: np.ndarray
-    stands_for: np.ndarray
     ids: np.ndarray
     curve: tuple[float, float]
 
     def vote(self, who: np.ndarray, cosine: np.ndarray) -> float:
-        weight = cosine * self.stands_for[who]
+        weight = cosine * cosine
         return float((weight * self.label[who]).sum() / (weight.sum() + PRIOR_MASS))
 
     def score(self, vote: np.ndarray) -> np.ndarray:
@@ -269,6 +287,13 @@ class Model:
         return votes
 
     def scores(self, texts: pa.Array) -> tuple[np.ndarray, list[list[int]]]:
+        """Scores and evidence; equal texts are looked at once."""
+        coded = texts.dictionary_encode(null_encoding="encode")
+        score, evidence = self.scores_of_different(coded.dictionary)
+        at = coded.indices.to_numpy(zero_copy_only=False)
+        return score[at], [evidence[i] for i in at.tolist()]
+
+    def scores_of_different(self, texts: pa.Array) -> tuple[np.ndarray, list[list[int]]]:
         n = len(texts)
         vote, evidence = np.zeros(n), [[] for _ in range(n)]
         if self.index is not None:
@@ -283,15 +308,6 @@ def held_out(doc_id: str = "doc_id") -> Column:
     return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % FOLDS == HELD_OUT, F.lit(False))
 
 
-def likelihood_ratio(ones: np.ndarray, zeros: np.ndarray, all_ones: int, all_zeros: int) -> np.ndarray:
-    """Statistic (G) of terms in `ones` and `zeros` example texts of the two labels."""
-    every = all_ones + all_zeros
-    cells = [(ones, all_ones), (zeros, all_zeros), (all_ones - ones, all_ones), (all_zeros - zeros, all_zeros)]
-    sums = [ones + zeros, ones + zeros, every - ones - zeros, every - ones - zeros]
-    parts = [n * np.log(np.where(n > 0, n * float(every), 1.0) / np.where(n > 0, s * float(size), 1.0)) for (n, size), s in zip(cells, sums, strict=True)]
-    return np.maximum(2 * sum(parts), 0.0)
-
-
 def logistic(vote: np.ndarray, label: np.ndarray, weight: np.ndarray) -> tuple[float, float]:
     """Slope and offset by Newton steps, with a small pull of the slope to 0."""
     x = np.stack([vote, np.ones_like(vote)], axis=1)
@@ -358,33 +374,19 @@ def train(docs: DataFrame, labels: DataFrame, most: int = EXAMPLES) -> Model:
 
     def support(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
         for step in steps(batches, TEXT, STEP_BYTES):
-            key, row = terms(words_of(step.column(0), LETTERS, lower=True))
-            label = step.column(2).to_numpy(zero_copy_only=False)
-            order = np.lexsort((row, key))
-            key, row = key[order], row[order]
-            once = np.r_[True, (key[1:] != key[:-1]) | (row[1:] != row[:-1])][: len(key)]
-            key, mark = key[once], label[row[once]]
-            first = np.flatnonzero(np.r_[True, key[1:] != key[:-1]][: len(key)])
-            total = np.diff(np.r_[first, len(key)])
-            ones = np.add.reduceat(mark, first) if len(first) else total
-            yield {"key": key[first].view(np.int64), "ones": ones.astype(np.int64), "zeros": (total - ones).astype(np.int64)}
-            held = np.bincount(label, minlength=2)
-            yield {"key": pa.nulls(1, pa.int64()), "ones": held[1:2], "zeros": held[:1]}
-
-    found = gathered(known, "key bigint, ones bigint, zeros bigint", support)
-    found = found.groupBy("key").agg(F.sum("ones").alias("ones"), F.sum("zeros").alias("zeros"))
-    sizes = found.filter("key is null").first()
+            key, _ = terms(words_of(step.column(0), LETTERS, lower=True))
+            yield {"key": np.unique(key).view(np.int64)}
+
+    found = gathered(known, "key bigint", support).distinct()
+    sizes = {r["label"]: r["count"] for r in picked.groupBy("label").count().collect()}
     base = (counts.get(1, 0) + 0.5) / (sum(counts.values()) + 1.0)
-    empty = Model(Vocabulary(np.zeros(0, np.uint64)), np.zeros(0), None, *[np.zeros(0)] * 3, (0.0, float(np.log(base / (1 - base)))))
-    if sizes is None or not sizes["ones"] or not sizes["zeros"]:
+    empty = Model(Vocabulary(np.zeros(0, np.uint64)), np.zeros(0), None, *[np.zeros(0)] * 2, (0.0, float(np.log(base / (1 - base)))))
+    if not sizes.get(0) or not sizes.get(1):
         return empty
-    found = found.filter("key is not null").toArrow()
+    found = found.toArrow()
     if not found.num_rows:
         return empty
-    key, ones, zeros = (found[c].to_numpy() for c in ("key", "ones", "zeros"))
-    order = np.argsort(key.view(np.uint64))
-    chosen = key.view(np.uint64)[order]
-    clear = 1 + np.sqrt(likelihood_ratio(ones[order], zeros[order], sizes["ones"], sizes["zeros"]))
+    chosen = np.sort(found["key"].to_numpy().view(np.uint64))
     vocabulary = docs.sparkSession.sparkContext.broadcast(Vocabulary(chosen))
     size = len(chosen)
 
@@ -400,7 +402,7 @@ def train(docs: DataFrame, labels: DataFrame, most: int = EXAMPLES) -> Model:
     sums = gathered(texts.select(TEXT), "term int, texts bigint", frequencies).groupBy("term").agg(F.sum("texts").alias("texts"))
     sums = sums.toArrow()
     seen[sums["term"].to_numpy()] = sums["texts"].to_numpy()
-    weights = (np.log((seen[size] + 1) / (seen[:size] + 1)) + 1e-9) * clear
+    weights = np.log((seen[size] + 1) / (seen[:size] + 1)) + 1e-9
 
     def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
         for step in steps(batches, TEXT, STEP_BYTES):
@@ -427,7 +429,7 @@ def train(docs: DataFrame, labels: DataFrame, most: int = EXAMPLES) -> Model:
     share = [counts[k] / max(1, (label == k).sum()) for k in (0, 1)]
     stands_for = np.where(label == 1, share[1], share[0])
     stands_for = stands_for / stands_for.min()
-    model = Model(vocabulary.value, weights, index, label, stands_for, ids, (0.0, 0.0))
+    model = Model(vocabulary.value, weights, index, label, ids, (0.0, 0.0))
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def own_votes(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:

@@ -307,23 +307,35 @@ def test_substring_dedup_of_the_given_table(spark, data, documents):
 # 6: toxicity
 
 
-def test_block_max_search_is_exact():
+@pytest.mark.parametrize("cells", [1 << 22, 300])
+def test_block_max_search_is_exact(monkeypatch, cells):
+    """Twelve blocks, some of alike examples; many pairs of text and block are skipped."""
+    monkeypatch.setattr(toxicity, "WHOLE_CELLS", cells)
+    monkeypatch.setattr(toxicity, "PAIR_ENTRIES", cells)
     rng = np.random.default_rng(2)
-    n, terms = 500, 40
-    dense = rng.random((n, terms)) * (rng.random((n, terms)) < 0.1)
+    n, terms = 12 * toxicity.BLOCK - 30, 240
+    dense = rng.random((n, terms)) * (rng.random((n, terms)) < 0.01)
+    for i in range(n):  # its group's terms, and a few of all
+        group = i * 12 // n
+        dense[i, group * 20 : group * 20 + 20] = rng.random(20) * (rng.random(20) < 0.6)
     example, term = np.nonzero(dense)
     weight = toxicity.unit_vectors(example, term, np.exp(dense[example, term]), np.ones(terms), n)
     full = np.zeros((n, terms))
     full[example, term] = weight
     index = toxicity.BlockMaxIndex(example, term, weight, n, terms)
-    for q in range(0, n, 7):
-        t = np.flatnonzero(full[q])
-        who, cosine = index.nearest(t, full[q][t], 15, skip=q)
+    queries = np.array([q for q in range(0, n, 7) if full[q].any()])
+    lists = [np.flatnonzero(full[q]) for q in queries]
+    first = np.concatenate([[0], np.cumsum([len(t) for t in lists])])
+    found = index.nearest_of(first, np.concatenate(lists), np.concatenate([full[q][t] for q, t in zip(queries, lists, strict=True)]), 15, queries)
+    for q, (who, cosine) in zip(queries, found, strict=True):
         scores = full @ full[q]
         scores[q] = 0
         order = sorted(np.flatnonzero(scores > 0), key=lambda i: (-round(scores[i], 9), i))[:15]
         assert cosine == pytest.approx(scores[order])
-        assert len(set(who)) == len(who)
+        assert len(set(who)) == len(who) and q not in who
+    assert index.blocks == 12 and 0 < index.scored < 0.9 * index.pairs
+    alone = index.nearest(lists[3], full[queries[3]][lists[3]], 15, skip=queries[3])
+    assert alone[1] == pytest.approx(found[3][1])
 
 
 def toxic_tables(spark, n=600):
