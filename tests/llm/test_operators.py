@@ -495,17 +495,18 @@ def test_token_counts_merge_leftmost_pairs_where_rounds_would_differ():
 # 10: SimHash
 
 
-def test_forest_connects_what_all_pairs_connect():
-    rng = random.Random(12)
+@pytest.mark.parametrize("radius", [2, 3, 4, 6])
+def test_forest_connects_what_all_pairs_connect(radius):
+    rng = random.Random(12 + radius)
     for n, spread in ((2, 1), (70, 3), (150, 2), (300, 6), (513, 1)):
         centres = [rng.getrandbits(64) for _ in range(max(1, n // 20))]
         prints = sorted({rng.choice(centres) ^ sum(1 << rng.randrange(64) for _ in range(rng.randrange(spread + 1))) % 2**64 for _ in range(n)})
         run = np.sort(np.array([rng.randrange(3) for _ in prints]))
-        a, b = simhash.forest(np.array(prints, np.uint64), run)
-        assert all((x ^ y).bit_count() <= 2 for x, y in zip(a.tolist(), b.tolist(), strict=True))
+        a, b = simhash.forest(np.array(prints, np.uint64), run, radius)
+        assert all((x ^ y).bit_count() <= radius for x, y in zip(a.tolist(), b.tolist(), strict=True))
         for r in set(run.tolist()):
             own = [p for p, k in zip(prints, run, strict=True) if k == r]
-            want = brute.classes(own)
+            want = brute.classes(own, radius)
             place = {p: i for i, p in enumerate(own)}
             parent = list(range(len(own)))
 
@@ -539,12 +540,68 @@ def test_simhash_groups_equal_all_pairs(make, long_text):
         same([(r["doc_id"], f"{r['fingerprint'] % 2**64:016x}", r["component_id"]) for r in out.collect()], want)
     first = simhash.first_of_groups(make(docs, CLASH))
     assert first.columns == make(docs, CLASH).columns
+    low = near_classes([t for _, t in docs])
+    ids = {c: min((d for (d, _), k in zip(docs, low, strict=True) if k == c and d is not None), default=None) for c in set(low)}
+    assert len({k for (d, _), k in zip(docs, low, strict=True) if d is not None and d >= 100}) == 1  # the near copies
     got = [r["doc_id"] for r in first.collect()]
     assert len(got) == len(set(low))
     assert sorted(d for d in got if d is not None) == sorted(d for d in ids.values() if d is not None)
     assert simhash.groups(make([])).count() == 0 and simhash.first_of_groups(make([])).count() == 0
 
 
+def near_classes(texts):
+    """Smallest reachable position of each text, over all pairs of each fingerprint of one text at a time."""
+    prints = [[int(p[0]) for p in simhash.near_fingerprints(pa.array([t], pa.string()))] for t in texts]
+    parent = list(range(len(texts)))
+
+    def root(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for i in range(len(texts)):
+        for j in range(i):
+            if any((p ^ q).bit_count() <= simhash.NEAR_RADIUS for p, q in zip(prints[i], prints[j], strict=True)) and root(i) != root(j):
+                a, b = root(i), root(j)
+                parent[max(a, b)] = min(a, b)
+    return [root(i) for i in range(len(texts))]
+
+
+def test_near_copies_by_their_similarity(make):
+    """Recall over edited copies by exact Jaccard similarity of five-word shingles; other texts stay apart."""
+    rng, docs, base = random.Random(9), [], {}
+    for i in range(120):
+        words = [f"w{rng.randrange(5000)}" for _ in range(300)]
+        docs.append((2 * i, " ".join(words)))
+        for _ in range(1 + i % 8):
+            words[rng.randrange(300)] = f"new{rng.randrange(10**6)}"
+        docs.append((2 * i + 1, " ".join(words)))
+
+    def shingles(text):
+        words = text.split()
+        return {tuple(words[k : k + 5]) for k in range(len(words) - 4)}
+
+    root = {r["doc_id"]: r["root"] for r in simhash.near_groups(make(docs)).collect()}
+    met = []
+    for i in range(120):
+        a, b = shingles(docs[2 * i][1]), shingles(docs[2 * i + 1][1])
+        if len(a & b) / len(a | b) >= 0.85:
+            met.append(root[2 * i] == root[2 * i + 1])
+    assert len(met) > 40 and sum(met) / len(met) >= 0.9
+    assert len(set(root.values())) >= 120
+
+
+def test_fingerprint_distance_follows_similarity():
+    rng = random.Random(4)
+    words = [f"w{rng.randrange(5000)}" for _ in range(2000)]
+    other = [w if rng.random() < 0.97 else f"x{rng.randrange(10**6)}" for w in words]
+    a, b = ({tuple(w[k : k + 5]) for k in range(1996)} for w in (words, other))
+    similarity = len(a & b) / len(a | b)
+    one, two = (simhash.near_fingerprints(pa.array([" ".join(w)]), prints=40) for w in (words, other))
+    differ = sum((int(p[0]) ^ int(q[0])).bit_count() for p, q in zip(one, two, strict=True)) / (40 * 64)
+    assert differ == pytest.approx((1 - similarity) / 2, abs=0.03)
+
+
 def test_one_row_of_each_group_with_repeated_ids(make):
     a, b = prose(1, 50), prose(2, 50)
     got = simhash.first_of_groups(make([(5, a), (5, b), (5, a), (None, b), (None, prose(3, 50)), (6, a)])).collect()
@@ -569,7 +626,7 @@ def test_pipeline_equals_its_stages_by_hand(spark, data, documents, tmp_path):
     kept = {r["doc_id"] for r in quality.op2_quality_rules(spark, data).collect() if r["kept"]}
     assert set(text[1]) == kept
     ids = sorted(text[1])
-    low = brute.classes([brute.fingerprint(text[1][i]) for i in ids])
+    low = near_classes([text[1][i] for i in ids])
     assert sorted(text[2]) == sorted({ids[c] for c in low})
     items = [tuple(r) for r in spark.read.parquet(f"{data}/benchmark.parquet").select("item_id", "text").collect()]
     assert set(text[3]) == {r[0] for r in brute.contamination(text[2].items(), items) if not r[-1]}
