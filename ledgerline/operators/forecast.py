@@ -28,6 +28,7 @@ from ledgerline.settings import (
     MIN_SPREAD_SAMPLES,
     OUTER_CUTOFFS,
     STABLE_MODEL,
+    TREND_MODEL,
 )
 
 
@@ -126,7 +127,7 @@ def seed_companies(panel: DataFrame, baseline: DataFrame, static: DataFrame) ->
     return panel.unionByName(rows, allowMissingColumns=True)
 
 
-def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
     """Bind an expression once inside a higher-order function."""
     return F.get(F.transform(F.array(value), body), 0)
 
@@ -167,7 +168,7 @@ def _advance(acc: Column, step: Column, evidence: Column, anchor: Column) -> Col
         return F.struct(state.cast(STATE).alias("state"), rows.cast(STEP).alias("rows"))
 
     mean = mean_of([s["g2"], s["g1"], s["g0"]])
-    return _let(_let(_let(mean, routed), predicted), appended)
+    return let(let(let(mean, routed), predicted), appended)
 
 
 def recursive_forecast(
@@ -176,7 +177,6 @@ def recursive_forecast(
     groups: DataFrame,
     static: DataFrame,
     end_year: int = FORECAST_END_YEAR,
-    routing: dict[str, str] | None = None,
 ) -> DataFrame:
     """Project every company year by year to `end_year`.
 
@@ -210,7 +210,7 @@ def recursive_forecast(
     )
     out = active.withColumn("_rows", folded["rows"]).select("*", F.inline("_rows")).drop("_rows")
     year = F.col("accounting_year") + F.col("step")
-    model = F.when(F.col("growth_classification") == "growing", _routed_model(routing)).otherwise(STABLE_MODEL)
+    model = F.when(F.col("growth_classification") == "growing", TREND_MODEL).otherwise(STABLE_MODEL)
     return out.select(
         "company_id",
         "mission",
@@ -231,13 +231,6 @@ def recursive_forecast(
     )
 
 
-def _routed_model(routing: dict[str, str] | None) -> Column:
-    out = F.lit("Company Historical CAGR")
-    for mission, model in (routing or {}).items():
-        out = F.when(F.col("mission") == mission, model).otherwise(out)
-    return out
-
-
 # --- outputs --------------------------------------------------------------------------
 
 INTERVAL_COLUMNS = ["sigma_log_residual", "used_fallback_spread", "turnover_lower", "turnover_upper", "count"]

@@ -31,7 +31,7 @@ from ledgerline.operators.features import (
 from ledgerline.operators.forecast import growth_anchor, seed_companies
 from ledgerline.operators.preprocess import FORECAST_SET, cast_inputs
 from ledgerline.operators.ranks import attach
-from ledgerline.settings import FORECAST_END_YEAR, STABLE_MODEL
+from ledgerline.settings import FORECAST_END_YEAR, STABLE_MODEL, TREND_MODEL
 from ledgerline.sources.writers import written
 
 
@@ -115,7 +115,7 @@ def score(rows: DataFrame, models: dict[str, PipelineModel], labels: dict[str, s
         parts.append(mine.join(raw, "company_id"))
     scored = reduce(DataFrame.unionByName, parts)
     value = F.when(growing, decayed(t, F.col("raw"), step, F.col("anchor"))).otherwise(F.col("raw"))
-    label = F.lit("Company Historical CAGR")
+    label = F.lit(TREND_MODEL)
     for mission in models:
         label = F.when(F.col("mission") == mission, labels[mission]).otherwise(label)
     return scored.withColumn("next_turnover", F.when(is_finite(value) & (value >= 0), value)).withColumn(

@@ -5,10 +5,11 @@ from pyspark.sql import functions as F
 
 from ledgerline.functions import numeric as N
 from ledgerline.lineage import FEATURE_SOURCES, OTHER_FIELDS
-from ledgerline.operators import estimators, features, forecast, gram, metrics, preprocess, reports, selection, stepwise, studies
+from ledgerline.operators import estimators, features, forecast, gram, metrics, preprocess, reports, routed, selection, stepwise, studies
 from ledgerline.operators.preprocess import ESTIMATION_SET, FORECAST_SET
-from ledgerline.plans.catalog_models import RIDGE, TARGET, fitted_weights, forecast_rows, mission_rows, subgroup_rows, training_rows_with_adjacent
+from ledgerline.plans.catalog_models import TARGET, fitted_weights, forecast_rows, subgroup_rows, training_rows_with_adjacent
 from ledgerline.plans.catalog_panel import flow
+from ledgerline.plans.flow import ForecastFlow
 from ledgerline.plans.registry import query
 from ledgerline.settings import CORE_MISSIONS, FORECAST_LOG, ROUTING
 from ledgerline.sources import writers
@@ -97,22 +98,43 @@ def _(t):
     return stepwise.stepwise_forecast(f.panel, f.baseline, f.groups, f.static, {}, {})
 
 
-def routing_model(t: Tables):
-    rows = writers.written(mission_rows(forecast_rows(t), "ACE"), "routing")
-    return estimators.fit_final(rows, "Ridge", RIDGE, FORECAST_SET, TARGET, None, []), rows
+FITTED_ROUTES = {mission: model for mission, model in ROUTING.items() if model in gram.FORECAST_LINEAR}
+
+
+def routing_fits(t: Tables) -> gram.Fits:
+    """The routed models, tuned on the last years of their missions and refitted on all rows."""
+    rows = writers.written(forecast_rows(t).filter(F.col("mission").isin(list(FITTED_ROUTES))), "routing")
+    models = {m: gram.FORECAST_LINEAR[m] for m in sorted(set(FITTED_ROUTES.values()))}
+    cut, outers = gram.whole_yearly(rows)
+    return gram.fit_final(cut, outers, models, FORECAST_SET, TARGET, None, F.col("mission"))
+
+
+def routed_flow(t: Tables) -> ForecastFlow:
+    """The forecast flow whose growing companies follow their mission's routed model, fitted or not."""
+    fits = routing_fits(t)
+    routes = {g: routed.LinearRoute.of(fits, g, m) for g, m in FITTED_ROUTES.items() if (0, m) in fits.chosen.get(g, {})}
+    return ForecastFlow(t.panel(), t.baseline(), t.static(), routes)
 
 
 @query("f10_fit_routing_model", "mission feature weight:r metric_type direction")
 def _(t):
-    (model, _, prepared), rows = routing_model(t)
-    return estimators.feature_weights(model, prepared, "ACE", rows)
+    return gram.feature_weights(routing_fits(t), FITTED_ROUTES, t.spark)
 
 
 @query("f8_ridge_route", TRAJECTORY)
 def _(t):
-    (model, _, _), _ = routing_model(t)
-    f = flow(t)
-    return stepwise.stepwise_forecast(f.panel, f.baseline, f.groups, f.static, {"ACE": model}, {"ACE": ROUTING["ACE"]})
+    return routed_flow(t).predicted
+
+
+@query("f13_routed_summary", "company_id mission baseline_year:i baseline_turnover:m turnover_2030:f growth_multiple_2030:r annualized_growth_rate_to_2030:r "
+       "n_years_growing:i n_years_stable:i final_step_model_used ever_classified_growing:b forecast_evidence_group")
+def _(t):
+    return routed_flow(t).summary
+
+
+@query("g3_routed_intersection", "company_id company_name mission baseline_turnover:m turnover_2030:f forecast_evidence_group gazelle_10pct:b gazelle_20pct:b credibility_status")
+def _(t):
+    return routed_flow(t).intersection
 
 
 # --- outputs ------------------------------------------------------------------------------

@@ -2,22 +2,25 @@
 
 The inputs should be stored tables. Stages that several later steps read
 (training rows, folds, trajectories) are written once to the shared folder;
-everything else stays lazy."""
+everything else stays lazy. With `routes`, growing companies of those missions follow a
+fitted model instead of their own growth."""
 
 from functools import cached_property
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerline.operators import features, forecast, reports
+from ledgerline.operators import features, forecast, reports, routed
 from ledgerline.operators.panel import history_properties
 from ledgerline.operators.quality import primary_model_eligible
 from ledgerline.sources.writers import written
 
 
 class ForecastFlow:
-    def __init__(self, panel: DataFrame, baseline: DataFrame, static: DataFrame):
-        self.panel, self.baseline, self.static = panel, baseline, static
+    def __init__(
+        self, panel: DataFrame, baseline: DataFrame, static: DataFrame, routes: dict[str, routed.LinearRoute] | None = None
+    ):
+        self.panel, self.baseline, self.static, self.routes = panel, baseline, static, routes
 
     @cached_property
     def growth(self) -> DataFrame:
@@ -45,7 +48,8 @@ class ForecastFlow:
 
     @cached_property
     def predicted(self) -> DataFrame:
-        steps = forecast.recursive_forecast(self.panel, self.baseline, self.groups, self.static)
+        inputs = self.panel, self.baseline, self.groups, self.static
+        steps = routed.routed_forecast(*inputs, self.routes) if self.routes else forecast.recursive_forecast(*inputs)
         return written(forecast.with_intervals(steps, self.spread), "trajectories")
 
     @cached_property

@@ -110,6 +110,7 @@ ROUTING = {
     "Cross-Cutting": "Company Historical CAGR",
 }
 STABLE_MODEL = "Persistence"
+TREND_MODEL = "Company Historical CAGR"
 TREND_EVIDENCE = "A"
 EVIDENCE_GROUPS = ["A", "B", "C", "D"]
 Z_SCORE = 1.96

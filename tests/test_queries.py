@@ -58,7 +58,7 @@ def test_every_statement_binds(duck):
 
 # Minutes of fitting; run by hand.
 SLOW = [
-    "e1_evaluate_model", "e2_run_bakeoff", "d2_weight_sweep", "f8_ridge_route", "e14_pooled_bakeoff",
+    "e1_evaluate_model", "e2_run_bakeoff", "d2_weight_sweep", "e14_pooled_bakeoff",
     "e16_oof_predictions", "j15_oof_join", "e18_feature_weights", "s11_comment_csv", "e3_evaluate_temporal", "e5_run_forecast_bakeoff",
     "e12_sub_models", "e15_pooled_against_own", "x3_predict_mission", "t3_fitted_top15", "g8_fitted_usage",
 ]
