@@ -11,6 +11,7 @@ from ledgerline.operators.panel import quoted
 from ledgerline.operators.preprocess import FeatureSet
 from ledgerline.operators.ranks import attach, average_ranks, quantile
 from ledgerline.settings import ACCELERATOR_SLOTS
+from ledgerline.sources.writers import written
 
 
 def backtest_rows(training: DataFrame, predicted: str, train: tuple[int, int], test: tuple[int, int]) -> DataFrame:
@@ -90,16 +91,22 @@ def leakage_check(df: DataFrame, formulas: dict[str, tuple[str, str, float]]) ->
     return df.agg(F.array(*rows).alias("r")).select(F.inline("r"))
 
 
-def spearman(df: DataFrame, groups: list[str], feature: str, target: str, out: str) -> DataFrame:
-    """Rank correlation per group from exact average ranks."""
-    both = df.filter(F.col(feature).isNotNull() & F.col(target).isNotNull()).select(
-        *groups, "company_id", F.col(feature).cast("double").alias("a"), F.col(target).cast("double").alias("b")
+def spearman(df: DataFrame, groups: list[str], features: list[str], target: str, out: str) -> DataFrame:
+    """Rank correlation of every feature with the target per group, from exact average ranks.
+
+    A feature's ranks are taken over the rows that have it. All features are ranked at once:
+    one row a feature and company-year, placed once by value and once by target."""
+    numbers = df.filter(F.col(target).isNotNull()).select(
+        *groups, "company_id", F.col(target).cast("double").alias("b"), *[F.col(c).cast("double").alias(c) for c in features]
     )
-    ranked = both
+    long = numbers.unpivot([*groups, "company_id", "b"], features, "feature", "a").filter(F.col("a").isNotNull())
+    keys, ranked = [*groups, "feature"], written(long, "features")
+    long = ranked
     for value, rank in (("a", "ra"), ("b", "rb")):
-        ranks = average_ranks(both, groups, value, rank)
-        ranked = salted_join(ranked, ranks, [*groups, value], "company_id", how="inner")
-    return ranked.groupBy(*groups).agg(F.corr("ra", "rb").alias(out))
+        ranks = average_ranks(long, keys, value, rank)
+        ranked = salted_join(ranked, ranks, [*keys, value], "company_id", how="inner")
+    spread = F.stddev_pop("ra") * F.stddev_pop("rb")
+    return ranked.groupBy(*keys).agg(F.try_divide(F.covar_pop("ra", "rb"), spread).alias(out))
 
 
 def slot_profile(signals: DataFrame, key: str) -> DataFrame:
@@ -110,6 +117,24 @@ def slot_profile(signals: DataFrame, key: str) -> DataFrame:
     return known.groupBy("accelerator").agg(F.count("*").alias("companies"))
 
 
+def attendee_split(companies: DataFrame, signals: DataFrame, key: str, least: int = 10) -> DataFrame:
+    """Age and evidence, by mission, of companies that attended an accelerator of at least `least`
+    companies, and of all others; `companies` has key, mission, age, forecast_evidence_group."""
+    slots = [quoted(c) for c in ACCELERATOR_SLOTS if c in signals.columns]
+    names = signals.select(key, F.explode(F.array(*slots)).alias("accelerator"))
+    known = names.filter(F.col("accelerator").isNotNull()).distinct()
+    large = known.groupBy("accelerator").agg(F.count("*").alias("companies")).filter(F.col("companies") >= least)
+    members = attach(known, large, ["accelerator"], "inner").select(key).distinct()
+    rows = companies.join(members.withColumn("attended", F.lit(True)), key, "left").fillna(False, ["attended"])
+    groups = ["mission", "attended"]
+    facts = rows.groupBy(*groups).agg(
+        F.count("*").alias("companies"),
+        F.avg("age").alias("mean_age"),
+        F.avg((F.col("forecast_evidence_group") == "D").cast("double")).alias("share_without_turnover"),
+    )
+    return attach(facts, quantile(rows, groups, "age", 0.5, "median_age"), groups)
+
+
 def skewness(df: DataFrame, columns: list[str]) -> DataFrame:
     """Skewness of each column before and after the log transform."""
     rows = [

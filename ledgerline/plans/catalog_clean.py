@@ -206,7 +206,11 @@ select mission, accounting_year, cast(sum(cast(turnover as decimal(18,2))) as do
 union all select mission, accounting_year, cast(sum(cast(round(turnover, 2) as decimal(18,2))) as double) from x_panel where mission = 'ACE' group by 1, 2""")
 def _(t):
     fresh = t.panel().filter(F.col("mission") == "ACE").withColumn("turnover", F.round("turnover", 2))
-    return writers.upsert_by_mission(yearly_totals(t.raw_panel()), yearly_totals(fresh))
+    prior = yearly_totals(t.raw_panel())
+    path = writers.stage_path(t.spark, "totals")
+    writers.write_stage(prior, path)
+    writers.upsert_table(yearly_totals(fresh), path)
+    return writers.read_table(t.spark, path, prior)
 
 
 @query("s10_labelled_export", ["Company ID", "Company Name", "Mission", "Baseline Year:i", "Baseline Turnover (£):m"], """

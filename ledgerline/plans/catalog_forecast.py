@@ -1,5 +1,7 @@
 """Recursive forecast, trajectories, reports and studies."""
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -11,7 +13,7 @@ from ledgerline.plans.catalog_models import TARGET, fitted_weights, forecast_row
 from ledgerline.plans.catalog_panel import flow
 from ledgerline.plans.flow import ForecastFlow
 from ledgerline.plans.registry import query
-from ledgerline.settings import CORE_MISSIONS, FORECAST_LOG, ROUTING
+from ledgerline.settings import CORE_MISSIONS, ENGINEERED, FORECAST_LOG, ROUTING
 from ledgerline.sources import writers
 from ledgerline.sources.domain import Tables
 
@@ -395,13 +397,19 @@ def _(t):
     })
 
 
-@query("d6_spearman_direction", "mission rho:r", """
-select mission, corr(ra, rb) as rho from (select mission,
-  rank() over (partition by mission order by employees) + (count(*) over (partition by mission, employees) - 1) / 2.0 as ra,
-  rank() over (partition by mission order by target_turnover_next_year) + (count(*) over (partition by mission, target_turnover_next_year) - 1) / 2.0 as rb
-  from x_training where employees is not null) z group by 1""")
+RANKED_SQL = f"select mission, target_turnover_next_year as y, unnest({ENGINEERED}) as feature, unnest([{', '.join(f'cast({c} as double)' for c in ENGINEERED)}]) as v from x_training"
+
+
+@query("d6_spearman_direction", "mission feature rho:r", f"""
+select mission, feature, covar_pop(ra, rb) / nullif(stddev_pop(ra) * stddev_pop(rb), 0) as rho from (select mission, feature,
+  rank() over (partition by mission, feature order by v) + (count(*) over (partition by mission, feature, v) - 1) / 2.0 as ra,
+  rank() over (partition by mission, feature order by y) + (count(*) over (partition by mission, feature, y) - 1) / 2.0 as rb
+  from ({RANKED_SQL}) w where v is not null) z group by 1, 2""")
 def _(t):
-    return studies.spearman(flow(t).training, ["mission"], "employees", TARGET, "rho")
+    return studies.spearman(flow(t).training, ["mission"], ENGINEERED, TARGET, "rho")
+
+
+ATTENDED_SQL = "select distinct user_id, event_type from events where cast(value as decimal(18,2)) > 30 and user_id in (select c_custkey from customer)"
 
 
 @query("d7_accelerator_profile", "accelerator companies:i", """
@@ -410,6 +418,49 @@ def _(t):
     return studies.slot_profile(t.signals(), "ordinal")
 
 
+@query("d7_attendee_split", "mission attended:b companies:i mean_age:r median_age:r share_without_turnover:r", f"""
+select mission, attended, count(*) as companies, avg(age) as mean_age, median(age) as median_age, avg(case when kind = 'D' then 1.0 else 0.0 end) as share_without_turnover
+from (select g.mission, c.ordinal in (select user_id from ({ATTENDED_SQL}) a where event_type in (select event_type from ({ATTENDED_SQL}) b group by 1 having count(*) >= 10)) as attended,
+  (select max(baseline_year) from x_baseline) - c.founded_year as age, g.forecast_evidence_group as kind from x_groups g join x_company c on c.company_id = g.company_id) z group by 1, 2""")
+def _(t):
+    f = flow(t)
+    latest = f.baseline.select(F.max("baseline_year")).scalar()
+    companies = f.groups.select("company_id", "mission", "forecast_evidence_group").join(
+        t.company().select("company_id", "ordinal", "founded_year"), "company_id")
+    companies = companies.withColumn("age", latest - F.col("founded_year"))
+    return studies.attendee_split(companies, t.signals(), "ordinal")
+
+
+@query("s10_export_tables", "dataset rows:i companies:i", """
+select 'current_turnover_baseline' as dataset, count(*) as rows, count(distinct company_id) as companies from x_baseline
+union all select 'full_trajectories_2030', count(*), count(distinct company_id) from x_full
+union all select 'crossings_10m', count(*), count(distinct company_id) from x_context where baseline_turnover < 10000000 and turnover_2030 >= 10000000
+union all select 'gazelle_10pct', count(*), count(distinct c.company_id) from x_context c join x_runs r on r.company_id = c.company_id where r.gazelle_10pct
+union all select 'gazelle_20pct', count(*), count(distinct c.company_id) from x_context c join x_runs r on r.company_id = c.company_id where r.gazelle_20pct
+union all select 'intersection_50m', count(*), count(distinct company_id) from x_intersection
+union all select 'operational_scaling', count(*), count(distinct c.company_id) from x_context c join x_scaling s on s.company_id = c.company_id where s.operational_scaling_10pct""")
+def _(t):
+    f = flow(t)
+    tiers = f.context.join(f.runs, "company_id")
+    tables = {
+        "current_turnover_baseline": f.baseline,
+        "full_trajectories_2030": f.trajectories,
+        "crossings_10m": reports.crossings(f.context),
+        "gazelle_10pct": tiers.filter("gazelle_10pct"),
+        "gazelle_20pct": tiers.filter("gazelle_20pct"),
+        "intersection_50m": f.intersection,
+        "operational_scaling": reports.scaling_report(f.context, f.scaling),
+    }
+    folder = writers.stage_path(t.spark, "export")
+    writers.export(tables, folder)
+    counts = [
+        writers.read_export(t.spark, df, f"{folder}/{name}").agg(
+            F.lit(name).alias("dataset"), F.count("*").alias("rows"), F.count_distinct("`Company ID`").alias("companies"))
+        for name, df in tables.items()
+    ]
+    return reduce(DataFrame.unionByName, counts)
+
+
 @query("d8_weighted_structure_score", "mission weighted_r2:r n:i", """
 select mission, sum(n * r2) / sum(n) as weighted_r2, sum(n) as n from (select p.mission, forecast_evidence_group, count(*) as n,
   1 - sum((y - p) * (y - p)) / (var_pop(y) * count(*)) as r2 from x_predictions p join x_groups g on g.company_id = p.company_id

@@ -9,7 +9,7 @@ from ledgerline.plans.catalog_clean import mapping
 from ledgerline.plans.catalog_panel import ADJACENT_WEIGHTS, estimation, flow, inference_features, training_set
 from ledgerline.plans.registry import query
 from ledgerline.operators.ranks import attach
-from ledgerline.settings import CORE_MISSIONS, FORECAST_LOG, FORECAST_SIMPLICITY, INNER_OFFSETS, SIMPLICITY, SPACE
+from ledgerline.settings import CORE_MISSIONS, FORECAST_LOG, FORECAST_SIMPLICITY, INNER_OFFSETS, MASTER_KEYWORDS, SIMPLICITY, SPACE
 from ledgerline.sources import writers
 from ledgerline.sources.domain import Tables
 
@@ -602,22 +602,42 @@ def _(t):
 
     path = writers.stage_path(t.spark, "weights")
     weights = fitted_weights(t).select("mission", "feature", "weight")
-    weights.write.option("header", True).csv(path)
+    writers.write_commented_csv(weights, path, ["weights of scaled features; signs are directions, not causes"])
     return read_commented_csv(t.spark, path, "mission string, feature string, weight double")
 
 
-def predicted(t: Tables) -> DataFrame:
-    """Scores of companies without turnover by their mission's model."""
-    rows = estimation_rows(t)
-    wanted = writers.written(inference_features(t).filter(F.col("mission").isNotNull()), "inference")
+SCORED = ["company_id", "mission", "prediction_year", "reliability", "reliability_reason"]
+
+
+def scored_by_selected(rows: DataFrame, wanted: DataFrame, usable: bool, keep: list[str]) -> DataFrame:
+    """Companies in `wanted` by the selected model of their mission, which its labelled rows choose and fit."""
     flagged = scoring.reliability(wanted, rows)
     inputs = preprocess.cast_inputs(flagged, ESTIMATION_SET).withColumn("prediction_year", F.col("year"))
     core = rows.filter(F.col("mission").isin(CORE_MISSIONS))
     selected = best_fitted(estimators.fold_metrics(linear_folds(core), ["mission", "repeat", "fold"]), SIMPLICITY)
-    models = chosen_models(selected.filter("usable"))
-    keep = ["company_id", "mission", "prediction_year", "reliability", "reliability_reason"]
-    scored = gram.predict(inputs, final_estimation(core), models, F.col("mission"), keep, "predicted_total_turnover")
-    return quality.validate_predictions(scored)
+    models = chosen_models(selected.filter("usable") if usable else selected)
+    return gram.predict(inputs, final_estimation(core), models, F.col("mission"), keep, "predicted_total_turnover")
+
+
+def predicted(t: Tables) -> DataFrame:
+    """Scores of companies without turnover by their mission's model."""
+    wanted = writers.written(inference_features(t).filter(F.col("mission").isNotNull()), "inference")
+    return quality.validate_predictions(scored_by_selected(estimation_rows(t), wanted, True, SCORED))
+
+
+def cross_cutting_scores(t: Tables) -> DataFrame:
+    """Cross-cutting companies without turnover, scored through the mission they resemble most.
+
+    Reliability is judged against that mission's labelled rows, then marked approximate."""
+    master = t.segmented().select("company_id", "mission", "sic_code_1", F.col(f"`{MASTER_KEYWORDS}`").alias("keywords"))
+    known = master.filter(F.col("mission").isin(CORE_MISSIONS))
+    features = writers.written(inference_features(t).filter(F.col("mission") == "Cross-cutting"), "cross-cutting")
+    targets = master.join(features.select("company_id"), "company_id", "left_semi")
+    guessed = similarity.assign_missions(targets, known, CORE_MISSIONS, "sic_code_1", "keywords")
+    wanted = features.drop("mission").join(
+        guessed.select("company_id", F.col("assigned_mission").alias("mission"), "assignment_method"), "company_id")
+    scored = scored_by_selected(estimation_rows(t), writers.written(wanted, "guessed"), False, [*SCORED, "assignment_method"])
+    return quality.validate_predictions(scoring.approximate_reliability(scored.withColumnRenamed("mission", "assigned_mission")))
 
 
 PREDICTED = "company_id mission prediction_year:i predicted_total_turnover:f reliability reliability_reason prediction_valid:b"
@@ -695,6 +715,11 @@ def _(t):
     return similarity.assign_missions(targets, known, KNOWN_TYPES, "code", "keywords")
 
 
+@query("x7_cross_cutting_scores", "company_id assigned_mission assignment_method prediction_year:i predicted_total_turnover:f reliability reliability_reason prediction_valid:b")
+def _(t):
+    return cross_cutting_scores(t)
+
+
 @query("x7_forced_reliability", "company_id reliability reliability_reason", """
 select company_id, 'approximate' as reliability, 'cross_cutting_approximate_mission: assigned '||mission||' via sic_and_keyword_similarity'||
   case when is_fallback_year then '; no_covariate_data_any_year' else '' end as reliability_reason from x_snapshot where mission is not null""")

@@ -7,6 +7,7 @@ from functools import cache
 
 from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 # Display labels of exported columns.
 LABELS = {
@@ -99,6 +100,11 @@ def upsert_table(new: DataFrame, path: str) -> None:
     new.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("mission").parquet(path)
 
 
+def read_table(spark: SparkSession, path: str, like: DataFrame) -> DataFrame:
+    """A stored table with the columns and types of `like`."""
+    return spark.read.schema(like.schema).parquet(path).select(*[f"`{c}`" for c in like.columns])
+
+
 def labelled(df: DataFrame) -> DataFrame:
     return df.withColumnsRenamed({k: v for k, v in LABELS.items() if k in df.columns})
 
@@ -109,6 +115,25 @@ def export(tables: dict[str, DataFrame], folder: str) -> None:
         labelled(df).write.mode("overwrite").option("header", True).csv(f"{folder}/{name}")
 
 
+def read_export(spark: SparkSession, df: DataFrame, path: str) -> DataFrame:
+    """A table that `export` wrote from `df`, under its labels, as text."""
+    names = ", ".join(f"`{c}` string" for c in labelled(df).columns)
+    return spark.read.schema(names).option("header", True).csv(path)
+
+
+def write_commented_csv(df: DataFrame, path: str, notes: list[str], parts: int = 1) -> None:
+    """A CSV of `parts` files, each led by its `#` notes and a header line.
+
+    Rows are spread over the files by a hash of the whole line. Values must not hold line breaks."""
+    header = ",".join('"' + c.replace('"', '""') + '"' for c in df.columns)
+    head = [f"# {line}" for note in notes for line in note.splitlines()] + [header]
+    lines = df.select(F.to_csv(F.struct(*[f"`{c}`" for c in df.columns])).alias("value"))
+    lines = lines.withColumn("part", F.pmod(F.xxhash64("value"), F.lit(parts)).cast("int")).withColumn("place", F.lit(len(head)))
+    top = df.sparkSession.createDataFrame([(v, p, i) for p in range(parts) for i, v in enumerate(head)], "value string, part int, place int")
+    whole = top.unionByName(lines).repartition(parts, "part").sortWithinPartitions("part", "place")
+    whole.select("value", "part").write.mode("overwrite").partitionBy("part").text(path)
+
+
 def save_model(model: PipelineModel, path: str) -> None:
     model.write().overwrite().save(path)
 

@@ -209,3 +209,21 @@ def test_segmentation_reasons(spark):
     assert got["b"] == ("ACE", False, "duplicate_company_record")
     assert got["c"] == (None, False, "unmapped_value_stream") and got["d"] == ("ACE", True, "")
     assert log.count() == 2
+
+
+def test_commented_csv_keeps_notes_and_rows(spark, tmp_path):
+    from ledgerline.sources.readers import read_commented_csv
+    from ledgerline.sources.writers import write_commented_csv
+
+    schema = "name string, weight double"
+    rows = [(f"a, \"{i}\"", float(i)) for i in range(50)] + [(None, 1.5), ("plain", None)]
+    for parts in (1, 4):
+        path = str(tmp_path / f"weights-{parts}")
+        write_commented_csv(spark.createDataFrame(rows, schema), path, ["first note\nsecond", "third"], parts)
+        for file in spark.read.text(path, wholetext=True).collect():
+            assert file["value"].startswith("# first note\n# second\n# third\n\"name\",\"weight\"\n")
+        back = read_commented_csv(spark, path, schema).select("name", "weight").collect()
+        assert sorted(map(tuple, back), key=str) == sorted(rows, key=str)
+    empty = str(tmp_path / "empty")
+    write_commented_csv(spark.createDataFrame([], schema), empty, ["nothing"])
+    assert read_commented_csv(spark, empty, schema).count() == 0
