@@ -5,14 +5,19 @@ strings, one of ordinary identifiers. Labelled samples of random strings are the
 the patterns find in the corpus and seeded strings over the alphabets that keys use;
 ordinary identifiers are all others of the corpus. A run of `[A-Za-z0-9+/_=-]` of
 MIN_RUN characters or more that touches no pattern's span is added when the mean
-log(random / ordinary) of its transitions is at least THRESHOLD.
+log(random / ordinary) of its transitions is at least THRESHOLD. In any other such run,
+windows of MIN_RUN transitions with a mean of WINDOW_THRESHOLD (higher, as a run has many
+windows) are added, overlapping ones as one span, so a key that words are joined to by `/`, `-`, `_` or `=` is found; such a span may reach a few
+characters into the words.
 
 Patterns are run on texts that hold one of their keywords, which a search of the
 lower-cased bytes finds; all patterns are ASCII, so they work on bytes and offsets are
 turned into code points afterwards.
 
 Cases: a null text is empty and has no spans; spans of different kinds may overlap;
-equal rows get equal results; without rows only the seeded strings are learned."""
+equal rows get equal results; without rows only the seeded strings are learned. A text
+longer than a step is a step of its own, scanned whole. Input columns other than those
+kept don't matter, whatever their names; names that begin with an underscore are ours."""
 
 from __future__ import annotations
 
@@ -37,6 +42,7 @@ KINDS = ("assign", "access", "hex", "random")
 
 MIN_RUN = 16
 THRESHOLD = 1.0  # nats a transition
+WINDOW_THRESHOLD = 2.0
 SMOOTHING = 0.5  # pseudo-count of each transition
 _RUN_BYTES = b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-"
 _IN_RUN = np.zeros(256, dtype=bool)
@@ -164,17 +170,48 @@ def train(docs: DataFrame) -> np.ndarray:
     return np.where(known, np.log(np.where(known, r, 1) / np.where(known, o, 1)), 0.0).ravel()
 
 
+def random_windows(score: np.ndarray, first: np.ndarray, digits: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(run, start, end) in characters of the run, end exclusive, of the unions of windows of MIN_RUN
+    transitions whose mean score is WINDOW_THRESHOLD or more; `score` and `digits` (whether a transition
+    is between digits) hold the transitions of all runs, the offsets of the runs being `first`."""
+    sums, numbers = np.concatenate([[0.0], np.cumsum(score)]), np.concatenate([[0], np.cumsum(digits)])
+    counts = np.maximum(np.diff(first) - MIN_RUN + 1, 0)  # windows of each run
+    begin = np.concatenate([[0], np.cumsum(counts)])
+    run = np.repeat(np.arange(len(counts)), counts)
+    at = np.arange(begin[-1]) - begin[run] + first[run]
+    good = (sums[at + MIN_RUN] - sums[at] >= WINDOW_THRESHOLD * MIN_RUN) & (numbers[at + MIN_RUN] - numbers[at] < MIN_RUN)
+    run, at = run[good], at[good]
+    if not len(at):
+        return run, at, at
+    fresh = np.concatenate([[True], (run[1:] != run[:-1]) | (at[1:] > at[:-1] + MIN_RUN)])
+    last = np.flatnonzero(np.concatenate([fresh[1:], [True]]))
+    run, start, end = run[fresh], at[fresh], at[last] + MIN_RUN + 1
+    return run, start - first[run], end - first[run]
+
+
+def random_spans(body: np.ndarray, start: np.ndarray, end: np.ndarray, ratio: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Spans that the models call random: whole runs by their mean, else the windows of a run."""
+    digits = np.concatenate([[0], np.cumsum(_DIGIT[body])])
+    some = digits[end] - digits[start] < end - start  # numbers are not identifiers
+    s, e = start[some], end[some]
+    if not len(s):
+        return s, e
+    step, first = transitions(body, s, e)
+    score = ratio[step]
+    whole = np.add.reduceat(score, first[:-1]) / np.diff(first) >= THRESHOLD
+    both = _DIGIT[step >> 8] & _DIGIT[step & 255]
+    run, since, until = random_windows(score, first, both)
+    part = ~whole[run]
+    run, since, until = run[part], since[part], until[part]
+    return np.concatenate([s[whole], s[run] + since]), np.concatenate([e[whole], s[run] + until])
+
+
 def all_spans(body: np.ndarray, rows: np.ndarray, ratio: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(kind, start, end) in bytes: the patterns' spans and the runs that the models call random."""
+    """(kind, start, end) in bytes: the patterns' spans and what the models call random."""
     kind, start, end = base_spans(body, rows)
     s, e = runs(body, rows, _IN_RUN, MIN_RUN)
-    digits = np.concatenate([[0], np.cumsum(_DIGIT[body])])
-    free = ~touched(s, e, start, end) & (digits[e] - digits[s] < e - s)  # numbers are not identifiers
-    s, e = s[free], e[free]
-    if len(s):
-        step, first = transitions(body, s, e)
-        mean = np.add.reduceat(ratio[step], first[:-1]) / np.diff(first)
-        s, e = s[mean >= THRESHOLD], e[mean >= THRESHOLD]
+    free = ~touched(s, e, start, end)
+    s, e = random_spans(body, s[free], e[free], ratio)
     kind = np.concatenate([kind, np.full(len(s), 3, np.int64)])
     start, end = np.concatenate([start, s]), np.concatenate([end, e])
     order = np.lexsort((end, kind, start))
