@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-CATALOGS = ["catalog_clean", "catalog_panel", "catalog_models", "catalog_forecast"]
+CATALOGS = ["catalog_clean", "catalog_panel", "catalog_models", "catalog_forecast", "catalog_estimation"]
 
 
 def load_catalog() -> list[str]:

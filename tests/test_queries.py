@@ -33,7 +33,7 @@ SPREAD = [
     "j14_multi_overlap", "w12_operational_scaling", "w16_latest_snapshot", "f14_engineered_panel", "f19_estimation_features",
     "v1_group_folds", "e4_evaluate_benchmark", "t4_pick_winner", "x6_similarity_assign", "f11_intervals",
     "f13_summary_2030", "g2_gazelle_tiers", "d6_spearman_direction", "m4_rare_category",
-    "d7_attendee_split", "s7_upsert_by_mission", "s10_export_tables",
+    "r2_eligible_panel", "d7_attendee_split", "s7_upsert_by_mission", "s10_export_tables",
 ]
 
 
@@ -61,7 +61,7 @@ def test_every_statement_binds(duck):
 SLOW = [
     "e1_evaluate_model", "e2_run_bakeoff", "d2_weight_sweep", "e14_pooled_bakeoff",
     "e16_oof_predictions", "j15_oof_join", "e18_feature_weights", "s11_comment_csv", "e3_evaluate_temporal", "e5_run_forecast_bakeoff",
-    "e12_sub_models", "e15_pooled_against_own", "x3_predict_mission", "x7_cross_cutting_scores", "t3_fitted_top15", "g8_fitted_usage",
+    "e12_sub_models", "e15_pooled_against_own", "x3_predict_mission", "x7_cross_cutting_scores", "p15_estimated_turnover", "f13_estimated_summary", "t3_fitted_top15", "g8_fitted_usage",
 ]
 
 
