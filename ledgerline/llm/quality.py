@@ -24,11 +24,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerline.llm.rows import TEXT, annotate, gathered, rows_where, table
-from ledgerline.llm.textwords import NOT_SPACE, STEP_BYTES, mix, steps, utf8, window_keys, window_starts, words_of
+from ledgerline.llm.textwords import NOT_SPACE, mix, steps, utf8, window_keys, window_starts, words_of
 
 N = 4  # bytes of an n-gram
 BUCKETS = 1 << 16
 PRIOR = 0.1  # share of the uniform multinomial against a multinomial's own counts
+STEP = 2 << 20  # bytes of text at a time; the arrays of a step take some 50 bytes each
 THRESHOLD = -0.2  # mean log ratio, in nats, below which a text is rejected
 TRUSTED_MOST = 20_000  # trusted texts used, those of smallest hash; the bound of the broadcast
 
@@ -153,7 +154,7 @@ def train(docs: DataFrame, labels: DataFrame, most: int = TRUSTED_MOST) -> Model
 
     def counts(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
         raw, target = np.zeros(BUCKETS, np.int64), np.zeros(BUCKETS, np.int64)
-        for step in steps(batches, TEXT, STEP_BYTES):
+        for step in steps(batches, TEXT, STEP):
             bucket, first = ngram_buckets(*utf8(step.column(0)))
             raw += np.bincount(bucket, minlength=BUCKETS)
             good = step.column(1).to_numpy(zero_copy_only=False).astype(bool)
@@ -180,13 +181,13 @@ def assess(docs: DataFrame, model: Model, keep: tuple[str, ...] = ("doc_id",)) -
         out = verdicts(step.column(TEXT), shared.value)
         return [out[f.split()[0]] for f in OUTPUTS.split(", ")]
 
-    return annotate(docs, OUTPUTS, fill, keep)
+    return annotate(docs, OUTPUTS, fill, keep, most=STEP)
 
 
 def kept_only(docs: DataFrame, model: Model) -> DataFrame:
     """The rows that are kept, with their own columns."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    return rows_where(docs, lambda step: verdicts(step.column(TEXT), shared.value)["kept"])
+    return rows_where(docs, lambda step: verdicts(step.column(TEXT), shared.value)["kept"], most=STEP)
 
 
 def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
