@@ -251,3 +251,30 @@ def test_saved_model_scores_alike(spark, data):
 
     rows = queries()["s9_model_io"](spark, data)
     assert rows.filter("abs(difference) > 1e-6").count() == 0 and rows.count() > 0
+
+
+def test_rank_correlation_is_exact_and_stores_no_row_per_value(spark, monkeypatch):
+    """Cells of several values, of one hot value, of nulls and NaN; the rows go through two exchanges, unrepeated."""
+    from ledgerline.operators import studies
+
+    monkeypatch.setattr(ranks, "CELLS", 8)
+    rng = random.Random(3)
+    rows = []
+    for i in range(900):
+        y = 5.0 if rng.random() < 0.3 else rng.lognormvariate(0, 2)
+        x = [None, float("nan"), -0.0, 0.0, y + rng.gauss(0, 3), rng.gauss(0, 1)][min(i % 11, 5)]
+        rows.append((("g", None)[i % 2], f"c{i}", x, i % 3, None if i % 50 == 0 else y))
+    df = spark.createDataFrame(rows, "g string, company_id string, x double, k int, y double")
+    seen = []
+    monkeypatch.setattr(ranks, "written", lambda facts, name: seen.append(facts.count()) or facts)
+    got = {(r["g"], r["feature"]): r["rho"] for r in studies.spearman(df, ["g"], ["x", "k"], "y", "rho").collect()}
+
+    def placed(values):
+        return [sum(w < v for w in values) + (sum(w == v for w in values) + 1) / 2 for v in values]
+
+    for g in ("g", None):
+        for at, name in ((2, "x"), (3, "k")):
+            pairs = [(r[at], r[4]) for r in rows if r[0] == g and r[4] is not None and r[at] is not None and r[at] == r[at]]
+            mine = statistics.correlation(placed([a for a, _ in pairs]), placed([b for _, b in pairs]))
+            assert got[g, name] == pytest.approx(mine, abs=1e-12)
+    assert len(got) == 4 and max(seen) <= 2 * 2 * 2 * 8
