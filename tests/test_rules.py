@@ -227,3 +227,27 @@ def test_commented_csv_keeps_notes_and_rows(spark, tmp_path):
     empty = str(tmp_path / "empty")
     write_commented_csv(spark.createDataFrame([], schema), empty, ["nothing"])
     assert read_commented_csv(spark, empty, schema).count() == 0
+
+
+def test_growth_of_just_ten_or_twenty_percent_meets_its_cut(spark):
+    """Equal ratios are equal growth, whatever their terms."""
+    from pyspark.sql import Window
+
+    from ledgerline.functions.numeric import log_growth
+    from ledgerline.operators.reports import operational_scaling
+    from ledgerline.settings import GAZELLE_CUTS
+
+    pairs = [(k * top - 1, k * 10 - 1, tier) for k in range(1, 400) for top, tier in ((11, "10pct"), (12, "20pct"))]
+    df = spark.createDataFrame([(float(a), float(b), t) for a, b, t in pairs], "now double, before double, tier string")
+    growth = df.withColumn("g", log_growth(F.col("now"), F.col("before")))
+    found = {r["tier"]: (r["low"], r["high"]) for r in growth.groupBy("tier").agg(F.min("g").alias("low"), F.max("g").alias("high")).collect()}
+    for tier, (low, high) in found.items():
+        assert low == high and low >= GAZELLE_CUTS[tier]
+
+    heads = [999.0, 1199.0, 1439.0, 1727.0]  # 1,000 by a fifth a year, three times
+    rows = spark.createDataFrame([("c", 2020 + i, h) for i, h in enumerate(heads)], "company_id string, accounting_year int, employees double")
+    lag = F.lag("employees").over(Window.partitionBy("company_id").orderBy("accounting_year"))
+    rows = rows.withColumn("employee_growth", log_growth(F.col("employees"), lag)).withColumn("asset_growth", F.lit(None).cast("double"))
+    assert operational_scaling(rows).first()["employee_growth_20pct"]
+    odd = spark.createDataFrame([(1.0, -1.0), (-1.0, 1.0), (-3.0, -2.0), (None, 1.0)], "now double, before double")
+    assert [r[0] for r in odd.select(log_growth(F.col("now"), F.col("before"))).collect()] == [None] * 4
