@@ -9,7 +9,7 @@ from functools import cached_property
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ledgerline.operators import estimators, features, gram, identity, panel, preprocess, quality, scoring, segments, selection
+from ledgerline.operators import features, gram, identity, metrics, panel, preprocess, quality, scoring, segments, selection
 from ledgerline.operators.preprocess import ESTIMATION_SET
 from ledgerline.plans.flow import ForecastFlow
 from ledgerline.settings import CROSS_CUTTING, SIMPLICITY, YEAR_MEASURES, YEARS
@@ -92,8 +92,9 @@ class EstimationFlow:
         """Scores of every linear candidate on every held-out fold of its mission."""
         cut, outers = gram.grouped_cells(self.training, "mission")
         keep = ["company_id", "year", "mission"]
-        held = gram.out_of_fold(cut, outers, gram.LINEAR, ESTIMATION_SET, "total_turnover", "sample_weight", keep, F.col("mission"))
-        return written(estimators.fold_metrics(held, ["mission", "repeat", "fold"]), "fold-results")
+        bake = gram.bake_off(cut, outers, gram.LINEAR, ESTIMATION_SET, "total_turnover", "sample_weight", keep, F.col("mission"))
+        scores = metrics.metrics_of_moments(bake.moments(["mission"]), ["mission", "repeat", "fold", "Model"])
+        return written(scores, "fold-results")
 
     @cached_property
     def selected(self) -> DataFrame:

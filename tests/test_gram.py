@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from ledgerline.operators import estimators, gram
+from ledgerline.operators import estimators, gram, metrics
 from ledgerline.operators.preprocess import FeatureSet, fit_preparation
 
 SET = FeatureSet(["size"], ["age", "flag", "none"], ["kind", "code"])
@@ -164,3 +164,48 @@ def test_descent_solves_each_problem_alone():
     slope = c - g @ found[1] - 0.2 * found[1]
     assert all(abs(s) <= 0.3 + 1e-6 for s in slope) and slope[found[1] != 0] == pytest.approx(0.3 * np.sign(found[1][found[1] != 0]), abs=1e-6)
     assert not found[2].any()
+
+
+def test_moments_give_the_metrics_of_the_predictions(rows, monkeypatch):
+    """Fold scores come from a few sums a task; no held-out prediction is stored for them."""
+    mine, outers = gram.grouped_cells(rows, "mission", k=3, repeats=2, inner=2)
+    mine = mine.cache()
+    models = {"Ridge": [{"alpha": 10.0}, {"alpha": 0.1}], "Lasso": [{"alpha": 0.001}]}
+    stored = {}
+    monkeypatch.setattr(gram, "written", lambda df, name: stored.setdefault(name, df.cache()))
+    bake = gram.bake_off(mine, outers, models, SET, "money", "w", ["company_id", "target_year", "mission"], F.col("mission"))
+    keys = ["mission", "target_year", "repeat", "fold", "Model"]
+    got = {tuple(r[k] for k in keys): r for r in metrics.metrics_of_moments(bake.moments(["mission", "target_year"]), keys).collect()}
+    assert set(stored) == {"gram-rows", "moments"}
+    scored = gram.out_of_fold(mine, outers, models, SET, "money", "w", ["company_id", "target_year", "mission"], F.col("mission")).cache()
+    want = metrics.weighted_metrics(scored, keys, "actual", "predicted", "weight").collect()
+    assert len(want) == len(got) > 50
+    for r in want:
+        own = got[tuple(r[k] for k in keys)]
+        assert own["n_test_rows"] == r["n_test_rows"] and (own["MAE"], own["RMSE"], own["R2"]) == pytest.approx((r["MAE"], r["RMSE"], r["R2"]), rel=1e-9)
+    one = bake.predictions({"m1": "Lasso"})
+    assert one.count() == scored.filter("mission = 'm1' and Model = 'Lasso'").count() == one.filter("Model = 'Lasso'").count() > 0
+
+
+def test_equal_labels_have_no_spread(spark):
+    parts = [(0.3, 3), (0.7, 5), (1.1, 1)]
+    table = [("a", n, n * w, 0.1, 0.0, 0.1, 0.1, 1.0, 1.0) for w, n in parts]
+    found = metrics.metrics_of_moments(spark.createDataFrame(table, "g string, n long, w double, mean double, around double, low double, high double, off double, squares double"), ["g"])
+    assert found.first()["R2"] == 0.0 and found.first()["n_test_rows"] == 9
+
+
+def test_medians_count_equal_values_in_the_task(spark, monkeypatch):
+    """A feature of two values leaves a task as two counts a cell, not as a row for every row and cell."""
+    sent = []
+    plain = type(spark.range(1)).groupBy
+
+    def watched(df, *by):
+        if by == ("grp", "feature", "range", "cell", "value"):
+            sent.append(df.count())
+        return plain(df, *by)
+
+    monkeypatch.setattr(type(spark.range(1)), "groupBy", watched)
+    flags = spark.range(4000).select(F.lit("g").alias("grp"), F.array((F.col("id") % 4).cast("int"), F.lit(9)).alias("cells"), (F.col("id") % 2).cast("double").alias("flag")).repartition(2)
+    found = gram.set_medians(flags, ["flag"], [(0, 1), (0,), (1, 3), (9,)])
+    assert found["g"][:, 0].tolist() == [0.5, 0.0, 1.0, 0.5]
+    assert sent and sent[0] <= 2 * 5 * 2
