@@ -251,3 +251,10 @@ def test_growth_of_just_ten_or_twenty_percent_meets_its_cut(spark):
     assert operational_scaling(rows).first()["employee_growth_20pct"]
     odd = spark.createDataFrame([(1.0, -1.0), (-1.0, 1.0), (-3.0, -2.0), (None, 1.0)], "now double, before double")
     assert [r[0] for r in odd.select(log_growth(F.col("now"), F.col("before"))).collect()] == [None] * 4
+
+
+def test_weights_of_equal_features_rank_by_name(spark):
+    """The last bits of a sum, which change with the partitions, don't decide the order."""
+    weights = [("m", "a_count", 0.03932527631927676), ("m", "b_share", 0.03932527631927677), ("m", "c", 2.0e-9), ("m", "d", -2.00001e-9)]
+    found = reports.top_features(spark.createDataFrame(weights, "mission string, feature string, weight double"))
+    assert [r["engineered_feature"] for r in found.orderBy("place").collect()] == ["a_count", "b_share", "d", "c"]
