@@ -88,12 +88,17 @@ class EstimationFlow:
         return written(preprocess.cast_inputs(rows, ESTIMATION_SET), "estimation")
 
     @cached_property
-    def folds(self) -> DataFrame:
-        """Scores of every linear candidate on every held-out fold of its mission."""
+    def bake(self) -> gram.BakeOff:
+        """Every linear candidate on every fold of its mission, and refitted on all its rows."""
         cut, outers = gram.grouped_cells(self.training, "mission")
         keep = ["company_id", "year", "mission"]
-        bake = gram.bake_off(cut, outers, gram.LINEAR, ESTIMATION_SET, "total_turnover", "sample_weight", keep, F.col("mission"))
-        scores = metrics.metrics_of_moments(bake.moments(["mission"]), ["mission", "repeat", "fold", "Model"])
+        return gram.bake_off(
+            cut, outers, gram.LINEAR, ESTIMATION_SET, "total_turnover", "sample_weight", keep, F.col("mission"), gram.whole_of_grouped())
+
+    @cached_property
+    def folds(self) -> DataFrame:
+        """Scores of every linear candidate on every held-out fold of its mission."""
+        scores = metrics.metrics_of_moments(self.bake.moments(["mission"]), ["mission", "repeat", "fold", "Model"])
         return written(scores, "fold-results")
 
     @cached_property
@@ -102,11 +107,6 @@ class EstimationFlow:
         ranked = selection.ranked_models(self.folds, ["mission"], SIMPLICITY)
         return written(selection.usability(selection.pick_winner(ranked, ["mission"])), "selected")
 
-    @cached_property
-    def fits(self) -> gram.Fits:
-        cut, outers = gram.whole_grouped(self.training, "mission")
-        return gram.fit_final(cut, outers, gram.LINEAR, ESTIMATION_SET, "total_turnover", "sample_weight", F.col("mission"))
-
     @cached_property
     def predictions(self) -> DataFrame:
         """Companies without turnover, scored by their mission's selected model where it is usable."""
@@ -117,7 +117,7 @@ class EstimationFlow:
         inputs = preprocess.cast_inputs(flagged, ESTIMATION_SET).withColumn("prediction_year", F.col("year"))
         models = {r["mission"]: r["selected_model"] for r in self.selected.filter("usable").select("mission", "selected_model").collect()}
         keep = ["company_id", "mission", "prediction_year", "reliability", "reliability_reason"]
-        scored = gram.predict(inputs, self.fits, models, F.col("mission"), keep, "predicted_total_turnover")
+        scored = gram.predict(inputs, self.bake.final, models, F.col("mission"), keep, "predicted_total_turnover")
         return written(quality.validate_predictions(scored), "predictions")
 
     # --- results ---

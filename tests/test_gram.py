@@ -209,3 +209,29 @@ def test_medians_count_equal_values_in_the_task(spark, monkeypatch):
     found = gram.set_medians(flags, ["flag"], [(0, 1), (0,), (1, 3), (9,)])
     assert found["g"][:, 0].tolist() == [0.5, 0.0, 1.0, 0.5]
     assert sent and sent[0] <= 2 * 5 * 2
+
+
+@pytest.mark.parametrize("yearly", [False, True])
+def test_final_fits_need_no_sums_of_their_own(rows, monkeypatch, yearly):
+    """The refit on all rows comes from the folds' matrices and equals one made from its own."""
+    models = {"Ridge": [{"alpha": 1e6}, {"alpha": 0.1}], "Lasso": [{"alpha": 5.0}, {"alpha": 0.001}]}
+    keep = ["company_id", "target_year", "mission"]
+    own, weight = ("target_year", None) if yearly else ("mission", "w")
+    plain = gram.whole_yearly(rows) if yearly else gram.whole_grouped(rows, "mission")
+    want = gram.fit_final(*plain, models, SET, "money", weight, F.col("mission"))
+    cut, outers = gram.yearly_cells(rows, cutoffs=[2013, 2014]) if yearly else gram.grouped_cells(rows, own)
+    whole = gram.whole_of_yearly(rows) if yearly else gram.whole_of_grouped()
+    alone = gram.bake_off(cut, outers, models, SET, "money", weight, keep, F.col("mission"))
+    calls = []
+    sums = gram.summed_by_cell
+    monkeypatch.setattr(gram, "summed_by_cell", lambda *a: calls.append(a) or sums(*a))
+    bake = gram.bake_off(cut, outers, models, SET, "money", weight, keep, F.col("mission"), whole)
+    assert len(calls) == 1  # value ranges and Gram matrices, of the folds and the final fits together
+    assert bake.final.chosen == want.chosen and bake.fits.chosen == alone.fits.chosen
+    for part in ("refits", "scaled"):
+        for found, plain_fits in ((bake.final, want), (bake.fits, alone.fits)):
+            for name, fits in getattr(plain_fits, part).items():
+                assert set(getattr(found, part)[name]) == set(fits)
+                for key, beta in fits.items():
+                    assert getattr(found, part)[name][key] == pytest.approx(beta, rel=1e-6, abs=1e-8)
+    assert {r["outer"] for r in bake.settings().collect()} == set(range(len(outers)))
