@@ -235,3 +235,20 @@ def test_final_fits_need_no_sums_of_their_own(rows, monkeypatch, yearly):
                 for key, beta in fits.items():
                     assert getattr(found, part)[name][key] == pytest.approx(beta, rel=1e-6, abs=1e-8)
     assert {r["outer"] for r in bake.settings().collect()} == set(range(len(outers)))
+
+
+def test_a_factor_on_added_rows_equals_rows_of_that_weight(rows):
+    ridge = {"Ridge": gram.LINEAR["Ridge"]}
+    cut, outers = gram.grouped_cells(rows, "mission", k=2, repeats=2, inner=2)
+    factors = [0.25, 1.0]
+    got = gram.bake_off(cut, gram.scaled_added(outers, "factor", factors, k=2, inner=2), ridge, SET, "money", "w", ["company_id"], F.col("mission"))
+    assert got.rows.count() == rows.filter("money is not null").count()  # no row is repeated for a factor
+    assert got.settings().schema["factor"].dataType.simpleString() == "double"
+    for i, factor in enumerate(factors):
+        own = cut.withColumn("w", F.when(F.col("population_type") == "space", F.col("w")).otherwise(F.col("w") * factor))
+        want = gram.bake_off(own, outers, ridge, SET, "money", "w", ["company_id"], F.col("mission"))
+        for name, models in want.fits.refits.items():
+            for (o, m, s), beta in models.items():
+                assert np.allclose(got.fits.refits[name][o + i * len(outers), m, s], beta, rtol=1e-8, atol=1e-10)
+            for (o, m), s in want.fits.chosen[name].items():
+                assert got.fits.chosen[name][o + i * len(outers), m] == s
