@@ -3,7 +3,7 @@
 from ledgerline.operators import estimators
 from ledgerline.operators.preprocess import FeatureSet, fit_preparations
 from ledgerline.plans.catalog_models import estimation_rows
-from ledgerline.plans.catalog_panel import adjacent_training, foreign
+from ledgerline.plans.catalog_panel import adjacent_training, flow, foreign
 from ledgerline.sources.domain import Tables
 
 
@@ -19,9 +19,10 @@ def test_adjacent_companies_are_stored_once(spark, data):
     assert plan(adjacent_training(t)).count("supplier_export") == 0  # the export is read while `raw` is stored, not again
 
 
-def test_labelled_rows_are_built_once_a_query(spark, data):
+def test_labelled_rows_and_the_flow_are_built_once_a_query(spark, data):
     t = Tables(spark, data)
     assert estimation_rows(t) is estimation_rows(t)
+    assert flow(t) is flow(t)
 
 
 def test_tree_candidates_need_no_deviations_and_their_predictions_are_stored(spark):
