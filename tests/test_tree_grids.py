@@ -21,7 +21,7 @@ def labelled_rows(spark):
     return df.withColumns(more)
 
 
-@pytest.mark.parametrize(("key", "bakeoffs"), [("e14_pooled_bakeoff", 1)])
+@pytest.mark.parametrize(("key", "bakeoffs"), [("e14_pooled_bakeoff", 1), ("e2_run_bakeoff", 3)])
 def test_tree_candidates_take_the_whole_grids_on_the_full_folds(spark, monkeypatch, labelled_rows, key, bakeoffs):
     load_catalog()
     seen = []
