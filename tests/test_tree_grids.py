@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from ledgerline.operators import estimators
+from ledgerline.operators import estimators, trees
 from ledgerline.plans import catalog_models, load_catalog
 from ledgerline.plans.registry import REGISTRY
 
@@ -21,26 +21,24 @@ def labelled_rows(spark):
     return df.withColumns(more)
 
 
-@pytest.mark.parametrize(("key", "bakeoffs"), [("e14_pooled_bakeoff", 1), ("e2_run_bakeoff", 3)])
-def test_tree_candidates_take_the_whole_grids_on_the_full_folds(spark, monkeypatch, labelled_rows, key, bakeoffs):
+@pytest.mark.parametrize(("key", "groups"), [("e14_pooled_bakeoff", ["all"]), ("e2_run_bakeoff", MISSIONS)])
+def test_tree_candidates_take_the_whole_grids_on_the_full_folds(spark, monkeypatch, labelled_rows, key, groups):
     load_catalog()
     seen = []
 
-    def out_of_fold(cut, models, features, target, weight, keep):
-        cut = list(cut)
-        seen.append(([(s.labels["repeat"], s.labels["fold"], len(s.inner())) for s in cut], models))
-        labels = [F.lit(v).alias(k) for k, v in cut[0].labels.items()]
-        columns = [F.lit("m").alias("Model"), F.lit(1.0).alias("actual"), F.lit(1.0).alias("predicted"), F.lit(1.0).alias("weight")]
-        return cut[0].test.select(*keep, *labels, *columns)
+    def out_of_fold(cut, outers, models, features, target, weight, keep, group):
+        seen.append((cut.select(group).distinct(), outers, models))
+        columns = [F.lit(0).alias("repeat"), F.lit(0).alias("fold"), F.lit("m").alias("Model"), *[F.lit(1.0).alias(c) for c in ("actual", "predicted", "weight")]]
+        return cut.select(*keep, *columns)
 
-    monkeypatch.setattr(estimators, "out_of_fold", out_of_fold)
+    monkeypatch.setattr(trees, "out_of_fold", out_of_fold)
     for name in ("core_rows", "training_rows_with_adjacent"):
         monkeypatch.setattr(catalog_models, name, lambda t: labelled_rows)
     monkeypatch.setattr(catalog_models, "linear_bakeoff", lambda *given: None)
     monkeypatch.setattr(catalog_models, "fold_scores", lambda bake: spark.createDataFrame([], SCORES))
     REGISTRY[key].build(None)
-    assert len(seen) == bakeoffs
-    for cut, models in seen:
-        assert cut == [(repeat, fold, 3) for repeat in range(5) for fold in range(5)]
-        assert sorted(models) == ["Categorical Boosting", "Extra Trees", "Gradient Boosting", "Random Forest"]
-        assert all(models[name].settings() == estimators.MODELS[name].settings() for name in models)
+    ((found, outers, models),) = seen
+    assert sorted(r[0] for r in found.collect()) == groups
+    assert [(o.labels["repeat"], o.labels["fold"], len(o.inner)) for o in outers] == [(repeat, fold, 3) for repeat in range(5) for fold in range(5)]
+    assert sorted(models) == ["Categorical Boosting", "Extra Trees", "Gradient Boosting", "Random Forest"]
+    assert all(len(c.settings()) == 8 and c.settings() == estimators.MODELS[name].settings() for name, c in models.items())
